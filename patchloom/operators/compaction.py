@@ -4,7 +4,8 @@ A `SnapshotTable` is a parquet directory partitioned by one column, beside a log
 the files of each partition. Committing version n creates `n.json` exclusively, so of two writers with the same base one
 fails with `Conflict` and must start over from the newer version. Compaction writes its result aside, checks that base
 version and files are still those it read, commits the intent, and then overwrites the affected partitions dynamically;
-should it die in between, `recover` finds the intent with its staged files and overwrites again.
+should it die in between, `recover` finds the intent with its staged files and overwrites again. What a finished
+compaction left in each partition is logged too: a partition whose files differ from that has been written to since.
 
 Defined results. An empty table compacts to nothing; partitions within bounds are not touched; a null partition value is a
 partition of its own; repeated records (equal in `identity`) of a rewritten partition are merged into one.
@@ -58,9 +59,23 @@ class SnapshotTable:
         stream.write(bytearray(json.dumps(entry).encode()))
         stream.close()
 
-    def _done(self, version: int) -> None:
+    def _done(self, version: int, clean: dict[str, str]) -> None:
+        """`clean`: partitions without repeated records, with the digest of their files."""
         fs, path = filesystem(self.spark, f"{self.log}/{version}.done")
-        fs.create(path, True).close()
+        stream = fs.create(path, True)
+        stream.write(bytearray(json.dumps(clean).encode()))
+        stream.close()
+
+    def clean(self) -> dict[str, str]:
+        for version in reversed(self.versions()):
+            fs, path = filesystem(self.spark, f"{self.log}/{version}.done")
+            if fs.exists(path):
+                stream = fs.open(path)
+                try:
+                    return json.loads(bytes(stream.readAllBytes()).decode())
+                finally:
+                    stream.close()
+        return {}
 
     def files(self) -> DataFrame:
         """partition value, path and length of each data file; contents are not read."""
@@ -82,9 +97,10 @@ class SnapshotTable:
 
     def append(self, df: DataFrame) -> int:
         base = self.version()
+        clean = self.clean()
         df.write.mode("append").partitionBy(self.partition).parquet(self.data)
         self._commit(base + 1, {"kind": "append", "base": base})
-        self._done(base + 1)
+        self._done(base + 1, clean)
         return base + 1
 
     def read(self) -> DataFrame:
@@ -94,12 +110,18 @@ class SnapshotTable:
     def compact(self, identity: list[str], max_small: int, target_bytes: int, small_bytes: int | None = None, max_partitions: int = 100_000) -> dict:
         """Rewrite the partitions of more than `max_small` files below `small_bytes`, into files of about `target_bytes`.
 
+        A partition written to since its last rewriting is rewritten too, however few its files: afterwards no partition
+        holds a record twice.
         Records equal in `identity` become one; of the other columns the largest value stands, so a missing one is filled.
         Partition statistics (not records) come to the driver: at most `max_partitions` in one call, the rest in the next.
         """
         base = self.version()
         small = small_bytes or target_bytes // 2
-        due = self.census(small).where(F.col("n_small") > max_small).orderBy("part").limit(max_partitions).collect()
+        clean = self.clean()
+        known = self.spark.createDataFrame(list(clean.items()), "part STRING, was STRING")
+        census = self.census(small).join(known, "part", "left")
+        due = census.where((F.col("n_small") > max_small) | F.col("was").isNull() | (F.col("was") != F.col("digest")))
+        due = due.orderBy("part").limit(max_partitions).collect()
         if not due:
             return {"version": base, "partitions": 0, "files_before": 0}
         parts = {r["part"]: r for r in due}
@@ -117,15 +139,18 @@ class SnapshotTable:
         once = rows.groupBy(self.partition, "_piece", *identity).agg(*[F.max(c).alias(c) for c in rest]).drop("_piece")
         staged = f"{self.path}/staged/{base + 1}"
         once.sortWithinPartitions(self.partition).write.mode("overwrite").partitionBy(self.partition).parquet(staged)
-        now = {r["part"]: r["digest"] for r in self.census(small).where(F.col("part").isin(list(parts))).collect()}
+        now = self._digests(parts, small)
         changed = [p for p, r in parts.items() if now.get(p) != r["digest"]]
         if self.version() != base or changed:
             raise Conflict(f"base {base}, now {self.version()}; partitions changed meanwhile: {changed[:5]}")
         self._commit(base + 1, {"kind": "compact", "base": base, "staged": staged, "partitions": sorted(parts)})
         self._overwrite(staged)
-        self._done(base + 1)
+        self._done(base + 1, clean | self._digests(parts, small))
         return {"version": base + 1, "partitions": len(parts), "files_before": sum(r["n_files"] for r in due)}
 
+    def _digests(self, parts, small: int) -> dict[str, str]:
+        return {r["part"]: r["digest"] for r in self.census(small).where(F.col("part").isin(list(parts))).collect()}
+
     def _overwrite(self, staged: str) -> None:
         """Dynamic overwrite: only the partitions that occur in `staged` are replaced."""
         rows = self.spark.read.schema(self.schema).parquet(staged)
@@ -145,7 +170,7 @@ class SnapshotTable:
         _, staged = filesystem(self.spark, entry["staged"])
         if fs.exists(staged):
             self._overwrite(entry["staged"])
-        self._done(last)
+        self._done(last, self.clean() | self._digests(entry["partitions"], 1))
         return True
 
 
