@@ -1,11 +1,11 @@
 """Compaction of partitions that hold too many small files, under snapshot versions and conflict checks.
 
-A `SnapshotTable` is a parquet directory partitioned by one column, beside a log of numbered snapshots. A snapshot states
-the files of each partition. Committing version n creates `n.json` exclusively, so of two writers with the same base one
-fails with `Conflict` and must start over from the newer version. Compaction writes its result aside, checks that base
-version and files are still those it read, commits the intent, and then overwrites the affected partitions dynamically;
-should it die in between, `recover` finds the intent with its staged files and overwrites again. What a finished
-compaction left in each partition is logged too: a partition whose files differ from that has been written to since.
+A `SnapshotTable` is a parquet directory partitioned by one column, beside a log of numbered snapshots. A change first
+claims the next version by creating `n.json` exclusively: of two writers with the same base one fails with `Conflict` and
+starts over from the newer version. Compaction then checks that the files it is about to replace are those it counted, and
+overwrites just their partitions dynamically: Spark writes aside and swaps whole partitions when the job commits. A change
+that ended is marked `n.done`, with a digest of the files of each partition known to hold no record twice: a partition whose
+files differ from that has been written to since. `recover` ends a change whose writer died, finishing a broken swap.
 
 Defined results. An empty table compacts to nothing; partitions within bounds are not touched; a null partition value is a
 partition of its own; repeated records (equal in `identity`) of a rewritten partition are merged into one.
@@ -50,7 +50,14 @@ class SnapshotTable:
         finally:
             stream.close()
 
-    def _commit(self, version: int, entry: dict) -> None:
+    def _is_done(self, version: int) -> bool:
+        fs, path = filesystem(self.spark, f"{self.log}/{version}.done")
+        return fs.exists(path)
+
+    def _claim(self, version: int, entry: dict) -> None:
+        """Become the only writer of `version`."""
+        if version > 1 and not self._is_done(version - 1):
+            raise Conflict(f"version {version - 1} is being written")
         fs, path = filesystem(self.spark, f"{self.log}/{version}.json")
         try:
             stream = fs.create(path, False)
@@ -98,13 +105,12 @@ class SnapshotTable:
     def append(self, df: DataFrame) -> int:
         base = self.version()
         clean = self.clean()
+        self._claim(base + 1, {"kind": "append", "base": base})
         df.write.mode("append").partitionBy(self.partition).parquet(self.data)
-        self._commit(base + 1, {"kind": "append", "base": base})
         self._done(base + 1, clean)
         return base + 1
 
     def read(self) -> DataFrame:
-        self.recover()
         return self.spark.read.schema(self.schema).parquet(self.data)
 
     def compact(self, identity: list[str], max_small: int, target_bytes: int, small_bytes: int | None = None, max_partitions: int = 100_000) -> dict:
@@ -137,40 +143,36 @@ class SnapshotTable:
         # one task a file; the aggregate below keeps to this partitioning, so it does not shuffle again
         rows = rows.withColumn("_piece", piece).repartition(sum(shares.values()), self.partition, "_piece")
         once = rows.groupBy(self.partition, "_piece", *identity).agg(*[F.max(c).alias(c) for c in rest]).drop("_piece")
-        staged = f"{self.path}/staged/{base + 1}"
-        once.sortWithinPartitions(self.partition).write.mode("overwrite").partitionBy(self.partition).parquet(staged)
+        self._claim(base + 1, {"kind": "compact", "base": base, "partitions": sorted(parts)})
         now = self._digests(parts, small)
-        changed = [p for p, r in parts.items() if now.get(p) != r["digest"]]
-        if self.version() != base or changed:
-            raise Conflict(f"base {base}, now {self.version()}; partitions changed meanwhile: {changed[:5]}")
-        self._commit(base + 1, {"kind": "compact", "base": base, "staged": staged, "partitions": sorted(parts)})
-        self._overwrite(staged)
+        if changed := [p for p, r in parts.items() if now.get(p) != r["digest"]]:
+            self._done(base + 1, clean)
+            raise Conflict(f"changed since they were counted: partitions {changed[:5]}")
+        once.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.partition).parquet(self.data)
         self._done(base + 1, clean | self._digests(parts, small))
         return {"version": base + 1, "partitions": len(parts), "files_before": sum(r["n_files"] for r in due)}
 
     def _digests(self, parts, small: int) -> dict[str, str]:
         return {r["part"]: r["digest"] for r in self.census(small).where(F.col("part").isin(list(parts))).collect()}
 
-    def _overwrite(self, staged: str) -> None:
-        """Dynamic overwrite: only the partitions that occur in `staged` are replaced."""
-        rows = self.spark.read.schema(self.schema).parquet(staged)
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.partition).parquet(self.data)
-        fs, path = filesystem(self.spark, staged)
-        fs.delete(path, True)
-
     def recover(self) -> bool:
-        """Finish a compaction whose intent was committed but whose overwrite is not known to be done."""
+        """End a change whose writer died. To be called only when it is known to be dead.
+
+        Before Spark commits a dynamic overwrite the table is as it was; a swap broken off in between has removed a
+        partition whose new files still lie in the job's staging folder, from where they are moved into place.
+        """
         last = self.version()
-        if not last:
-            return False
-        fs, done = filesystem(self.spark, f"{self.log}/{last}.done")
-        entry = self.snapshot(last)
-        if fs.exists(done) or entry["kind"] != "compact":
+        if not last or self._is_done(last):
             return False
-        _, staged = filesystem(self.spark, entry["staged"])
-        if fs.exists(staged):
-            self._overwrite(entry["staged"])
-        self._done(last, self.clean() | self._digests(entry["partitions"], 1))
+        fs, data = filesystem(self.spark, self.data)
+        stages = [x.getPath() for x in fs.listStatus(data) if x.getPath().getName().startswith(".spark-staging")] if fs.exists(data) else []
+        for stage in stages:
+            for x in fs.listStatus(stage):
+                _, place = filesystem(self.spark, f"{self.data}/{x.getPath().getName()}")
+                if x.isDirectory() and not fs.exists(place):
+                    fs.rename(x.getPath(), place)
+            fs.delete(stage, True)
+        self._done(last, self.clean())
         return True
 
 

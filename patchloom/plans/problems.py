@@ -46,7 +46,8 @@ def compacted(spark: SparkSession, d: str) -> SnapshotTable:
     landed = landed.repartition("part", F.pmod(F.xxhash64("file_id"), F.lit(4)))
     target = SnapshotTable(spark, shared_path(spark, "records"), RECORDS, "part")
     target.append(landed.drop("file_id"))
-    target.compact(["relative", "size", "mtime_ns"], max_small=1, target_bytes=TARGET_BYTES)
+    while target.compact(["relative", "size", "mtime_ns"], max_small=1, target_bytes=TARGET_BYTES, max_partitions=50_000)["partitions"] == 50_000:
+        pass
     return target
 
 
