@@ -2,8 +2,9 @@
 
 The cost of a text of L tokens is linear plus quadratic in L (the quadratic part is attention within the text). Texts are
 spread over shards of about `shard_tokens` tokens; in each, they are taken in descending order, and each goes to the
-container of lowest cost that has room left; a new one is opened only if none has. As small texts come last, they fill what
-the large ones leave. A text of more than the capacity is split into full containers and a rest; no other is split.
+container of lowest cost that has room left; a new one is opened only if none has. Balancing leaves every container a
+little room, too little for what comes last; so the last, smallest texts go where least room is left instead, as many of
+them as it takes to need fewest containers (see `fewest`). A text of more than the capacity is split into full containers and a rest; no other is split.
 
 Defined results. A text without tokens (null or empty) takes no space: its container is null. Ties are broken by size, then
 id, then piece. A shard is bounded, whatever the data; all rows are packed. Empty input gives an empty table.
@@ -22,9 +23,13 @@ CAPACITY = 2048
 PACKED = "doc_id BIGINT, piece INT, n_pieces INT, n_tokens BIGINT, container BIGINT, start BIGINT"
 
 
-def assign(sizes: np.ndarray, capacity: int, hidden: int) -> tuple[np.ndarray, np.ndarray]:
-    """Container and start of each item; `sizes` descend, all in 1..capacity."""
+def assign(sizes: np.ndarray, capacity: int, hidden: int, share: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Container and start of each item; `sizes` descend, all in 1..capacity.
+
+    The first `share` of all tokens go to the container of lowest cost with room, the rest to the one of least room.
+    """
     costs = sizes + sizes.astype(float) ** 2 / (6 * hidden)
+    by_cost = np.searchsorted(np.cumsum(sizes), share * sizes.sum(), "right")
     open_ = max(1, math.ceil(sizes.sum() / capacity))
     room = np.zeros(open_ + len(sizes), np.int64)
     room[:open_] = capacity
@@ -35,9 +40,10 @@ def assign(sizes: np.ndarray, capacity: int, hidden: int) -> tuple[np.ndarray, n
     for i, (size, cost) in enumerate(zip(sizes.tolist(), costs.tolist())):
         if i % 512 == 0:
             live = live[room[live] >= least]  # full ones are not looked at again
-        fits = room[live] >= size
+        left = room[live]
+        fits = left >= size
         if fits.any():
-            k = live[np.argmin(np.where(fits, load[live], np.inf))]
+            k = live[np.argmin(np.where(fits, load[live] if i < by_cost else left, np.inf))]
         else:
             k, open_ = open_, open_ + 1
             room[k] = capacity
@@ -48,6 +54,18 @@ def assign(sizes: np.ndarray, capacity: int, hidden: int) -> tuple[np.ndarray, n
     return container, start
 
 
+def fewest(sizes: np.ndarray, capacity: int, hidden: int, shares=(1.0, 0.9, 0.8, 0.65, 0.5, 0.0)) -> tuple[np.ndarray, np.ndarray]:
+    """The assignment of fewest containers; of such, the one that places most tokens by cost."""
+    floor, best = math.ceil(sizes.sum() / capacity), None
+    for share in shares:
+        container, start = assign(sizes, capacity, hidden, share)
+        if best is None or container.max() < best[0].max():
+            best = container, start
+        if best[0].max() + 1 <= floor:
+            break
+    return best
+
+
 def pack(sizes: DataFrame, capacity: int = CAPACITY, hidden: int = 1024, shard_tokens: int = 4_000_000) -> DataFrame:
     """doc_id, piece, n_pieces, n_tokens, container, start. `sizes`: doc_id, n_tokens, already cut from its lineage."""
     total = sizes.agg(F.sum("n_tokens")).head()[0] or 0
@@ -61,7 +79,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, hidden: int = 1024, shard_t
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        container, start = assign(group["n_tokens"].to_numpy(), capacity, hidden)
+        container, start = fewest(group["n_tokens"].to_numpy(), capacity, hidden)
         shard = int(group["shard"].iloc[0])
         return group[["doc_id", "piece", "n_pieces", "n_tokens"]].assign(container=(shard << 32) + container, start=start)
 
