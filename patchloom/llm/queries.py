@@ -19,24 +19,36 @@ def _forward(spark: SparkSession, d: str) -> DataFrame:
     return digest.measured(t, "value").distinct()
 
 
-def p3_forward_ms(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles by model and day, with the counted rank error of each."""
-    values = cut(_forward(spark, d), "forward")
-    keys = ["model", "day"]
-    estimates = cut(digest.estimate(digest.build(values, keys, "value"), keys, PERCENTILES), "estimates")
+def _percentiles(digests: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    estimates = cut(digest.estimate(digests, keys, PERCENTILES), "estimates")
     return digest.certify(values, estimates, keys, "value", PERCENTILES)
 
 
-def p3_forward_ms_model(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles by model over all days: the digests of the days, merged."""
+def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """All of problem 3: metric, grp, day, p, value, n, rank_error.
+
+    Forward times by model and day, the same by model over all days from the days' digests merged, and both benchmark
+    metrics by stage (day null).
+    """
     values = cut(_forward(spark, d), "forward")
     days = cut(digest.build(values, ["model", "day"], "value"), "days")
-    estimates = cut(digest.estimate(digest.merge(days, ["model"]), ["model"], PERCENTILES), "estimates")
-    return digest.certify(values, estimates, ["model"], "value", PERCENTILES)
+    bench = cut(_bench(spark, d), "bench")
+    shape = lambda df, metric, grp, day: df.select(metric.alias("metric"), F.col(grp).alias("grp"), day.alias("day"), "p", "value", "n", "rank_error")
+    none, forward = F.lit(None).cast("date"), F.lit("forward_ms")
+    by_day = shape(_percentiles(days, values, ["model", "day"]), forward, "model", F.col("day"))
+    by_model = shape(_percentiles(digest.merge(days, ["model"]), values, ["model"]), forward, "model", none)
+    by_stage = shape(_percentiles(digest.build(bench, ["metric", "stage"], "value"), bench, ["metric", "stage"]), F.col("metric"), "stage", none)
+    return by_day.unionByName(by_model).unionByName(by_stage)
 
 
-def p3_bench(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of throughput and of mask time by stage, over rows of status ok.
+def p3_forward_ms(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles by model and day, with the counted rank error of each."""
+    values = cut(_forward(spark, d), "forward")
+    return _percentiles(digest.build(values, ["model", "day"], "value"), values, ["model", "day"])
+
+
+def _bench(spark: SparkSession, d: str) -> DataFrame:
+    """metric, stage, value of throughput and mask time, over rows of status ok, each once.
 
     A throughput off from images over seconds by 60, 3,600 or 1/1,000 is brought back to images a second; a mask time
     under one millisecond was noted in seconds.
@@ -51,10 +63,7 @@ def p3_bench(spark: SparkSession, d: str) -> DataFrame:
         F.struct(F.lit("throughput_images_per_sec").alias("metric"), (F.col("throughput_images_per_sec") * factor).alias("value")),
         F.struct(F.lit("maskcut_ms_image").alias("metric"), mask.alias("value")),
     )
-    values = cut(digest.measured(b.select("stage", F.inline(both)), "value"), "bench")
-    keys = ["metric", "stage"]
-    estimates = cut(digest.estimate(digest.build(values, keys, "value"), keys, PERCENTILES), "estimates")
-    return digest.certify(values, estimates, keys, "value", PERCENTILES)
+    return digest.measured(b.select("stage", F.inline(both)), "value")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -118,5 +127,30 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_forward_ms, p3_forward_ms_model, p3_bench, p4_found, p4_by_source, p6_sample, p7_ids, p8_found, p8_packed, p8_use, p9_found, p9_profile)
+    for f in (p3_percentiles, p3_forward_ms, p4_found, p4_by_source, p6_sample, p7_ids, p8_found, p8_packed, p8_use, p9_found, p9_profile)
+}
+
+_NAME_SQL = f"""
+forms AS (
+  SELECT image_id, CASE WHEN split_part(relative, '/', 1) = 'train2017' THEN 1 ELSE 2 END AS split,
+    regexp_replace(regexp_replace(regexp_replace(lower(trim(replace(replace(regexp_extract(relative, '[^/]*$'), '%20', ' '), '+', ' '))), '{overlap.SUFFIX}', ''), '{overlap.BEFORE}', ''), '{overlap.AFTER}', '') AS name
+  FROM (SELECT DISTINCT image_id, relative FROM image_records) WHERE split_part(relative, '/', 1) IN ('train2017', 'val2017', 'test2017')),
+parts AS (
+  SELECT image_id, split, regexp_replace(regexp_extract(name, '^(\\pL[\\pL _.+%-]*?)[ _.+-]*0*(\\d+)$', 1), '[^\\pL]', '', 'g') AS letters, regexp_extract(name, '^(\\pL[\\pL _.+%-]*?)[ _.+-]*0*(\\d+)$', 2) AS frame
+  FROM forms),
+by_name AS (
+  SELECT a.image_id AS t, b.image_id AS e FROM parts a JOIN parts b ON a.frame = b.frame AND a.split = 1 AND b.split = 2
+  WHERE a.letters <> '' AND b.letters <> '' AND damerau_levenshtein(a.letters, b.letters) <= 1),
+digests AS (
+  SELECT DISTINCT p.image_id, f.split, lower(CASE WHEN regexp_matches(h, '^[0-9a-fA-F]{{64}}$') THEN h WHEN regexp_matches(trim(sha256), '^[A-Za-z0-9+/]{{43}}=$') THEN hex(from_base64(trim(sha256))) END) AS digest
+  FROM (SELECT *, regexp_replace(regexp_replace(trim(sha256), '(?i)^sha-?256[:=]', ''), '[: -]', '', 'g') AS h FROM provenance) p JOIN forms f USING (image_id)),
+by_digest AS (SELECT a.image_id AS t, b.image_id AS e FROM digests a JOIN digests b ON a.digest = b.digest AND a.split = 1 AND b.split = 2)"""
+
+_UNIFORM = "CAST(CAST('0x' || substr(sha256({}), 1, 13) AS BIGINT) AS DOUBLE) / CAST(4503599627370496 AS DOUBLE)"
+
+SQL = {
+    "p4_found": f"WITH {_NAME_SQL} SELECT DISTINCT least(t, e) AS id_a, greatest(t, e) AS id_b FROM (SELECT * FROM by_name UNION ALL SELECT * FROM by_digest)",
+    "p6_sample": f"""WITH n AS (SELECT DISTINCT relative, {_UNIFORM.format("'id:' || relative")} AS u FROM image_records WHERE relative IS NOT NULL),
+l AS (SELECT config_id, {_UNIFORM.format("'start:' || CAST(coalesce(seed, 0) AS VARCHAR)")} AS s, max(sample_share) OVER (PARTITION BY coalesce(seed, 0) ORDER BY config_id) AS t FROM pipeline_configs)
+SELECT config_id, relative FROM n JOIN l ON u - s + CASE WHEN u < s THEN 1 ELSE 0 END < t""",
 }
