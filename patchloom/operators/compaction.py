@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patchloom.session import filesystem
@@ -134,15 +134,16 @@ class SnapshotTable:
         value = F.coalesce(F.col(self.partition).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
         rows = self.spark.read.schema(self.schema).parquet(self.data).where(value.isin(list(parts)))
         rest = [c for c in rows.columns if c not in identity and c != self.partition]
-        shares = {p: max(1, math.ceil(r["n_bytes"] / target_bytes)) for p, r in parts.items()}
-        if max(shares.values()) > 1:
-            pieces = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]), value), F.lit(1))
-            piece: Column = F.pmod(F.xxhash64(*identity), pieces).cast("int")
-        else:
-            piece = F.lit(0)
-        # one task a file; the aggregate below keeps to this partitioning, so it does not shuffle again
-        rows = rows.withColumn("_piece", piece).repartition(sum(shares.values()), self.partition, "_piece")
-        once = rows.groupBy(self.partition, "_piece", *identity).agg(*[F.max(c).alias(c) for c in rest]).drop("_piece")
+        slots, total = [], 0
+        for p, r in parts.items():
+            slots.append((p, n := max(1, math.ceil(r["n_bytes"] / target_bytes)), total))
+            total += n
+        sized = self.spark.createDataFrame(slots, "_part STRING, _pieces INT, _offset INT")  # at most max_partitions rows
+        rows = rows.join(F.broadcast(sized), value == F.col("_part"))
+        slot = F.col("_offset") + F.pmod(F.xxhash64(*identity), F.col("_pieces")).cast("int")
+        # a task of its own for each file to come; the aggregate below keeps to this partitioning and does not shuffle again
+        rows = rows.withColumn("_slot", slot).repartitionById(total, F.col("_slot"))
+        once = rows.groupBy("_slot", self.partition, *identity).agg(*[F.max(c).alias(c) for c in rest]).drop("_slot")
         self._claim(base + 1, {"kind": "compact", "base": base, "partitions": sorted(parts)})
         now = self._digests(parts, small)
         if changed := [p for p, r in parts.items() if now.get(p) != r["digest"]]:
