@@ -30,14 +30,14 @@ def iou(a: Column, b: Column) -> Column:
     return F.when(union > 0, shared / union).otherwise(0.0)
 
 
-def corners(b: Column, width: Column = F.lit(1.0), height: Column = F.lit(1.0)) -> Column:
+def corners(b: Column, width: Column | float = 1.0, height: Column | float = 1.0) -> Column:
     """x0, y0, x1, y1 in pixels."""
     half_w, half_h = b["w"] / 2, b["h"] / 2
     edges = [(b["x"] - half_w) * width, (b["y"] - half_h) * height, (b["x"] + half_w) * width, (b["y"] + half_h) * height]
     return F.struct(*[e.alias(n) for e, n in zip(edges, ("x0", "y0", "x1", "y1"))])
 
 
-def from_corners(x0: Column, y0: Column, x1: Column, y1: Column, width: Column = F.lit(1.0), height: Column = F.lit(1.0)) -> Column:
+def from_corners(x0: Column, y0: Column, x1: Column, y1: Column, width: Column | float = 1.0, height: Column | float = 1.0) -> Column:
     return box((x0 + x1) / 2 / width, (y0 + y1) / 2 / height, (x1 - x0) / width, (y1 - y0) / height)
 
 

@@ -8,11 +8,12 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from patchloom.functions.geometry import is_valid
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _label_lines(boxes: pd.Series) -> pd.Series:
     """Eight decimals, exact ties to even: hashes of labels depend on it."""
     return boxes.map(lambda bs: "".join("0 " + " ".join(f"{v:.8f}" for v in (b["x"], b["y"], b["w"], b["h"])) + "\n" for b in bs))

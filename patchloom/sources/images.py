@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 #: Mean and deviation of red, green and blue that backbones expect.
 MEAN, DEVIATION = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
@@ -127,7 +128,7 @@ def exif_orientation(data: bytes) -> int | None:
     return None
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def upright_jpeg(content: pd.Series) -> pd.Series:
     """Whole (it ends in the end marker) and not rotated by a tag."""
     return content.map(lambda b: bool(b) and bytes(b).endswith(b"\xff\xd9") and exif_orientation(bytes(b)) in (None, 1))
