@@ -4,7 +4,8 @@ Names are brought to one form, letters and frame number. Distinct forms get minw
 of neighbouring letters), banded; a bucket is a band's hashes and the frame number. Only candidates of a training and an
 evaluation form meet. Candidates are verified: exact Jaccard similarity of the shingles, then at most one mistyped letter
 (one changed, missing, added, or two neighbours swapped). Forms of fewer than `SHORT` letters, of which a mistyped letter
-changes most shingles, are bucketed by the form with each letter left out instead, which finds all. Copies of one form or
+changes most shingles, are bucketed by the form with each letter left out instead, which finds all (those of SHORT letters
+both ways). Copies of one form or
 digest are one row until confirmed pairs are expanded, so nothing is compared within a group of copies.
 
 With BANDS = 18 of 2 hashes, a pair of SHORT letters and two swapped neighbours (Jaccard 0.62 at the least) is missed
@@ -97,7 +98,7 @@ def buckets(forms: DataFrame, bands: int = BANDS) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array(long))], schema=arrow)
             keys, names = [], []
             for i, x in enumerate(letters):
-                if len(x) < SHORT:
+                if len(x) <= SHORT:  # one letter more than short may be one letter added to a short form
                     left_out = {x, *(x[:k] + x[k + 1 :] for k in range(len(x)))}
                     keys += [f"{y}:{frames[i]}" for y in left_out]
                     names += [forms[i]] * len(left_out)

@@ -70,8 +70,9 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, hidden: int = 1024, shard_t
     """doc_id, piece, n_pieces, n_tokens, container, start. `sizes`: doc_id, n_tokens, already cut from its lineage."""
     total = sizes.agg(F.sum("n_tokens")).head()[0] or 0
     shards = max(1, math.ceil(total / shard_tokens))
+    sizes = sizes.withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)))
     n = F.col("n_tokens")
-    last = F.greatest(F.lit(0).cast("bigint"), F.coalesce(F.floor((n - 1) / capacity), F.lit(0)))
+    last = F.greatest(F.lit(0).cast("bigint"), F.floor((n - 1) / capacity))
     pieces = sizes.withColumn("n_pieces", (last + 1).cast("int")).withColumn("piece", F.explode(F.sequence(F.lit(0), last.cast("int"))))
     pieces = pieces.withColumn("n_tokens", F.least(F.lit(capacity), n - F.col("piece") * capacity))
     # repeated ids and the pieces of one long text spread evenly too
@@ -84,5 +85,5 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, hidden: int = 1024, shard_t
         return group[["doc_id", "piece", "n_pieces", "n_tokens"]].assign(container=(shard << 32) + container, start=start)
 
     packed = pieces.where("n_tokens > 0").groupBy("shard").applyInPandas(run, PACKED)
-    none = pieces.where("n_tokens <= 0 OR n_tokens IS NULL").select("doc_id", "piece", "n_pieces", F.lit(0).cast("bigint").alias("n_tokens"), F.lit(None).cast("bigint").alias("container"), F.lit(None).cast("bigint").alias("start"))
+    none = pieces.where("n_tokens <= 0").select("doc_id", "piece", "n_pieces", F.lit(0).cast("bigint").alias("n_tokens"), F.lit(None).cast("bigint").alias("container"), F.lit(None).cast("bigint").alias("start"))
     return packed.unionByName(none)
