@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
@@ -38,14 +41,30 @@ def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
 
 
 def pair(candidates: DataFrame) -> DataFrame:
-    """The pairing of each image from its candidate pairs (image, p, r, iou), all above the threshold."""
+    """The pairing of each image from its candidate pairs (image, p, r, iou), all above the threshold.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ps, rs = np.sort(group["p"].unique()), np.sort(group["r"].unique())
-        iou = np.zeros((len(ps), len(rs)))
-        iou[np.searchsorted(ps, group["p"]), np.searchsorted(rs, group["r"])] = group["iou"]
-        chosen = [(i, j) for i, j in best_assignment((iou > 0) * 1000 + iou) if iou[i, j] > 0]
-        return pd.DataFrame({"image": group["image"].iloc[0], "p": [ps[i] for i, _ in chosen], "r": [rs[j] for _, j in chosen], "iou": [iou[i, j] for i, j in chosen]})
+    Images in which no box has two candidates are paired as they stand, in the JVM. The others go to Python as one row an
+    image, many rows a batch; an image's candidates are those of a single picture.
+    """
+    both = candidates.groupBy("image").agg(F.collect_list(F.struct("p", "r", "iou")).alias("c"))
+    plain = (F.size("c") == F.size(F.array_distinct("c.p"))) & (F.size("c") == F.size(F.array_distinct("c.r")))
+    both = both.withColumn("plain", plain)
+    names = ("image", "p", "r", "iou")
+    schema = T.StructType([candidates.schema[n] for n in names])
+    arrow = to_arrow_schema(schema)
 
-    fields = {f.name: f.dataType.simpleString() for f in candidates.schema}
-    return candidates.groupBy("image").applyInPandas(run, ", ".join(f"{c} {fields[c]}" for c in ("image", "p", "r", "iou")))
+    def run(batches):
+        for batch in batches:
+            out = []
+            for image, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ps, rs = sorted({x["p"] for x in found}), sorted({x["r"] for x in found})
+                at_p, at_r = {p: i for i, p in enumerate(ps)}, {r: i for i, r in enumerate(rs)}
+                iou = np.zeros((len(ps), len(rs)))
+                for x in found:
+                    iou[at_p[x["p"]], at_r[x["r"]]] = x["iou"]
+                out += [(image, ps[i], rs[j], iou[i, j]) for i, j in best_assignment((iou > 0) * 1000 + iou) if iou[i, j] > 0]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(arrow)], schema=arrow)
+
+    easy = F.transform("c", lambda x: F.struct("image", x["p"].alias("p"), x["r"].alias("r"), x["iou"].alias("iou")))
+    solved = both.where(~F.col("plain")).select("image", "c").mapInArrow(run, schema)
+    return both.where("plain").select(F.inline(easy)).unionByName(solved)

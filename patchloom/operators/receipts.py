@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -13,10 +13,12 @@ from pyspark.sql.types import StringType
 from patchloom.functions.geometry import is_valid
 
 
-@F.pandas_udf(StringType())
-def _label_lines(boxes: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def _label_lines(boxes: pa.Array) -> pa.Array:
     """Eight decimals, exact ties to even: hashes of labels depend on it."""
-    return boxes.map(lambda bs: "".join("0 " + " ".join(f"{v:.8f}" for v in (b["x"], b["y"], b["w"], b["h"])) + "\n" for b in bs))
+    flat, offsets = boxes.values, boxes.offsets.to_pylist()
+    lines = [f"0 {x:.8f} {y:.8f} {w:.8f} {h:.8f}\n" for x, y, w, h in zip(*[flat.field(k).to_pylist() for k in "xywh"])]
+    return pa.array(["".join(lines[a:b]) for a, b in zip(offsets, offsets[1:])], pa.string())
 
 
 def encode_labels(boxes: Column) -> Column:

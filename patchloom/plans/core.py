@@ -9,7 +9,7 @@ from patchloom.functions import geometry, scalars
 from patchloom.functions.vectors import unit
 from patchloom.operators import assign, catalog, diagnostics, fewshot, monitor, nms, pca, planner, quality, receipts, roi, spectral
 from patchloom.plans.views import BOXES_SQL, GRID, boxes, detections, grid_features, images, iou_sql, records, vectors
-from patchloom.session import table
+from patchloom.session import cut, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -183,7 +183,7 @@ def resume_todo(spark: SparkSession, d: str) -> DataFrame:
 def receipt_resume(spark: SparkSession, d: str) -> DataFrame:
     """Labels written and hashed into receipts, some of them stale: what the resume join leaves to do."""
     b = boxes(spark, d).groupBy("image").agg(F.sort_array(F.collect_list(F.struct("ord", F.struct("x", "y", "w", "h").alias("b")))).alias("bs"))
-    labelled = b.select(F.col("image").alias("relative"), receipts.encode_labels(F.transform("bs", lambda e: e["b"])).alias("label"))
+    labelled = cut(b.select(F.col("image").alias("relative"), receipts.encode_labels(F.transform("bs", lambda e: e["b"])).alias("label")), "labels")
     r = images(spark, d).select(F.col("image").alias("relative"), F.lit(1).alias("size"), F.lit(1).alias("mtime_ns"))
     written = receipts.receipts(labelled.join(r, "relative").withColumn("width", F.lit(640)).withColumn("height", F.lit(480)), "f", "/data")
     stale = F.when(F.col("relative") % 11 == 0, F.concat("label", F.lit("0 0.5 0.5 0.1 0.1\n"))).otherwise(F.col("label"))
