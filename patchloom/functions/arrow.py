@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from patchloom.session import ship
+
 
 def emit_rows(df: DataFrame, visit: Callable[..., Iterator[tuple]], schema: T.StructType, rows: int = 20_000) -> DataFrame:
     """Flat-map: `visit` gets the columns of a row and yields tuples of `schema`; batches out hold about `rows` rows."""
+    ship(df.sparkSession)
     arrow = to_arrow_schema(schema)
 
     def flush(out: list[tuple]) -> pa.RecordBatch:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +14,28 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once a context: they need not have it installed, nor run in its folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_patchloom_shipped", False):
+        return
+    package = Path(__file__).parent
+    code = Path(tempfile.mkdtemp(prefix="patchloom-code-")) / "patchloom_code.zip"
+    with zipfile.ZipFile(code, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    sc.addPyFile(str(code))
+    sc._patchloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir`, or one of our own where it is unset (local tests)."""
+    ship(spark)
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = tempfile.mkdtemp(prefix="patchloom-")
