@@ -17,6 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,42 +36,75 @@ _SPACE = np.isin(np.arange(256), [9, 10, 13, 32])
 _VISIBLE = (np.arange(256) >= 0x21) & (np.arange(256) <= 0x7E)
 
 
+_GEAR[0] = 0  # zero bytes stand between texts that are hashed together; they leave no trace
+
+
 def safe_places(data: np.ndarray) -> np.ndarray:
     """Positions between a visible ASCII character and white space."""
     return np.flatnonzero(_VISIBLE[data[:-1]] & _SPACE[data[1:]]) + 1
 
 
-def chunk_ends(data: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
-    """End of each chunk of a text's bytes, and whether its end is safe."""
-    size = len(data)
-    places = safe_places(data)
-    gear, h = _GEAR[data], np.zeros(len(places), np.uint32)
+def chosen_places(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The places after which the rolling hash of the last WINDOW bytes says that a chunk ends."""
+    h = np.zeros(len(places), np.uint32)
     for back in range(WINDOW):
         at = places - 1 - back
-        h += np.where(at >= 0, gear[np.maximum(at, 0)], np.uint32(0)) << np.uint32(back)
-    chosen = places[(h >> np.uint32(WINDOW - 4)) % np.uint32(EVERY) == 0]
-    ends, last = [], 0
+        h += np.where(at >= 0, _GEAR[data[np.maximum(at, 0)]], np.uint32(0)) << np.uint32(back)
+    return places[(h >> np.uint32(WINDOW - 4)) % np.uint32(EVERY) == 0]
+
+
+def cut_text(data: np.ndarray, places: np.ndarray, chosen: np.ndarray, longest: int = LONGEST) -> tuple[list[int], list[bool]]:
+    """End of each chunk of a text's bytes, and whether it is safe. Chunks over `longest` are cut again."""
+    size = len(data)
+    ends, safe, last = [], [], 0
     for end in [*chosen.tolist(), size]:
         while end - last > longest:
             near = places[np.searchsorted(places, last, "right") : np.searchsorted(places, last + longest, "right")]
-            if len(near):
-                last = int(near[-1])
-            else:
-                last += longest
-                while last < size and data[last] & 0xC0 == 0x80:  # not within a character
-                    last -= 1
-            if last >= end:
-                break
+            last = int(near[-1]) if len(near) else last + longest
+            while not len(near) and data[last] & 0xC0 == 0x80:  # not within a character
+                last -= 1
             ends.append(last)
+            safe.append(bool(len(near)))
         if end > last:
             ends.append(end)
+            safe.append(True)
             last = end
-    ends = np.array(ends, np.int64)
-    safe = np.isin(ends, places)
-    safe[-1:] = True
     return ends, safe
 
 
+def chunk_ends(raw: bytes, longest: int = LONGEST) -> tuple[list[int], list[bool]]:
+    data = np.frombuffer(raw, np.uint8)
+    places = safe_places(data)
+    return cut_text(data, places, chosen_places(data, places), longest)
+
+
+def chunk_many(raws: list[bytes]) -> list[tuple[list[int], list[bool]]]:
+    """`chunk_ends` of many texts; what doesn't depend on the text is done once for all."""
+    gap = bytes(WINDOW)
+    data = np.frombuffer(gap.join(raws) + gap, np.uint8)
+    starts = np.r_[0, np.cumsum([len(r) + WINDOW for r in raws])]
+    places = safe_places(data)
+    chosen = chosen_places(data, places)
+    at, cut_at = np.searchsorted(places, starts), np.searchsorted(chosen, starts)
+    return [
+        cut_text(data[lo : lo + len(r)], places[at[i] : at[i + 1]] - lo, chosen[cut_at[i] : cut_at[i + 1]] - lo)
+        for i, (r, lo) in enumerate(zip(raws, starts.tolist()))
+    ]
+
+
+def slices(batch: pa.RecordBatch, rows: int = 200, size: int = 4 << 20):
+    """Parts of a batch of up to `rows` rows and about `size` bytes, or of one row."""
+    lengths = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for i, n in enumerate(lengths):
+        if i > start and (i - start >= rows or held + n > size):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
 def chunks(documents: DataFrame) -> DataFrame:
     """row_id, doc_id, pos, safe, key, chunk of each chunk. `documents`: doc_id, text; other columns are ignored."""
     fields = [("pos", T.IntegerType()), ("safe", T.BooleanType()), ("key", T.BinaryType()), ("chunk", T.BinaryType())]
@@ -85,18 +119,16 @@ def chunks(documents: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                row_id += 1
-                raw = text.as_py().encode()
-                ends, safe = chunk_ends(np.frombuffer(raw, np.uint8))
-                doc, last = doc_id.as_py(), 0
-                for pos, (end, ok) in enumerate(zip(ends.tolist(), safe.tolist())):
-                    piece = raw[last:end]
-                    out.append((row_id, doc, pos, ok, hashlib.blake2b(piece, digest_size=16).digest(), piece))
-                    last = end
-                if len(out) > 20_000:
-                    yield batch_of(out)
-                    out = []
+            for part in slices(batch):
+                raws = [t.as_py().encode() for t in part.column(1)]
+                for doc, raw, (ends, safe) in zip(part.column(0).to_pylist(), raws, chunk_many(raws)):
+                    row_id += 1
+                    for pos, (last, end, ok) in enumerate(zip([0, *ends], ends, safe)):
+                        piece = raw[last:end]
+                        out.append((row_id, doc, pos, ok, hashlib.blake2b(piece, digest_size=16).digest(), piece))
+                    if len(out) > 20_000:
+                        yield batch_of(out)
+                        out = []
         if out:
             yield batch_of(out)
 
@@ -167,14 +199,15 @@ def assemble(joined: DataFrame, folder: str, name: str) -> DataFrame:
             inner = ids.values
             offsets = inner.offsets.to_numpy()[outer].astype(np.int32)
             flags = safe.values.to_numpy(zero_copy_only=False).astype(bool)
-            starts = safe.offsets.to_numpy()
-            bad = [i for i in range(batch.num_rows) if not flags[starts[i] : starts[i + 1]].all()]
             flat = pa.ListArray.from_arrays(pa.array(offsets), inner.values)
-            if bad:
-                lists = flat.to_pylist()
-                for i in bad:
-                    lists[i] = repair(ids[i].as_py(), safe[i].as_py(), enc)
-                flat = pa.array(lists, arrow.field("ids").type)
+            bad = np.flatnonzero(~np.logical_and.reduceat(flags, safe.offsets.to_numpy()[:-1])).tolist() if batch.num_rows else []
+            if bad:  # their lists replace those put together, the others stay as they are
+                pieces = []
+                for before, i in zip([-1, *bad], [*bad, batch.num_rows]):
+                    pieces.append(flat.slice(before + 1, i - before - 1))
+                    if i < batch.num_rows:
+                        pieces.append(pa.array([repair(ids[i].as_py(), safe[i].as_py(), enc)], flat.type))
+                flat = pa.concat_arrays(pieces)
             yield pa.RecordBatch.from_arrays([batch.column(0), flat.cast(arrow.field("ids").type)], schema=arrow)
 
     return rows.mapInArrow(run, schema)

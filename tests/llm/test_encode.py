@@ -17,11 +17,18 @@ def test_repaired_chunks_encode_as_the_whole(text, longest):
     if not raw:
         return
     enc = encoder()
-    ends, safe = encode.chunk_ends(np.frombuffer(raw, np.uint8), longest)
-    cuts = [0, *ends.tolist()]
+    ends, safe = encode.chunk_ends(raw, longest)
+    cuts = [0, *ends]
     parts = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
     assert b"".join(parts) == raw and all(parts) and max(map(len, parts)) <= longest
-    assert encode.repair([enc.encode_ordinary(p.decode()) for p in parts], safe.tolist(), enc) == enc.encode_ordinary(text)
+    assert encode.repair([enc.encode_ordinary(p.decode()) for p in parts], safe, enc) == enc.encode_ordinary(text)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(text.filter(bool), min_size=1, max_size=6))
+def test_texts_are_cut_together_as_alone(texts):
+    raws = [t.encode() for t in texts]
+    assert encode.chunk_many(raws) == [encode.chunk_ends(r) for r in raws]
 
 
 def test_equal_passages_share_chunks():
@@ -31,8 +38,8 @@ def test_equal_passages_share_chunks():
     both = []
     for _ in range(2):
         raw = (words(30) + " " + shared).encode()
-        ends = encode.chunk_ends(np.frombuffer(raw, np.uint8))[0]
-        both.append({raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())})
+        ends = encode.chunk_ends(raw)[0]
+        both.append({raw[a:b] for a, b in zip([0, *ends], ends)})
     assert sum(map(len, both[0] & both[1])) > 0.8 * len(shared)
 
 
