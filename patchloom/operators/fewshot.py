@@ -21,8 +21,8 @@ def prototypes(support: DataFrame) -> DataFrame:
     return whole.select("cls", unit(F.col("vec")).alias("vec"))
 
 
-def scores(queries: DataFrame, protos: DataFrame, max_classes: int = 10_000) -> DataFrame:
-    """id, cls, cosine of each query (id, vec) with each class, in one pass over the queries.
+def ranked(queries: DataFrame, protos: DataFrame, max_classes: int = 10_000) -> DataFrame:
+    """id, r: each query's (negated cosine, class) of all classes, best first. One pass over the queries, no shuffle.
 
     Prototypes are one row a class; they are counted, and beyond `max_classes` refused: they go to every task as an array.
     """
@@ -31,19 +31,25 @@ def scores(queries: DataFrame, protos: DataFrame, max_classes: int = 10_000) ->
     table = protos.agg(F.sort_array(F.collect_list(F.struct("cls", "vec"))).alias("protos"))
     met = queries.select("id", unit(F.col("vec")).alias("vec")).join(F.broadcast(table))  # one row on the right
     clipped = lambda v: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v))
-    each = F.transform("protos", lambda p: F.struct(p["cls"].alias("cls"), clipped(dot(F.col("vec"), p["vec"])).alias("cosine")))
-    return met.select("id", F.inline(each))
+    each = F.transform("protos", lambda p: F.struct((-clipped(dot(F.col("vec"), p["vec"]))).alias("c"), p["cls"].alias("cls")))
+    return met.select("id", F.sort_array(each).alias("r"))
+
+
+def scores(queries: DataFrame, protos: DataFrame) -> DataFrame:
+    """id, cls, cosine of each query (id, vec) with each class."""
+    return ranked(queries, protos).select("id", F.inline("r")).select("id", "cls", (-F.col("c")).alias("cosine"))
 
 
 def match(scored: DataFrame, threshold: float = -1.0, min_margin: float = 0.0) -> DataFrame:
     """id, top1, cosine, margin, label: the best class (ties to the least name), unknown below threshold or margin.
 
-    The margin of a single class is 2. Two aggregates instead of a window: the scores of a query are never sorted.
+    `scored` is what `ranked` gives, or a table of id, cls, cosine, which is grouped first. The margin of a single class is 2.
     """
     if not -1 <= threshold <= 1 or not 0 <= min_margin <= 2:
         raise ValueError("threshold must lie in [-1, 1] and margin in [0, 2]")
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "cls")))
-    best = scored.groupBy("id").agg(ranked.alias("r"))
+    best = scored
+    if "r" not in scored.columns:
+        best = scored.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "cls"))).alias("r"))
     second = F.get("r", F.lit(1))["c"]
     cosine = -F.get("r", F.lit(0))["c"]
     out = best.select("id", F.get("r", F.lit(0))["cls"].alias("top1"), cosine.alias("cosine"), F.coalesce(cosine + second, F.lit(2.0)).alias("margin"))

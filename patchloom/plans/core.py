@@ -57,12 +57,13 @@ def fewshot_prototypes(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
-    return fewshot.scores(v.where("NOT is_support"), fewshot.prototypes(v.where("is_support")))
+    return fewshot.ranked(v.where("NOT is_support"), fewshot.prototypes(v.where("is_support")))
 
 
 @query(f"WITH {SCORES_SQL} SELECT id, cls, round(cosine, 6) AS cosine FROM scores")
 def fewshot_scores(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_scored(spark, d), "cosine")
+    v = vectors(spark, d)
+    return rounded(fewshot.scores(v.where("NOT is_support"), fewshot.prototypes(v.where("is_support"))), "cosine")
 
 
 @query(f"WITH {SCORES_SQL} SELECT id, top1, round(cosine, 6) AS cosine, round(margin, 6) AS margin, CASE WHEN cosine >= 0.1 AND margin >= 0.02 THEN CAST(top1 AS VARCHAR) ELSE 'unknown' END AS label FROM best")

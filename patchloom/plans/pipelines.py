@@ -157,7 +157,7 @@ def match_images(features: DataFrame, supports: DataFrame, proposals: DataFrame,
     whole = supports.select("image", F.lit(0).alias("ord"), *[F.lit(v).alias(c) for c, v in (("x", 0.5), ("y", 0.5), ("w", 1.0), ("h", 1.0))])
     protos = fewshot.prototypes(roi.pool(features, whole).join(supports, "image").select("cls", "vec"))
     queries = roi.pool(features, proposals).select(F.struct("image", "ord").alias("id"), "vec")
-    return fewshot.match(fewshot.scores(queries, protos), threshold, min_margin).select("id.*", "top1", "cosine", "margin", "label")
+    return fewshot.match(fewshot.ranked(queries, protos), threshold, min_margin).select("id.*", "top1", "cosine", "margin", "label")
 
 
 def localisation(matched: DataFrame, pairs: DataFrame, truth: DataFrame) -> DataFrame:
