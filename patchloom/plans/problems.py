@@ -78,16 +78,16 @@ _NUMBER = "json_type({0}) IN ('DOUBLE', 'UBIGINT', 'BIGINT')"
 SQL = {
     "p5_found": f"""WITH d AS (SELECT DISTINCT report_id, CASE WHEN json_valid(payload) THEN CASE WHEN json_type(payload) = 'VARCHAR' THEN json_extract_string(payload, '$') ELSE payload END END AS p FROM report_payloads),
 j AS (SELECT report_id, CAST(p AS JSON) AS j FROM d WHERE p IS NOT NULL AND json_valid(p)),
-r AS (SELECT report_id, j, unnest(range(json_array_length(j, '$.runs'))) AS i FROM j WHERE json_type(j, '$.runs') = 'ARRAY'),
+r AS (SELECT report_id, j, unnest(range(CAST(json_array_length(j, '$.runs') AS BIGINT))) AS i FROM j WHERE json_type(j, '$.runs') = 'ARRAY'),
 places AS (
   SELECT report_id, '' AS model, json_extract(j, '$.samples') AS s FROM j
   UNION ALL SELECT report_id, k, json_extract(j, '$.models."' || k || '".samples') FROM (SELECT report_id, j, unnest(json_keys(j, '$.models')) AS k FROM j WHERE json_type(j, '$.models') = 'OBJECT')),
 lists AS (SELECT report_id, model, CASE json_type(s) WHEN 'ARRAY' THEN s WHEN 'OBJECT' THEN json_array(s) END AS s FROM places),
-spots AS (SELECT report_id, model, s, unnest(range(json_array_length(s))) AS i FROM lists WHERE s IS NOT NULL),
+spots AS (SELECT report_id, model, s, unnest(range(CAST(json_array_length(s) AS BIGINT))) AS i FROM lists WHERE s IS NOT NULL),
 samples AS (SELECT report_id, model, i, json_extract(s, '$[' || i || ']') AS x FROM spots),
-b AS (SELECT report_id, model, i, x, unnest(range(json_array_length(x, '$.boxes_xywh_normalized'))) AS c FROM samples WHERE json_type(x, '$.boxes_xywh_normalized') = 'ARRAY'),
+b AS (SELECT report_id, model, i, x, unnest(range(CAST(json_array_length(x, '$.boxes_xywh_normalized') AS BIGINT))) AS c FROM samples WHERE json_type(x, '$.boxes_xywh_normalized') = 'ARRAY'),
 boxes AS (SELECT report_id, model, i, c, json_extract(x, '$.boxes_xywh_normalized[' || c || ']') AS e FROM b),
-m AS (SELECT report_id, model, i, x, unnest(range(json_array_length(x, '$.masks'))) AS c FROM samples WHERE json_type(x, '$.masks') = 'ARRAY')
+m AS (SELECT report_id, model, i, x, unnest(range(CAST(json_array_length(x, '$.masks') AS BIGINT))) AS c FROM samples WHERE json_type(x, '$.masks') = 'ARRAY')
 SELECT report_id, 'run' AS child, '' AS model, i AS parent_ord, CAST(0 AS BIGINT) AS child_ord FROM r WHERE json_type(j, '$.runs[' || i || '].timing_seconds.dino_seconds') <> 'NULL'
 UNION ALL SELECT report_id, 'box', model, i, c FROM boxes WHERE (json_type(e) = 'ARRAY' AND json_array_length(e) = 4 AND {" AND ".join(_NUMBER.format(f"json_extract(e, '$[{k}]')") for k in range(4))})
   OR (json_type(e) = 'OBJECT' AND {" AND ".join(_NUMBER.format(f"json_extract(e, '$.{k}')") for k in "xywh")})
