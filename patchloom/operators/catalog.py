@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patchloom.functions.scalars import first_part, is_image, label_key, subset_rank
+from patchloom.session import cut
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
@@ -77,11 +78,27 @@ def preview(records: DataFrame, n_boxes: str, order: list, n: int) -> DataFrame:
     return records.orderBy(F.col(n_boxes) == 0, *order).limit(n)
 
 
+def numbered(rows: DataFrame, order: list) -> DataFrame:
+    """`rows` with their position in an order, from 0, and n. Sorted by ranges; no task ever holds all rows.
+
+    The sorted rows are stored with a number within their range, and the ranges' sizes (one a task) give the offsets.
+    """
+    held = cut(rows.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_m", 33)
+    sizes = sorted((r["part"], r["n"]) for r in held.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    starts, total = [], 0
+    for number, n in sizes:
+        starts.append((number, total))
+        total += n
+    offsets = rows.sparkSession.createDataFrame(starts, "_part BIGINT, _start BIGINT")
+    out = held.join(F.broadcast(offsets), part == F.col("_part"))  # a row a task
+    return out.withColumn("position", F.col("_start") + F.col("_m").bitwiseAND((1 << 33) - 1)).withColumn("n", F.lit(total)).drop("_m", "_part", "_start")
+
+
 def probes(rows: DataFrame, order: list) -> DataFrame:
-    """First, middle and last row of an order."""
-    w = Window.orderBy(*order)
-    numbered = rows.withColumn("position", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
-    return numbered.where((F.col("position") == 0) | (F.col("position") == F.floor(F.col("_n") / 2)) | (F.col("position") == F.col("_n") - 1)).drop("_n")
+    """First, middle and last row of an order, with their position."""
+    at = F.col("position")
+    return numbered(rows, order).where((at == 0) | (at == F.floor(F.col("n") / 2)) | (at == F.col("n") - 1)).drop("n")
 
 
 def route(relative: Column, routes: dict[str, str]) -> Column:

@@ -160,7 +160,7 @@ def preview_selection(spark: SparkSession, d: str) -> DataFrame:
     return catalog.preview(quality.counts(images(spark, d), boxes(spark, d)), "n_boxes", ["image"], 100)
 
 
-@query(f"WITH {RECORDS_SQL}, x AS (SELECT relative, row_number() OVER (ORDER BY relative, image_id) - 1 AS position, count(*) OVER () AS n FROM records) SELECT relative, CAST(position AS INT) AS position FROM x WHERE position IN (0, n // 2, n - 1)")
+@query(f"WITH {RECORDS_SQL}, x AS (SELECT relative, row_number() OVER (ORDER BY relative, image_id) - 1 AS position, count(*) OVER () AS n FROM records) SELECT relative, position FROM x WHERE position IN (0, n // 2, n - 1)")
 def probe_rows(spark: SparkSession, d: str) -> DataFrame:
     return catalog.probes(records(spark, d).select("relative", "image_id"), ["relative", "image_id"]).select("relative", "position")
 

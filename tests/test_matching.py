@@ -155,3 +155,11 @@ def test_colours():
     assert not pca.colours(np.ones((16, 4)))[0].any()
     with pytest.raises(ValueError):
         pca.colours(np.full((4, 4), np.nan))
+
+
+def test_positions_in_an_order_need_no_single_task(spark):
+    rows = spark.range(1000).selectExpr("1000 - id v", "'x' n0").repartition(7)
+    got = {r["v"]: (r["position"], r["n"]) for r in catalog.numbered(rows, ["v"]).collect()}
+    assert got == {v: (v - 1, 1000) for v in range(1, 1001)}
+    assert sorted((r["v"], r["position"]) for r in catalog.probes(rows, ["v"]).collect()) == [(1, 0), (501, 500), (1000, 999)]
+    assert catalog.probes(rows.limit(1), ["v"]).count() == 1 and catalog.probes(rows.limit(0), ["v"]).count() == 0
