@@ -5,7 +5,8 @@ a child names its parent whatever else arrives. Positions count from 0 and count
 
 Defined results. A null, torn or non-object payload emits nothing; a payload encoded twice is decoded twice. Null or
 differently shaped parts emit nothing and never fail their siblings. A single sample in place of a list has position 0.
-Rows repeated under one `report_id` count once. Empty input gives empty tables.
+Rows repeated under one `report_id` count once. Empty input gives empty tables. A number in quotes is read as the number,
+other text in a numeric column as null; the coordinates of a box must be numbers without quotes.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +43,13 @@ PAYLOADS = {
     "part": "part BIGINT, area BIGINT",
 }
 
+NUMERIC = (T.DoubleType, T.LongType)
+
+
+def _typed(value: Column, kind: T.DataType) -> Column:
+    """A number is read as text first, as from_json has no value for one in quotes. A Java suffix, as of 1d, is no number."""
+    return F.when(~value.rlike(r"[0-9.][dDfF]\s*$"), value.try_cast(kind)) if isinstance(kind, NUMERIC) else value
+
 
 def decode(payload: str | None) -> dict | None:
     """The payload's object, decoded once more for each time it was encoded as a string."""
@@ -130,7 +138,10 @@ class FlatTables:
     def read(self, tag: str) -> DataFrame:
         """One flat table with its payload typed. Only this tag's files are read."""
         rows = self.emitted().where(F.col("tag") == tag).drop("tag")
-        return rows.withColumn("_p", F.from_json("payload", PAYLOADS[tag])).select(*rows.columns[:-1], "_p.*")
+        wanted = T.StructType.fromDDL(PAYLOADS[tag])
+        as_text = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, NUMERIC) else f.dataType) for f in wanted])
+        parsed = rows.withColumn("_p", F.from_json("payload", as_text))
+        return parsed.select(*rows.columns[:-1], *[_typed(F.col("_p")[f.name], f.dataType).alias(f.name) for f in wanted])
 
     def children(self) -> DataFrame:
         """Runs with dino seconds, boxes and masks as (report_id, child, model, parent_ord, child_ord)."""

@@ -41,3 +41,11 @@ def test_deep_and_long_payloads():
     assert decode("[" * 100_000) is None
     many = {"samples": [{"boxes_xywh_normalized": [[0, 0, 1, 1]] * 50_000}]}
     assert sum(r[0] == "box" for r in visit(1, json.dumps(many))) == 50_000
+
+
+def test_numbers_in_quotes_are_read(spark, tmp_path):
+    timings = [{"dino_seconds": v, "decode_seconds": 1} for v in ("51.51152", 2, 0.25, None, "n/a", "1d", True)]
+    text = json.dumps({"runs": [{"images_processed": n, "timing_seconds": t} for n, t in zip(("12", 3, 12.5, None, "x", 1, 1), timings)]})
+    rows = flat(spark, tmp_path, [(1, text)]).read("run").orderBy("parent_ord").collect()
+    assert [r["dino_seconds"] for r in rows] == [51.51152, 2.0, 0.25, None, None, None, None]
+    assert [r["images_processed"] for r in rows] == [12, 3, None, None, None, 1, 1] and all(r["decode_seconds"] == 1.0 for r in rows)
