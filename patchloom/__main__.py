@@ -38,7 +38,7 @@ def main(args: list[str] | None = None) -> int:
         if name != "doctor":
             sub.add_argument("--dataset", required=True)
             sub.add_argument("--output", default="work")
-            sub.add_argument("--limit", type=int, default=20)
+            sub.add_argument("--limit", type=int, default=None if name == "benchmark" else 20)
         if name == "compare":
             sub.add_argument("--other", required=True, help="the second configuration")
     options = parser.parse_args(args)

@@ -7,13 +7,14 @@ import time
 from collections.abc import Callable
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom import config
 from patchloom.functions import scalars
 from patchloom.operators import catalog, fewshot, nms, pca, planner, quality, receipts, roi, spectral
-from patchloom.session import cut
+from patchloom.session import cut, scratch
 from patchloom.sinks import files
 from patchloom.sources import images as image_source
 from patchloom.sources.images import Backbone, HashBackbone
@@ -51,6 +52,19 @@ def labels_of(kept: DataFrame, done: DataFrame) -> DataFrame:
     return done.select("image").join(per, "image", "left").select("image", receipts.encode_labels(boxes).alias("label"))
 
 
+def label_images(spark: SparkSession, root: str, left: DataFrame, out: str, s: config.Settings, make: Callable[[], Backbone], fingerprint: str, batch: int = 16) -> DataFrame:
+    """Decode, extract features, cut masks, find boxes, write labels and then receipts of `left`. Returns image, error of those that failed."""
+    features, sizes = features_of(spark, root, left, s, make, batch)
+    features, sizes = cut(features, "features"), cut(sizes, "sizes")
+    kept, wrong = boxes_of(features, sizes, s, make().grid)
+    wrong = cut(wrong, "errors")
+    good = sizes.join(wrong, "image", "left_anti")
+    labelled = cut(labels_of(kept, good), "labels")
+    facts = left.join(good.withColumnRenamed("image", "relative"), "relative").join(labelled.withColumnRenamed("image", "relative"), "relative")
+    files.save_labels(labelled, receipts.receipts(facts, fingerprint, root), out)
+    return wrong
+
+
 def generate(spark: SparkSession, root: str, out: str, s: config.Settings, make: Callable[[], Backbone] = HashBackbone, model_digest: str = "none", resume: bool = True) -> dict:
     """Label every image that has no valid label yet. Finished ones are left out before anything is decoded.
 
@@ -69,14 +83,7 @@ def generate(spark: SparkSession, root: str, out: str, s: config.Settings, make:
         total, todo = records.count(), left.count()
         failed, errors = 0, []
         if todo:
-            features, sizes = features_of(spark, root, left, s, make)
-            features, sizes = cut(features, "features"), cut(sizes, "sizes")
-            kept, wrong = boxes_of(features, sizes, s, make().grid)
-            wrong = cut(wrong, "errors")
-            good = sizes.join(wrong, "image", "left_anti")
-            labelled = cut(labels_of(kept, good), "labels")
-            facts = left.join(good.withColumnRenamed("image", "relative"), "relative").join(labelled.withColumnRenamed("image", "relative"), "relative")
-            files.save_labels(labelled, receipts.receipts(facts, fingerprint, root), out)
+            wrong = label_images(spark, root, left, out, s, make, fingerprint)
             failed = wrong.select("image").distinct().count()
             errors = [r.asDict() for r in wrong.select("image", F.substring("error", 1, 1000).alias("error")).orderBy("image").limit(100).collect()]
         elapsed = time.perf_counter() - began
@@ -130,26 +137,74 @@ def tau_sweep(spark: SparkSession, features: DataFrame, sizes: DataFrame, s: con
     return out
 
 
-def benchmark(spark: SparkSession, root: str, s: config.Settings, images: int, make: Callable[[], Backbone] = HashBackbone, workers: list[int] | None = None) -> dict:
-    """Measure feature extraction for partitions by batch size, repeated, and choose the best stable candidate."""
-    records = catalog.scan(spark, root)
-    subset = cut(catalog.deterministic_subset(records, images, s.pipeline.seed), "subset")
-    limit = spark.sparkContext.defaultParallelism
-    runs = []
-    for batch, n in itertools.product(s.benchmark.batch_sizes, planner.worker_candidates(workers or list(s.benchmark.worker_counts), limit)):
-        for _ in range(s.benchmark.repeats):
-            began = time.perf_counter()
-            decoded = image_source.decoded(spark, root, subset).repartition(n)
-            done = image_source.features(decoded, make, s.features.resolution, batch).where("error IS NULL").select("image").distinct().count()
-            runs.append((n, batch, "ok", done / (time.perf_counter() - began)))
-    table = spark.createDataFrame(runs, "workers INT, batch INT, status STRING, throughput DOUBLE")
-    candidates = planner.candidates(table, s.benchmark.repeats)
-    best = planner.choose_best(candidates, s.benchmark.min_stability_ratio).collect()
+def trial(spark: SparkSession, root: str, subset: DataFrame, s: config.Settings, make: Callable[[], Backbone], workers: int, batch: int, stage: str, repeat: int = 0) -> dict:
+    """The whole job of `generate` without resume on a subset, in a folder of its own that is removed: one run of a report.
+
+    `workers` is the number of tasks of each shuffle. Memory that runs out in the backbone is the status oom; other errors are raised.
+    """
+    changed = {"spark.sql.shuffle.partitions": str(workers), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    fingerprint, total = s.fingerprint("none"), subset.count()
+    run = {"stage": stage, "repeat": repeat, "cpu_workers": workers, "batch_size": batch}
+    with scratch(spark, f"trial-{stage}") as folder:
+        out, began = f"{folder}/out", time.perf_counter()
+        try:
+            for k, v in changed.items():
+                spark.conf.set(k, v)
+            failed = label_images(spark, root, subset, out, s, make, fingerprint, batch).select("image").distinct().count()
+        except PySparkException as e:
+            if "out of memory" not in str(e).lower():
+                raise
+            return run | {"status": "oom", "images_processed": 0, "images_failed": total, "elapsed_seconds": time.perf_counter() - began, "throughput_images_per_sec": 0.0, "labelled": 0, "quality": None}
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+        elapsed = time.perf_counter() - began
+        labels, known = files.load_labels(spark, out)
+        run |= {"labelled": receipts.valid(subset, known, labels, fingerprint, root).count(), "quality": quality_of(spark, out, subset, fingerprint, root)}
+    done = total - failed
+    return run | {"status": "ok" if not failed else "failed", "images_processed": done, "images_failed": failed, "elapsed_seconds": elapsed, "throughput_images_per_sec": done / elapsed}
+
+
+def benchmark(spark: SparkSession, root: str, s: config.Settings, images: int | None = None, make: Callable[[], Backbone] = HashBackbone, workers: list[int] | None = None) -> dict:
+    """Smoke trial, repeated trials of partitions by batch size, and a confirmation trial of the best stable candidate.
+
+    A trial is the whole job (see `trial`); the forecast rests on the confirmation. Their subsets are prefixes of one
+    order, of the sizes in the settings, and none is larger than `images`.
+    """
+    b = s.benchmark
+    records = cut(catalog.require_rows(catalog.scan(spark, root), f"no images in {root}"), "records")
+    most = max(b.smoke_images, b.scaling_images, b.confirmation_images)
+    subset = cut(catalog.deterministic_subset(records, most if images is None else min(images, most), s.pipeline.seed), "subset")
+    first = lambda n: subset.where(F.col("rank") <= n)
+    run = lambda stage, n, *how: trial(spark, root, first(n), s, make, *how[:2], stage, *how[2:])
+    smoke = run("smoke", b.smoke_images, 1, 1)
+    if smoke["status"] != "ok" or smoke["labelled"] != smoke["images_processed"]:
+        raise RuntimeError(f"smoke trial: {smoke['images_failed']} images failed, {smoke['labelled']} have a valid label")
+    if not smoke["quality"]["total_boxes"]:
+        raise RuntimeError("smoke trial: no boxes on any image")
+    scaling, warnings = [], []
+    counts = planner.worker_candidates(workers or list(b.worker_counts), spark.sparkContext.defaultParallelism)
+    for batch, n in itertools.product(sorted(set(b.batch_sizes)), counts):
+        if any(r["status"] == "oom" for r in scaling):
+            warnings.append("out of memory: no further candidates")
+            break
+        for repeat in range(b.repeats):
+            scaling.append(run("scaling", b.scaling_images, n, batch, repeat))
+            if scaling[-1]["status"] != "ok":
+                break
+    table = spark.createDataFrame([(r["cpu_workers"], r["batch_size"], r["status"], r["throughput_images_per_sec"]) for r in scaling], "workers INT, batch INT, status STRING, throughput DOUBLE")
+    candidates = planner.candidates(table, b.repeats)
+    best = planner.choose_best(candidates, b.min_stability_ratio).collect()
     if not best:
         raise RuntimeError("no candidate is stable; measure more images")
-    rate = best[0]["stable_throughput"]
+    confirmation = run("confirmation", b.confirmation_images, best[0]["workers"], best[0]["batch"])
+    if confirmation["status"] != "ok":
+        raise RuntimeError(f"confirmation trial: {confirmation['images_failed']} images failed")
+    rate = confirmation["throughput_images_per_sec"]
     forecast = spark.range(1).select(*planner.estimate(F.lit(rate), F.lit(records.count()))).collect()[0].asDict()
-    return {"best": best[0].asDict(), "candidates": [r.asDict() for r in candidates.collect()], "estimate": forecast, "qualified": images >= 10_000 and s.benchmark.repeats >= 2}
+    confirmed = spark.range(1).select(planner.qualified(F.lit(confirmation["images_processed"]), F.lit(b.repeats)).alias("q")).collect()[0]["q"]
+    return {"best": best[0].asDict(), "candidates": [r.asDict() for r in candidates.collect()], "runs": [smoke, *scaling, confirmation], "estimate": forecast, "qualified": confirmed, "warnings": warnings}
 
 
 def match_images(features: DataFrame, supports: DataFrame, proposals: DataFrame, threshold: float = -1.0, min_margin: float = 0.0) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zipfile
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it has been counted to hold no more rows than this.
 BROADCAST_ROWS = 50_000
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 def ship(spark: SparkSession) -> None:
@@ -34,8 +37,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or one of our own where it is unset (local tests)."""
+    """The folder all executors share: `spark.checkpoint.dir`, or one of our own where it is unset (local tests). Within `scratch`, its folder."""
     ship(spark)
+    if inner := _SCRATCH.get():
+        return inner
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = tempfile.mkdtemp(prefix="patchloom-")
@@ -64,6 +69,19 @@ def filesystem(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession, label: str):
+    """A folder in the shared one that takes all tables cut meanwhile, and is removed with them."""
+    path = shared_path(spark, label)
+    token = _SCRATCH.set(path)
+    try:
+        yield path
+    finally:
+        _SCRATCH.reset(token)
+        fs, folder = filesystem(spark, path)
+        fs.delete(folder, True)
+
+
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", limit: int = BROADCAST_ROWS, salts: int = 16) -> DataFrame:
     """Join with a side expected to be small: broadcast if a count proves it, else both sides are salted and shuffled.
 

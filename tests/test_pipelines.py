@@ -86,6 +86,33 @@ def test_compare_sweep_benchmark_and_colours(spark, folder):
     assert pipelines.key_preview(spark, root, SETTINGS, 2, Planted).count() == 128
 
 
+def quick(**more):
+    return replace(SETTINGS, benchmark=config.Benchmark(smoke_images=2, scaling_images=3, confirmation_images=5, repeats=1, worker_counts=(1,), min_stability_ratio=0.01, **more))
+
+
+class Small(Planted):
+    """Its memory holds three images."""
+
+    def extract(self, batch):
+        if len(batch) > 2:
+            raise RuntimeError("CUDA out of memory")
+        return super().extract(batch)
+
+
+def test_benchmark_trials_do_the_whole_job(spark, folder):
+    b = pipelines.benchmark(spark, str(folder / "in"), quick(batch_sizes=(3, 2)), None, Small)
+    assert [(r["stage"], r["batch_size"], r["status"], r["images_processed"], r["labelled"]) for r in b["runs"]] == [("smoke", 1, "ok", 2, 2), ("scaling", 2, "ok", 3, 3), ("scaling", 3, "oom", 0, 0), ("confirmation", 2, "ok", 5, 5)]
+    assert b["runs"][-1]["quality"]["total_boxes"] >= 4 and not b["qualified"] and b["best"]["batch"] == 2
+    assert b["estimate"]["hours"] == pytest.approx(5 / b["runs"][-1]["throughput_images_per_sec"] / 3600)
+
+
+def test_benchmark_fails_with_its_images(spark, folder):
+    for i in range(5):
+        (folder / "in/train2017" / f"broken{i}.png").write_bytes(b"no picture")
+    with pytest.raises(RuntimeError, match="images failed"):
+        pipelines.benchmark(spark, str(folder / "in"), replace(quick(batch_sizes=(2,)), benchmark=replace(quick().benchmark, smoke_images=10)), None, Planted)
+
+
 def test_matching_and_localisation(spark):
     rows = [(i, 2, 2, r, c, [1.0, 0.0] if (c == 0) == (i != "b") else [0.0, 1.0]) for i in ("a", "b", "q") for r in range(2) for c in range(2)]
     f = spark.createDataFrame(rows, "image STRING, rows INT, cols INT, r INT, c INT, vec ARRAY<DOUBLE>")
