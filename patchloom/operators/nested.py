@@ -4,7 +4,8 @@ Each row has a tag, its own key (`pk`), its parent's key (`parent_pk`) and a JSO
 a child names its parent whatever else arrives. Positions count from 0 and count nulls.
 
 Defined results. A null, torn or non-object payload emits nothing; a payload encoded twice is decoded twice. Null or
-differently shaped parts emit nothing and never fail their siblings. A single sample in place of a list has position 0.
+differently shaped entries of a list emit nothing and never fail their siblings. Every other part without a column or a
+row of its own (errors, quality, metadata, system and so on) is kept as JSON in the `rest` of its row. A single sample in place of a list has position 0.
 Rows repeated under one `report_id` count once. Empty input gives empty tables. A number in quotes is read as the number,
 other text in a numeric column as null; the coordinates of a box must be numbers without quotes.
 """
@@ -33,7 +34,7 @@ EMITTED = T.StructType(
         T.StructField("payload", T.StringType()),
     ]
 )
-#: Schema of each tag's payload.
+#: Schema of each tag's payload. `rest` is added: JSON of the parts that are in no column and no row of their own.
 PAYLOADS = {
     "report": "schema_version STRING, run_id STRING, kind STRING, status STRING",
     "run": "stage STRING, repeat STRING, status STRING, images_processed BIGINT, decode_seconds DOUBLE, dino_seconds DOUBLE, maskcut_seconds DOUBLE, backpressure_seconds DOUBLE",
@@ -41,7 +42,10 @@ PAYLOADS = {
     "box": "x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE, score DOUBLE",
     "mask": "mask_id BIGINT, area BIGINT, cells ARRAY<ARRAY<INT>>",
     "part": "part BIGINT, area BIGINT",
+    "model": "",
 }
+PAYLOADS = {tag: f"{columns}, rest STRING".removeprefix(", ") for tag, columns in PAYLOADS.items()}
+NAMES = {tag: {f.split()[0] for f in columns.split(", ")} - {"rest"} for tag, columns in PAYLOADS.items()}
 
 NUMERIC = (T.DoubleType, T.LongType)
 
@@ -76,8 +80,17 @@ def box_of(entry) -> dict | None:
     return {k: entry[k] for k in "xywh"} | ({"score": entry["score"]} if _number(entry.get("score")) else {})
 
 
-def _scalars(node: dict) -> dict:
-    return {k: v for k, v in node.items() if not isinstance(v, (dict, list))}
+def _row(tag: str, node: dict, apart: dict | None = None) -> str:
+    """The payload of a row: what has a column, and all else, with `apart`, as JSON text in `rest`. Parts with rows of their own are not in `node`."""
+    wide = {"grid", "cells"}
+    kept = {k: v for k, v in node.items() if k in NAMES[tag] and (isinstance(v, list) if k in wide and v is not None else not isinstance(v, (dict, list)))}
+    rest = {k: v for k, v in node.items() if k not in kept} | (apart or {})
+    return json.dumps(kept | ({"rest": json.dumps(rest)} if rest else {}), ensure_ascii=False)
+
+
+def _without(node: dict, **children: type | tuple) -> dict:
+    """`node` less the named parts that are of the type whose rows are emitted."""
+    return {k: v for k, v in node.items() if k not in children or not isinstance(v, children[k])}
 
 
 def visit(report_id: int, payload: str | None) -> Iterator[tuple]:
@@ -85,36 +98,45 @@ def visit(report_id: int, payload: str | None) -> Iterator[tuple]:
     root = decode(payload)
     if root is None:
         return
-    text = lambda x: json.dumps(x, ensure_ascii=False)
     top = str(report_id)
-    yield "report", report_id, top, None, "", 0, 0, text(_scalars(root))
+    models = root.get("models")
+    models = models if isinstance(models, dict) else {}
+    odd = {k: v for k, v in models.items() if not isinstance(v, dict)}
+    yield "report", report_id, top, None, "", 0, 0, _row("report", _without(root, runs=list, samples=(list, dict), models=dict), {"models": odd} if odd else None)
     runs = root.get("runs")
     for i, run in enumerate(runs if isinstance(runs, list) else []):
         if isinstance(run, dict):
             timing = run.get("timing_seconds")
-            timing = {k: text(v) if isinstance(v, (dict, list)) else v for k, v in timing.items()} if isinstance(timing, dict) else {}
-            yield "run", report_id, f"{top}/runs/{i}", top, "", i, 0, text({k: v for k, v in _scalars(run).items() if k != "dino_seconds"} | timing)
-    models = root.get("models")
-    places = [("", root.get("samples"))] + [(m, x.get("samples")) for m, x in (models.items() if isinstance(models, dict) else []) if isinstance(x, dict)]
+            timing = timing if isinstance(timing, dict) else {}
+            timed = {k: v if not isinstance(v, (dict, list)) else json.dumps(v) for k, v in timing.items() if k in NAMES["run"]}
+            own = {k: v for k, v in _without(run, timing_seconds=dict).items() if k != "dino_seconds" and k not in timed}
+            # a time of the run itself, beside those of timing_seconds, is no column
+            apart = {k: v for k, v in run.items() if k == "dino_seconds" or k in timed}
+            left = {k: v for k, v in timing.items() if k not in timed}
+            yield "run", report_id, f"{top}/runs/{i}", top, "", i, 0, _row("run", own | timed, apart | ({"timing_seconds": left} if left else {}))
+    for m, model in models.items():
+        if isinstance(model, dict):
+            yield "model", report_id, f"{top}/models/{m}", top, m, 0, 0, _row("model", _without(model, samples=(list, dict)))
+    places = [("", root.get("samples"))] + [(m, x.get("samples")) for m, x in models.items() if isinstance(x, dict)]
     for model, samples in places:
         for i, sample in enumerate(samples if isinstance(samples, list) else [samples]):
             if not isinstance(sample, dict):
                 continue
             pk = f"{top}/{model}/samples/{i}"
-            grid = sample.get("grid")
-            yield "sample", report_id, pk, top, model, i, 0, text(_scalars(sample) | ({"grid": grid} if isinstance(grid, list) else {}))
+            yield "sample", report_id, pk, top, model, i, 0, _row("sample", _without(sample, boxes_xywh_normalized=list, masks=list))
             boxes, masks = sample.get("boxes_xywh_normalized"), sample.get("masks")
             for j, entry in enumerate(boxes if isinstance(boxes, list) else []):
                 if box := box_of(entry):
-                    yield "box", report_id, f"{pk}/boxes/{j}", pk, model, i, j, text(box)
+                    extra = {k: v for k, v in entry.items() if k not in box} if isinstance(entry, dict) else {}
+                    yield "box", report_id, f"{pk}/boxes/{j}", pk, model, i, j, _row("box", box, extra)
             for j, mask in enumerate(masks if isinstance(masks, list) else []):
                 if not isinstance(mask, dict):
                     continue
-                yield "mask", report_id, f"{pk}/masks/{j}", pk, model, i, j, text({k: v for k, v in mask.items() if k != "children"})
+                yield "mask", report_id, f"{pk}/masks/{j}", pk, model, i, j, _row("mask", _without(mask, children=list))
                 parts = mask.get("children")
                 for k, part in enumerate(parts if isinstance(parts, list) else []):
                     if isinstance(part, dict):
-                        yield "part", report_id, f"{pk}/masks/{j}/children/{k}", f"{pk}/masks/{j}", model, j, k, text(_scalars(part))
+                        yield "part", report_id, f"{pk}/masks/{j}/children/{k}", f"{pk}/masks/{j}", model, j, k, _row("part", part)
 
 
 class FlatTables:

@@ -49,3 +49,16 @@ def test_numbers_in_quotes_are_read(spark, tmp_path):
     rows = flat(spark, tmp_path, [(1, text)]).read("run").orderBy("parent_ord").collect()
     assert [r["dino_seconds"] for r in rows] == [51.51152, 2.0, 0.25, None, None, None, None]
     assert [r["images_processed"] for r in rows] == [12, 3, None, None, None, 1, 1] and all(r["decode_seconds"] == 1.0 for r in rows)
+
+
+def test_parts_without_a_column_are_kept(spark, tmp_path):
+    run = {"stage": "smoke", "errors": [{"image": "a", "error": "\ud800"}], "quality": {"n": 1}, "dino_seconds": 9, "timing_seconds": {"dino_seconds": 1, "bbox_seconds": 2}}
+    sample = {"image": "a", "pca_explained_variance_ratio": [0.5], "boxes_xywh_normalized": [{"x": 1, "y": 1, "w": 1, "h": 1, "name": "b"}], "masks": [{"area": 4, "bbox": [1], "children": [{"part": 0, "more": [1]}]}]}
+    root = {"kind": "k", "system": {"cpu": 8}, "warnings": ["w"], "runs": [run], "models": {"m": {"metadata": {"dim": 384}, "key_shape": [1], "samples": [sample]}, "odd": 4}}
+    t = flat(spark, tmp_path, [(1, json.dumps(root))])
+    rest = {tag: json.loads(t.read(tag).collect()[0]["rest"]) for tag in ("report", "run", "model", "sample", "box", "mask", "part")}
+    assert rest["report"] == {"system": {"cpu": 8}, "warnings": ["w"], "models": {"odd": 4}}
+    assert rest["run"] == {"errors": run["errors"], "quality": {"n": 1}, "dino_seconds": 9, "timing_seconds": {"bbox_seconds": 2}}
+    assert rest["model"] == {"metadata": {"dim": 384}, "key_shape": [1]} and rest["sample"] == {"pca_explained_variance_ratio": [0.5]}
+    assert (rest["box"], rest["mask"], rest["part"]) == ({"name": "b"}, {"bbox": [1]}, {"more": [1]})
+    assert t.read("run").collect()[0]["dino_seconds"] == 1.0 and t.read("mask").collect()[0]["area"] == 4
