@@ -48,12 +48,13 @@ def p3_forward_ms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bench(spark: SparkSession, d: str) -> DataFrame:
-    """metric, stage, value of throughput and mask time, over rows of status ok, each once.
+    """metric, stage, value of throughput and mask time, over rows of status ok or null, each once.
 
+    Rows of another status (failed, oom) stay out: their times are those of a job cut short.
     A throughput off from images over seconds by 60, 3,600 or 1/1,000 is brought back to images a second; a mask time
     under one millisecond was noted in seconds.
     """
-    b = table(spark, d, "benchmark_runs").where(F.lower(F.trim("status")) == "ok")
+    b = table(spark, d, "benchmark_runs").where(F.col("status").isNull() | (F.lower(F.trim("status")) == "ok"))
     b = b.select("bench_id", F.coalesce(F.lower(F.trim("stage")), F.lit("")).alias("stage"), "images_processed", "elapsed_seconds", "throughput_images_per_sec", "maskcut_ms_image").distinct()
     rate = F.try_divide(F.col("images_processed"), F.col("elapsed_seconds"))
     off = F.try_divide(F.col("throughput_images_per_sec"), rate)

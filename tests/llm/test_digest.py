@@ -3,7 +3,7 @@ import datetime
 import numpy as np
 import pytest
 
-from patchloom.llm import digest
+from patchloom.llm import digest, queries
 from patchloom.session import join_small
 
 PS = [0.01, 0.25, 0.5, 0.75, 0.99]
@@ -74,3 +74,11 @@ def test_a_side_too_large_to_broadcast_is_salted(spark):
     for limit in (1, 100):
         out = join_small(big, small, ["k"], limit=limit)
         assert sorted(tuple(r) for r in out.collect()) == [(k, v, 2 * k) for k, v in sorted((i % 10, i) for i in range(100))]
+
+
+def test_benchmark_values_of_unknown_status_count(spark, tmp_path):
+    rows = [(1, "ok", 10.0, 20.0), (2, None, 11.0, 21.0), (3, None, 0.0, 22.0), (4, "failed", 12.0, 23.0), (5, "oom", None, 24.0), (6, " OK", None, 25.0)]
+    df = spark.createDataFrame([(i, s, "scaling", 100, 100 / t if t else None, t, m) for i, s, t, m in rows], "bench_id BIGINT, status STRING, stage STRING, images_processed BIGINT, elapsed_seconds DOUBLE, throughput_images_per_sec DOUBLE, maskcut_ms_image DOUBLE")
+    df.write.parquet(str(tmp_path / "benchmark_runs.parquet"))
+    found = sorted((r["metric"], r["value"]) for r in queries._bench(spark, str(tmp_path)).collect())
+    assert found == [("maskcut_ms_image", v) for v in (20.0, 21.0, 22.0, 25.0)] + [("throughput_images_per_sec", v) for v in (10.0, 11.0)]
