@@ -2,7 +2,8 @@
 
 Defined results. A null body, a torn file, JSON whose top value is not an object, or JSON nested deeper than the parser
 allows is skipped. A null value tells nothing: it neither adds nor removes its field. An empty object holds no field. Rows
-repeated under one `file_id` count once. Empty input gives empty results. Two vanished and one appeared field of equal
+repeated under one `file_id` count once; files without an id count by their fields, and their changes have a null id. Files
+of a null workspace are one workspace. NaN and infinities are no JSON. Empty input gives empty results. Two vanished and one appeared field of equal
 parent, type and value: the first by path is the renamed one, the other was removed.
 """
 
@@ -10,11 +11,14 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from patchloom.functions.arrow import emit_rows
+from patchloom.session import cut, join_small
 
 #: One bit a kind, so that folding is a bitwise or.
 KIND_BITS = {"boolean": 1, "integer": 2, "decimal": 4, "string": 8, "array": 16}
@@ -59,11 +63,15 @@ def leaves(document: dict) -> list[tuple[str, str | None, str | None]]:
     return [(path, *kind) for path, kind in out.items()]
 
 
+def _no_json(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
 def read_header(body: str | None) -> list[tuple] | None:
     if body is None:
         return None
     try:
-        document = json.loads(body.removeprefix("﻿"))
+        document = json.loads(body.removeprefix("﻿"), parse_constant=_no_json)
     except (ValueError, RecursionError):
         return None
     return leaves(document) if isinstance(document, dict) else None
@@ -79,27 +87,41 @@ def headers(files: DataFrame) -> DataFrame:
     return emit_rows(files.select("file_id", "workspace", F.col("written_at").cast("timestamp_ntz"), "body"), visit, HEADER)
 
 
-def promote(bits: int) -> str:
-    """Least upper bound in the lattice boolean | integer < decimal | array < string, as a Spark type."""
-    if bits == KIND_BITS["boolean"]:
-        return "boolean"
-    if bits == KIND_BITS["integer"]:
-        return "bigint"
-    if bits and not bits & ~(KIND_BITS["integer"] | KIND_BITS["decimal"]):
-        return "double"
-    if bits == KIND_BITS["array"]:
-        return "array<string>"
-    return "string"
+def promoted(bits: Column) -> Column:
+    """Least upper bound in the lattice boolean | integer < decimal | array < string, as the name of a Spark type."""
+    alone = {"boolean": "boolean", "integer": "bigint", "array": "array<string>"}
+    out = F.when(bits == KIND_BITS["decimal"], "double").when(bits == KIND_BITS["integer"] | KIND_BITS["decimal"], "double")
+    for kind, to in alone.items():
+        out = out.when(bits == KIND_BITS[kind], to)
+    return out.otherwise("string")
 
 
 def fold_schemas(heads: DataFrame) -> DataFrame:
-    """The union schema: path, kind_bits, n_files. Folds map-side; one row a path leaves each task."""
+    """The union schema: path, kind_bits, type, n_files. Folds map-side; one row a path leaves each task."""
     bit = F.coalesce(*[F.when(F.col("f.kind") == k, b) for k, b in KIND_BITS.items()], F.lit(0))
-    return (
+    folded = (
         heads.select("file_id", F.explode("fields").alias("f"))
         .groupBy(F.col("f.path").alias("path"))
         .agg(F.bit_or(bit).alias("kind_bits"), F.count(F.lit(1)).alias("n_files"))
     )
+    return folded.select("path", "kind_bits", promoted(F.col("kind_bits")).alias("type"), "n_files")
+
+
+def union_schema(heads: DataFrame) -> DataFrame:
+    """The union schema with a number for each field, in the order of paths, and its parent's path."""
+    parent = F.expr("left(path, length(path) - length(substring_index(path, '.', -1)))")
+    held = cut(fold_schemas(heads).orderBy("path").withColumn("field_no", F.monotonically_increasing_id()), "union")
+    return held.withColumn("parent", parent)
+
+
+def conformed(heads: DataFrame, union: DataFrame) -> DataFrame:
+    """A row a file and field of the union schema that it mentions: the file's columns, field_no, parent, type, kind, value.
+
+    The value stays as it was told, with its own kind: 4 and 4.0 differ, whatever type the field has in the union. The
+    union schema is broadcast only after counting.
+    """
+    told = heads.select(*[c for c in heads.columns if c != "fields"], F.inline("fields"))
+    return join_small(told, union.select("path", "field_no", "parent", "type"), ["path"])
 
 
 def column_names(paths: list[str], taken: set[str]) -> dict[str, str]:
@@ -115,46 +137,67 @@ def column_names(paths: list[str], taken: set[str]) -> dict[str, str]:
     return names
 
 
-def unified(heads: DataFrame, max_columns: int = 2000) -> DataFrame:
+def once(heads: DataFrame) -> DataFrame:
+    """Each file once, in its workspace's order: `ord`, and the id of the file after it (`has_next`, `next_id`).
+
+    Files of a null id are told apart by their fields.
+    """
+    by_file = Window.partitionBy("workspace").orderBy("written_at", "file_id", "_told")
+    x = heads.withColumn("_told", F.when(F.col("file_id").isNull(), F.xxhash64("fields")))
+    same = F.lag("file_id").over(by_file).eqNullSafe(F.col("file_id")) & F.lag("_told").over(by_file).eqNullSafe(F.col("_told"))
+    x = x.withColumn("_again", same & (F.row_number().over(by_file) > 1)).where("NOT _again")
+    x = x.withColumn("ord", F.row_number().over(by_file)).withColumn("has_next", F.lead(F.lit(True)).over(by_file).isNotNull())
+    return x.withColumn("next_id", F.lead("file_id").over(by_file)).drop("_again", "_told")
+
+
+def unified(heads: DataFrame) -> DataFrame:
     """One consistent table: each file cast to the union schema, a column a field (dots become `__`).
 
-    The union schema has one row a distinct path; the first `max_columns` by path become columns, values of any
-    further paths are kept in the map `other_fields`, so nothing is lost however many fields drift in.
+    However many fields drift in, each becomes a column. A row's fields are put under their columns in one pass over what
+    the file holds; the casts are the JVM's. `heads` is cut from its lineage.
     """
-    found = fold_schemas(heads).orderBy("path").limit(max_columns + 1).collect()
-    schema = {r["path"]: promote(r["kind_bits"]) for r in found[:max_columns]}
-    names = column_names(list(schema), {"file_id", "workspace", "written_at", "other_fields"})
-    w = Window.partitionBy("workspace").orderBy("written_at", "file_id")
-    once = heads.withColumn("_before", F.lag("file_id").over(w)).where(F.col("_before").isNull() | (F.col("_before") != F.col("file_id")))
-    once = once.withColumn("_m", F.map_from_entries(F.transform("fields", lambda f: F.struct(f["path"], f["value"]))))
+    schema = {r["path"]: r["type"] for r in fold_schemas(heads).orderBy("path").collect()}  # what the table's header must hold
+    own = ["file_id", "workspace", "written_at"]
+    names = column_names(list(schema), set(own))
+    files = once(heads).select(*own, "fields")
+    texts = T.StructType([*[files.schema[c] for c in own], *[T.StructField(names[p], T.StringType()) for p in schema]])
+    place = {p: i for i, p in enumerate(schema)}
+    arrow = to_arrow_schema(texts)
+
+    def spread(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                columns: dict[int, list] = {}
+                for row, fields in enumerate(part.column(3).to_pylist()):
+                    for f in fields or ():
+                        columns.setdefault(place[f["path"]], [None] * part.num_rows)[row] = f["value"]
+                empty = pa.nulls(part.num_rows, pa.string())
+                told = [pa.array(columns[i], pa.string()) if i in columns else empty for i in range(len(place))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *told], schema=arrow)
 
     def cast(path: str, to: str) -> Column:
-        text = F.try_element_at("_m", F.lit(path))
-        return F.from_json(text, "array<string>") if to == "array<string>" else text.try_cast(to)
+        text = F.col(f"`{names[path]}`")
+        return (F.from_json(text, to) if to.startswith("array") else text.try_cast(to)).alias(names[path])
 
-    cols = [cast(p, to).alias(names[p]) for p, to in schema.items()]
-    if len(found) > max_columns:
-        known = F.array(*[F.lit(p) for p in schema])
-        cols.append(F.map_filter("_m", lambda k, _: ~F.array_contains(known, k)).alias("other_fields"))
-    return once.select("file_id", "workspace", "written_at", *cols)
+    return files.mapInArrow(spread, texts).select(*own, *[cast(p, to) for p, to in schema.items()])
 
 
 def changes(heads: DataFrame) -> DataFrame:
-    """Ordered differences of each workspace's files: file_id, field, change_kind.
+    """Ordered differences of each workspace's files: file_id, field, change_kind. `heads` is cut from its lineage.
 
-    One shuffle, on `workspace`; every window below keeps to it. A field's mentions in successive files form an island;
-    what an island's last non-null mention said is the field's state, and a gap after it is a removal.
+    Schemas are folded through the lattice into the union schema, files cast to it, and their differences read off in the
+    order of files. One shuffle of fields, on `workspace`; every window below keeps to it, and orders by numbers. A field's
+    mentions in successive files form an island; what an island's last non-null mention said is the field's state, and a
+    gap after it is a removal.
     """
-    by_file = Window.partitionBy("workspace").orderBy("written_at", "file_id")
-    files = heads.withColumn("_before", F.lag("file_id").over(by_file))
-    files = files.where(F.col("_before").isNull() | (F.col("_before") != F.col("file_id")))
-    files = files.select("workspace", "file_id", F.row_number().over(by_file).alias("ord"), F.lead("file_id").over(by_file).alias("next_id"), "fields")
-    x = files.select("workspace", "file_id", "ord", "next_id", F.inline("fields"))
-    by_path = Window.partitionBy("workspace", "path").orderBy("ord")
+    union = union_schema(heads)
+    x = conformed(once(heads), union).select("workspace", "file_id", "ord", "has_next", "next_id", "field_no", "path", "parent", "kind", "value")
+    by_path = Window.partitionBy("workspace", "field_no").orderBy("ord")
     step = F.when(F.col("ord") - F.lag("ord").over(by_path) == 1, 0).otherwise(1)
     x = x.withColumn("_step", step).withColumn("_next", F.lead("ord").over(by_path)).withColumn("island", F.sum("_step").over(by_path))
     said = F.when(F.col("kind").isNotNull(), F.struct("kind", "value"))
-    earlier = Window.partitionBy("workspace", "path", "island").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("workspace", "field_no", "island").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("was", F.last(said, ignorenulls=True).over(earlier)).withColumn("now", F.coalesce(said, "was"))
 
     def event(when: Column, file_id: Column, at: Column, what: str, state: Column) -> Column:
@@ -165,15 +208,14 @@ def changes(heads: DataFrame) -> DataFrame:
         F.array(
             event((c("ord") > 1) & c("kind").isNotNull() & c("was").isNull(), c("file_id"), c("ord"), "added", c("now")),
             event(c("kind").isNotNull() & (c("kind") != c("was")["kind"]), c("file_id"), c("ord"), "retyped", c("now")),
-            event(c("next_id").isNotNull() & c("now").isNotNull() & (c("_next").isNull() | (c("_next") > c("ord") + 1)), c("next_id"), c("ord") + 1, "removed", c("now")),
+            event(c("has_next") & c("now").isNotNull() & (c("_next").isNull() | (c("_next") > c("ord") + 1)), c("next_id"), c("ord") + 1, "removed", c("now")),
         )
     )
-    e = x.select("workspace", "path", F.explode(events).alias("e")).select("workspace", "path", "e.*")
-    parent = F.expr("left(path, length(path) - length(substring_index(path, '.', -1)))")
+    e = x.select("workspace", "field_no", "path", "parent", F.explode(events).alias("e")).select("workspace", "field_no", "path", "parent", "e.*")
     same = Window.partitionBy("workspace", "at", "parent", "kind", "value")
     count = lambda what: F.count(F.when(c("what") == what, 1)).over(same)
-    e = e.withColumn("parent", parent).withColumn("_added", count("added")).withColumn("_removed", count("removed"))
-    e = e.withColumn("_rank", F.row_number().over(Window.partitionBy("workspace", "at", "parent", "kind", "value", "what").orderBy("path")))
+    e = e.withColumn("_added", count("added")).withColumn("_removed", count("removed"))
+    e = e.withColumn("_rank", F.row_number().over(Window.partitionBy("workspace", "at", "parent", "kind", "value", "what").orderBy("field_no")))
     renamed = (c("what") == "added") & (c("_rank") <= c("_removed"))
     gone = (c("what") == "removed") & (c("_rank") <= c("_added"))
     return e.where(~gone).select("file_id", c("path").alias("field"), F.when(renamed, "renamed").otherwise(c("what")).alias("change_kind"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom.functions.vectors import dot, unit
+from patchloom.session import beside, cut
 
 UNKNOWN = "unknown"
 
@@ -21,23 +22,29 @@ def prototypes(support: DataFrame) -> DataFrame:
     return whole.select("cls", unit(F.col("vec")).alias("vec"))
 
 
-def ranked(queries: DataFrame, protos: DataFrame, max_classes: int = 10_000) -> DataFrame:
-    """id, r: each query's (negated cosine, class) of all classes, best first. One pass over the queries, no shuffle.
-
-    Prototypes are one row a class; they are counted, and beyond `max_classes` refused: they go to every task as an array.
-    """
-    if protos.limit(max_classes + 1).count() > max_classes:
-        raise ValueError(f"more than {max_classes} classes")
-    table = protos.agg(F.sort_array(F.collect_list(F.struct("cls", "vec"))).alias("protos"))
-    met = queries.select("id", unit(F.col("vec")).alias("vec")).join(F.broadcast(table))  # one row on the right
+def _compared(queries: DataFrame, protos: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """id, r: each query's (negated cosine, class) for each block of classes; and the number of blocks."""
+    met, n_blocks = beside(queries.select("id", unit(F.col("vec")).alias("vec")), cut(protos.select("cls", "vec"), "prototypes"), "protos", block)
     clipped = lambda v: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v))
     each = F.transform("protos", lambda p: F.struct((-clipped(dot(F.col("vec"), p["vec"]))).alias("c"), p["cls"].alias("cls")))
-    return met.select("id", F.sort_array(each).alias("r"))
+    return met.select("id", each.alias("r")), n_blocks
+
+
+def ranked(queries: DataFrame, protos: DataFrame, block: int = 1000, keep: int | None = None) -> DataFrame:
+    """id, r: each query's (negated cosine, class) of all classes, or the best `keep`, best first.
+
+    Up to `block` classes go to every task as one array: one pass over the queries, no shuffle. More are compared block by
+    block and each query's blocks are put together, of each no more than the best `keep`. Query ids are distinct.
+    """
+    best = lambda r: F.slice(F.sort_array(r), 1, keep) if keep else F.sort_array(r)
+    each, n_blocks = _compared(queries, protos, block)
+    each = each.select("id", best("r").alias("r"))
+    return each if n_blocks == 1 else each.groupBy("id").agg(best(F.flatten(F.collect_list("r"))).alias("r"))
 
 
-def scores(queries: DataFrame, protos: DataFrame) -> DataFrame:
+def scores(queries: DataFrame, protos: DataFrame, block: int = 1000) -> DataFrame:
     """id, cls, cosine of each query (id, vec) with each class."""
-    return ranked(queries, protos).select("id", F.inline("r")).select("id", "cls", (-F.col("c")).alias("cosine"))
+    return _compared(queries, protos, block)[0].select("id", F.inline("r")).select("id", "cls", (-F.col("c")).alias("cosine"))
 
 
 def match(scored: DataFrame, threshold: float = -1.0, min_margin: float = 0.0) -> DataFrame:

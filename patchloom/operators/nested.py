@@ -3,15 +3,17 @@
 Each row has a tag, its own key (`pk`), its parent's key (`parent_pk`) and a JSON payload. Keys are paths of positions, so
 a child names its parent whatever else arrives. Positions count from 0 and count nulls.
 
-Defined results. A null, torn or non-object payload emits nothing; a payload encoded twice is decoded twice. Null or
+Defined results. A null, torn or non-object payload emits nothing; a payload encoded many times is decoded as often. Null or
 differently shaped entries of a list emit nothing and never fail their siblings. Every other part without a column or a
 row of its own (errors, quality, metadata, system and so on) is kept as JSON in the `rest` of its row. A single sample in place of a list has position 0.
-Rows repeated under one `report_id` count once. Empty input gives empty tables. A number in quotes is read as the number,
+Rows repeated under one `report_id` count once; of different payloads under one id the largest stands. Rows without an id
+are told apart by their payload. Empty input gives empty tables. A number in quotes is read as the number,
 other text in a numeric column as null; the coordinates of a box must be numbers without quotes.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -57,9 +59,7 @@ def _typed(value: Column, kind: T.DataType) -> Column:
 
 def decode(payload: str | None) -> dict | None:
     """The payload's object, decoded once more for each time it was encoded as a string."""
-    for _ in range(4):
-        if not isinstance(payload, str):
-            break
+    while isinstance(payload, str):  # decoding a string takes its quotes away, so this ends
         try:
             payload = json.loads(payload.removeprefix("﻿"))
         except (ValueError, RecursionError):
@@ -93,12 +93,17 @@ def _without(node: dict, **children: type | tuple) -> dict:
     return {k: v for k, v in node.items() if k not in children or not isinstance(v, children[k])}
 
 
-def visit(report_id: int, payload: str | None) -> Iterator[tuple]:
+def _step(name: str) -> str:
+    """A name as one step of a key, whatever it holds."""
+    return name.replace("~", "~0").replace("/", "~1")
+
+
+def visit(report_id: int | None, payload: str | None) -> Iterator[tuple]:
     """All rows of one report, parents first."""
     root = decode(payload)
     if root is None:
         return
-    top = str(report_id)
+    top = str(report_id) if report_id is not None else f"~{hashlib.md5(payload.encode()).hexdigest()}"
     models = root.get("models")
     models = models if isinstance(models, dict) else {}
     odd = {k: v for k, v in models.items() if not isinstance(v, dict)}
@@ -116,14 +121,14 @@ def visit(report_id: int, payload: str | None) -> Iterator[tuple]:
             yield "run", report_id, f"{top}/runs/{i}", top, "", i, 0, _row("run", own | timed, apart | ({"timing_seconds": left} if left else {}))
     for m, model in models.items():
         if isinstance(model, dict):
-            yield "model", report_id, f"{top}/models/{m}", top, m, 0, 0, _row("model", _without(model, samples=(list, dict)))
-    places = [("", root.get("samples"))] + [(m, x.get("samples")) for m, x in models.items() if isinstance(x, dict)]
-    for model, samples in places:
+            yield "model", report_id, f"{top}/models/{_step(m)}", top, m, 0, 0, _row("model", _without(model, samples=(list, dict)))
+    places = [(top, "", root.get("samples"))] + [(f"{top}/models/{_step(m)}", m, x.get("samples")) for m, x in models.items() if isinstance(x, dict)]
+    for owner, model, samples in places:
         for i, sample in enumerate(samples if isinstance(samples, list) else [samples]):
             if not isinstance(sample, dict):
                 continue
-            pk = f"{top}/{model}/samples/{i}"
-            yield "sample", report_id, pk, top, model, i, 0, _row("sample", _without(sample, boxes_xywh_normalized=list, masks=list))
+            pk = f"{owner}/samples/{i}"
+            yield "sample", report_id, pk, owner, model, i, 0, _row("sample", _without(sample, boxes_xywh_normalized=list, masks=list))
             boxes, masks = sample.get("boxes_xywh_normalized"), sample.get("masks")
             for j, entry in enumerate(boxes if isinstance(boxes, list) else []):
                 if box := box_of(entry):
@@ -150,8 +155,9 @@ class FlatTables:
         """`reports`: report_id, payload; other columns are ignored. One pass over each payload."""
         spark = reports.sparkSession
         path = path or shared_path(spark, "flat")
-        once = reports.select("report_id", "payload").dropDuplicates(["report_id"])
-        emit_rows(once, visit, EMITTED).write.partitionBy("tag").parquet(path)
+        nameless = F.when(F.col("report_id").isNull(), F.md5(F.col("payload").cast("binary")))
+        once = reports.groupBy("report_id", nameless.alias("_nameless")).agg(F.max("payload").alias("payload"))
+        emit_rows(once.select("report_id", "payload"), visit, EMITTED).write.partitionBy("tag").parquet(path)
         return cls(spark, path)
 
     def emitted(self) -> DataFrame:

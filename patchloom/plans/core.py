@@ -57,7 +57,7 @@ def fewshot_prototypes(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
-    return fewshot.ranked(v.where("NOT is_support"), fewshot.prototypes(v.where("is_support")))
+    return fewshot.ranked(v.where("NOT is_support"), fewshot.prototypes(v.where("is_support")), keep=2)
 
 
 @query(f"WITH {SCORES_SQL} SELECT id, cls, round(cosine, 6) AS cosine FROM scores")

@@ -18,7 +18,7 @@ TARGET_BYTES = 128 << 20
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return drift.changes(drift.headers(table(spark, d, "config_files")))
+    return drift.changes(cut(drift.headers(table(spark, d, "config_files")), "headers"))
 
 
 def p1_unified(spark: SparkSession, d: str) -> DataFrame:

@@ -37,21 +37,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or one of our own where it is unset (local tests). Within `scratch`, its folder."""
+    """The application's folder in the one all executors share, `spark.checkpoint.dir`; it is removed when the JVM ends.
+
+    Where the setting is missing, a local session gets a folder of its own, and a cluster an error. Within `scratch`, its folder.
+    """
     ship(spark)
     if inner := _SCRATCH.get():
         return inner
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder; executors of a cluster need one")
         root = tempfile.mkdtemp(prefix="patchloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+        sc.setCheckpointDir(root)
+    own = f"{root.rstrip('/')}/patchloom/{sc.applicationId}"
+    if getattr(sc, "_patchloom_folder", None) != own:
+        fs, folder = filesystem(spark, own)
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)  # results may be read as long as the session lives
+        sc._patchloom_folder = own
+    return own
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that no other call gets."""
-    return f"{shared_root(spark)}/patchloom/{label}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -69,6 +81,23 @@ def filesystem(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
 
 
+def beside(rows: DataFrame, table: DataFrame, name: str, block: int = 1000, salts: int = 64) -> tuple[DataFrame, int]:
+    """Each row of `rows` once for every block of `table`, whose sorted rows stand in the array `name`; and the number of blocks.
+
+    `table` is cut from its lineage. Up to `block` rows are one array that goes to every task, an empty one if there are none.
+    More are split into blocks by hash; both sides are then salted and shuffled, so that no task gets a block's every row.
+    """
+    n_blocks = -(-table.count() // block)
+    entry = F.sort_array(F.collect_list(F.struct(*table.columns))).alias(name)
+    if n_blocks <= 1:
+        return rows.join(F.broadcast(table.agg(entry))), 1  # one row of at most `block` entries
+    number = F.pmod(F.xxhash64(table.columns[0]), F.lit(n_blocks))
+    blocks = table.groupBy(number.alias("_block")).agg(entry).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(rows.columns[0]), F.lit(salts)).cast("int"))
+    spread = spread.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))))
+    return spread.join(blocks, ["_block", "_salt"]).drop("_block", "_salt"), n_blocks
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession, label: str):
     """A folder in the shared one that takes all tables cut meanwhile, and is removed with them."""

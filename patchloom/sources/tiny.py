@@ -3,7 +3,8 @@
 Defined results. A record needs relative, size and mtime_ns, all readable: `relative` not empty (given as the plain posix
 path), the numbers whole and within 64 bits, however noted. Null, empty and blank bodies hold no record. A .json file that
 does not parse holds none; a .jsonl line that does not parse is none; a .csv or .tsv row torn off (no line end after it, an
-open quote, too few fields) is none. Files of other suffixes hold none. Columns of no header stand in the order FIELDS.
+open quote, too few fields) is none, nor is one with a quote out of place, and reading goes on with the line after the one
+where it began. Files of other suffixes hold none. Columns of no header stand in the order FIELDS.
 """
 
 from __future__ import annotations
@@ -70,29 +71,41 @@ def _json(text: str):
         return None
 
 
-def _rows(body: str, delimiter: str) -> Iterator[dict]:
+def _complete_rows(body: str, delimiter: str) -> Iterator[list[str]]:
+    """Rows that parse and end with a line end. After one that does not parse, reading starts anew on its second line."""
     csv.field_size_limit(2**31 - 1)
-    rows = []
-    try:
-        rows.extend(csv.reader(io.StringIO(body, newline=""), delimiter=delimiter, strict=True))
-    except csv.Error:  # an open quote at the end, or after a stray one: read what stands before it
-        lines, rows = body.splitlines(keepends=True), []
-        for end in range(len(lines) - 1, 0, -1):
-            try:
-                rows = list(csv.reader(io.StringIO("".join(lines[:end]), newline=""), delimiter=delimiter, strict=True))
-                break
-            except csv.Error:
+    lines = list(io.StringIO(body, newline=""))
+    first = taken = 0
+
+    def feed():
+        nonlocal taken
+        while taken < len(lines):
+            taken += 1
+            yield lines[taken - 1]
+
+    while first < len(lines):
+        taken = first
+        try:
+            for row in csv.reader(feed(), delimiter=delimiter, strict=True):
+                first = taken
+                if row and lines[taken - 1].endswith(("\n", "\r")):
+                    yield row
+            return
+        except csv.Error:
+            first += 1
+
+
+def _rows(body: str, delimiter: str) -> Iterator[dict]:
+    names: list[str] = []
+    for row in _complete_rows(body, delimiter):
+        if not names:
+            heads = [x.strip().lower() for x in row]
+            is_header = set(heads) <= set(FIELDS) and "relative" in heads
+            names = heads if is_header else FIELDS
+            if is_header:
                 continue
-        body = "\n"
-    if rows and not body.endswith(("\n", "\r")):
-        rows.pop()
-    if not rows:
-        return
-    names = [x.strip().lower() for x in rows[0]]
-    header = names if set(names) <= set(FIELDS) and "relative" in names else None
-    for row in rows[1:] if header else rows:
-        if len(row) == len(header or FIELDS):
-            yield dict(zip(header or FIELDS, row))
+        if len(row) == len(names):
+            yield dict(zip(names, row))
 
 
 def records_of(file_path: str | None, body: str | None) -> Iterator[tuple]:

@@ -4,6 +4,7 @@ import json
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from patchloom.operators import drift
 
@@ -67,19 +68,31 @@ def test_unified_casts_to_the_least_upper_bound(spark):
     t = drift.unified(drift.headers(files(spark, bodies)))
     assert dict(t.dtypes)["s__t"] == "array<string>"
     assert len(set(c.lower() for c in t.columns)) == len(t.columns)
-    kinds = {r["path"]: drift.promote(r["kind_bits"]) for r in drift.fold_schemas(drift.headers(files(spark, bodies))).collect()}
+    kinds = {r["path"]: r["type"] for r in drift.fold_schemas(drift.headers(files(spark, bodies))).collect()}
     assert kinds == {"a": "string", "A": "boolean", "s.t": "array<string>"}
     assert t.count() == 3
 
 
-def test_fields_beyond_the_column_limit_are_kept(spark):
-    t = drift.unified(drift.headers(files(spark, ['{"a": 1, "b": 2, "c": 3}'])), max_columns=1)
-    assert t.collect()[0]["other_fields"] == {"b": "2", "c": "3"}
+def test_thousands_of_fields_are_all_columns(spark):
+    wide = {f"f{i}": i for i in range(2100)}
+    t = drift.unified(drift.headers(files(spark, [json.dumps(wide), '{"f7": 1.5}'])))
+    assert len(t.columns) == 2103 and dict(t.dtypes)["f7"] == "double" and dict(t.dtypes)["f2099"] == "bigint"
+    first, second = t.orderBy("file_id").collect()
+    assert (first["f2099"], second["f7"], second["f2099"]) == (2099, 1.5, None)
+
+
+def test_files_without_an_id_and_numbers_that_are_no_json(spark):
+    df = files(spark, ['{"a": 1}', '{"b": 2}', '{"c": NaN}']).withColumn("file_id", F.lit(None).cast("bigint"))
+    assert sorted(tuple(r) for r in drift.changes(drift.headers(df.union(df))).collect()) == [(None, "a", "removed"), (None, "b", "added")]
+
+
+def test_a_rename_between_fields_of_other_union_types(spark):
+    assert found(spark, ['{"a": 4, "x": 1}', '{"b": 4, "x": 1}', '{"a": 1.5, "x": 1}']) == [(1, "b", "renamed"), (2, "a", "added"), (2, "b", "removed")]
 
 
 @pytest.mark.parametrize(("bits", "kind"), [(1, "boolean"), (2, "bigint"), (4, "double"), (6, "double"), (8, "string"), (16, "array<string>"), (3, "string"), (18, "string"), (0, "string")])
-def test_lattice(bits, kind):
-    assert drift.promote(bits) == kind
+def test_lattice(spark, bits, kind):
+    assert spark.range(1).select(drift.promoted(F.lit(bits)).alias("t")).collect()[0]["t"] == kind
 
 
 values = st.sampled_from([None, 1, 2, 1.5, "x", True, [1]])

@@ -163,3 +163,13 @@ def test_positions_in_an_order_need_no_single_task(spark):
     assert got == {v: (v - 1, 1000) for v in range(1, 1001)}
     assert sorted((r["v"], r["position"]) for r in catalog.probes(rows, ["v"]).collect()) == [(1, 0), (501, 500), (1000, 999)]
     assert catalog.probes(rows.limit(1), ["v"]).count() == 1 and catalog.probes(rows.limit(0), ["v"]).count() == 0
+
+
+def test_any_number_of_classes_compares_alike(spark):
+    rng = np.random.default_rng(3)
+    protos = spark.createDataFrame([(f"c{i:02}", rng.normal(size=4).tolist()) for i in range(30)], "cls STRING, vec ARRAY<DOUBLE>")
+    q = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(40)], "id INT, vec ARRAY<DOUBLE>")
+    rows = lambda df: sorted(str(r) for r in df.collect())
+    assert rows(fewshot.ranked(q, protos)) == rows(fewshot.ranked(q, protos, block=4))
+    assert rows(fewshot.match(fewshot.ranked(q, protos))) == rows(fewshot.match(fewshot.ranked(q, protos, block=4, keep=2)))
+    assert rows(fewshot.scores(q, protos)) == rows(fewshot.scores(q, protos, block=7))

@@ -28,6 +28,22 @@ def test_children_and_their_parents(spark, tmp_path):
     assert t.read("part").count() == 2 and t.read("sample").where("report_id = 1 AND model = ''").collect()[0]["grid"] == [2, 2]
 
 
+def test_encoded_any_number_of_times(spark, tmp_path):
+    text = json.dumps({"runs": [{"timing_seconds": {"dino_seconds": 1}}]})
+    for _ in range(7):
+        text = json.dumps(text)
+    assert flat(spark, tmp_path, [(1, text)]).children().count() == 1
+
+
+def test_keys_differ_and_rows_of_one_id_are_one(spark, tmp_path):
+    box = {"boxes_xywh_normalized": [[0.1, 0.2, 0.3, 0.4]]}
+    text = json.dumps({"samples": box, "models": {"": {"samples": box}, "a/samples/0": {"samples": box}, "a": {"samples": box}}})
+    t = flat(spark, tmp_path, [(5, text), (5, None), (None, text), (None, text + " "), (None, text)])
+    assert len({r["parent_pk"] for r in t.read("box").where("report_id = 5").collect()}) == 4
+    keys = [(r["tag"], r["pk"]) for r in t.emitted().collect()]
+    assert len(keys) == len(set(keys)) == 3 * (1 + 3 + 4 + 4)
+
+
 def test_empty(spark, tmp_path):
     assert flat(spark, tmp_path, []).children().count() == 0
 

@@ -36,6 +36,14 @@ def test_torn_rows_are_none():
     assert [list(records_of(p, b)) for p, b in [("a.csv", ""), ("a.csv", None), (None, "x"), ("a.csv", "  "), ("a.json", "null"), ("a.xml", "<a/>")]] == [[]] * 6
 
 
+def test_rows_after_a_broken_one_are_read():
+    body = 'relative,size,mtime_ns\na.jpg,1,1\n"b".jpg,2,2\nc.jpg,3,3\nd.jpg,4,4\n'
+    assert [r[0] for r in records_of("a.csv", body)] == ["a.jpg", "c.jpg", "d.jpg"]
+    assert [r[0] for r in records_of("a.csv", body + '"e.jpg,5,5\nf.jpg,6,6\n')] == ["a.jpg", "c.jpg", "d.jpg", "f.jpg"]
+    many = "relative,size,mtime_ns\n" + "".join(f'"{i}"x,1,1\n{i}.jpg,{i},1\n' for i in range(20_000))
+    assert len(list(records_of("a.csv", many))) == 20_000, "in linear time"
+
+
 def table_of(spark, tmp_path):
     return SnapshotTable(spark, str(tmp_path / "t"), RECORDS, "part")
 
