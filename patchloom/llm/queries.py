@@ -68,12 +68,12 @@ def _bench(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.overlaps(table(spark, d, "image_records"), table(spark, d, "provenance"), cut)
+    return overlap.overlaps(overlap.Pictures(table(spark, d, "image_records"), table(spark, d, "provenance"), cut))
 
 
 def p4_by_source(spark: SparkSession, d: str) -> DataFrame:
-    images, digests = table(spark, d, "image_records"), table(spark, d, "provenance")
-    return overlap.report(overlap.overlaps(images, digests, cut), images, digests)
+    digests = table(spark, d, "provenance")
+    return overlap.report(overlap.Pictures(table(spark, d, "image_records"), digests, cut), digests, cut)
 
 
 def p6_sample(spark: SparkSession, d: str) -> DataFrame:

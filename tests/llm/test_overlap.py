@@ -65,13 +65,35 @@ def test_no_pair_of_forms_is_missed(spark):
     merged = {}
     for f, s in forms:
         merged[f] = merged.get(f, 0) | s
-    df = spark.createDataFrame(list(merged.items()), "form STRING, splits INT")
+    df = spark.createDataFrame([(f, s & 1, s >> 1) for f, s in merged.items()], "form STRING, n_train INT, n_eval INT")
     found = {tuple(r) for r in overlap.form_pairs(df).collect()}
     cut = lambda f: f.rsplit(":", 1)
     want = {(a, b) for a, s in merged.items() for b, t in merged.items() if s & 1 and t & 2 and cut(a)[1] == cut(b)[1] and slip(cut(a)[0], cut(b)[0])}
     assert found == want
 
 
+def test_short_slips_are_similar_enough(spark):
+    pairs = [("ab:7", "ba:7"), ("a:8", "b:8"), ("abcd:9", "abdc:9"), ("a:1", "ab:1"), ("aa:2", "a:2")]
+    df = spark.createDataFrame([(f, int(k == 0), k) for x in pairs for k, f in enumerate(x)], "form STRING, n_train INT, n_eval INT")
+    assert {tuple(r) for r in overlap.form_pairs(df).collect()} == set(pairs)
+
+
+def test_recall_of_minwise_hashes_alone(spark):
+    """What the banded hashes find without the exact buckets, by length: all of long names, not of short ones."""
+    rng = np.random.default_rng(11)
+    for length, least in ((6, 0.75), (10, 0.97), (16, 0.99), (24, 0.999)):
+        rows = []
+        for i in range(400):
+            w = "".join(rng.choice(list("abcdefghijklmnopqrst"), length))
+            k = int(rng.integers(0, length - 1))
+            other = [f"{w[:k]}z{w[k + 1 :]}", f"{w[:k]}{w[k + 1 :]}", f"{w[:k]}{w[k + 1]}{w[k]}{w[k + 2 :]}"][i % 3]
+            rows += [(f"{w}:{i}", 1, 0), (f"{other}:{i}", 0, 1)] if other != w else []
+        df = spark.createDataFrame(rows, "form STRING, n_train INT, n_eval INT")
+        found = overlap.form_pairs(df, exact=0).count() / (len(rows) / 2)
+        print(f"{length} letters: {found:.4f}")
+        assert found >= least and overlap.form_pairs(df).count() == len(rows) / 2
+
+
 IMAGES = "image_id BIGINT, relative STRING, source STRING"
 DIGESTS = "image_id BIGINT, sha256 STRING, source STRING, relative STRING"
 
@@ -84,9 +106,10 @@ def test_pairs_of_splits_and_their_report(spark):
     ]
     images = spark.createDataFrame([(*r, "clash") for r in rows], IMAGES)
     digests = spark.createDataFrame([(5, HEX, " Field ", "x"), (7, HEX.upper(), "LAB", "x"), (7, "pending", None, "x"), (4, None, "lab", "x"), (2, "n/a", None, "x"), (6, HEX, "lab", "x"), (99, HEX, "lab", "x")], DIGESTS)
-    pairs = overlap.overlaps(images, digests, KEEP)
+    p = overlap.Pictures(images, digests, KEEP)
+    pairs = overlap.overlaps(p)
     assert sorted(tuple(r) for r in pairs.collect()) == [(1, 2), (1, 10), (5, 7)]
-    out = {(r["split"], r["source"]): (r["n_pairs"], r["n_images"]) for r in overlap.report(pairs, images, digests).collect()}
+    out = {(r["split"], r["source"]): (r["n_pairs"], r["n_images"]) for r in overlap.report(p, digests, KEEP).collect()}
     assert out == {("val2017", ""): (2, 2), ("test2017", "lab"): (1, 1)}
 
 
@@ -95,9 +118,41 @@ def test_copies_meet_all_partners(spark):
     rows = [(i, f"{'train2017' if i % 3 else 'val2017'}/d{i}/big_red_dog_7.jpg", "") for i in range(60)] + [(100 + i, f"train2017/w{i}_cat_sun_{i}.jpg", "") for i in range(120)]
     images = spark.createDataFrame(rows, IMAGES)
     digests = spark.createDataFrame([(i, HEX, "s", "r") for i in range(60)], DIGESTS)
-    assert overlap.overlaps(images, digests, KEEP).count() == 20 * 40
+    assert overlap.overlaps(overlap.Pictures(images, digests, KEEP)).count() == 20 * 40
+
+
+def test_counts_are_those_of_the_pairs(spark):
+    """Images of several names and digests, in both splits, in hot groups: counts by class agree with the pairs expanded."""
+    rng = np.random.default_rng(8)
+    names = ["red_dog", "rad_dog", "red_dgo", "blue_cat", "bluecat", "ab", "ba"]
+    parts = ["train2017", "train2017", "val2017", "test2017"]
+    rows = [(int(rng.integers(0, 60)), f"{parts[rng.integers(4)]}/{names[rng.integers(7)]}_{rng.integers(1, 3)}.jpg", "") for _ in range(140)]
+    images = spark.createDataFrame(rows, IMAGES)
+    digests = spark.createDataFrame([(int(rng.integers(0, 60)), f"{rng.integers(0, 12):064x}", ["A", "b "][rng.integers(2)], "r") for _ in range(60)], DIGESTS)
+    p = overlap.Pictures(images, digests, KEEP)
+    pairs = {tuple(r) for r in overlap.overlaps(p).collect()}
+    split_of, source_of = {}, {}
+    for i, r, _ in rows:
+        split_of.setdefault(i, set()).add(r.split("/")[0])
+    for r in digests.collect():
+        source_of[r["image_id"]] = min(source_of.get(r["image_id"], "~"), r["source"].strip().lower())
+    want: dict = {}
+    partner: dict = {}
+    joined = {(t, e) for i, j in pairs for t, e in ((i, j), (j, i))}
+    direct = overlap.expanded(p.names, p.named, p.forms).unionByName(overlap.expanded(p.sums.selectExpr("key AS a", "key AS b"), p.marked, p.sums))
+    directed = {tuple(r) for r in direct.where("t <> e").collect()}
+    assert {(min(x), max(x)) for x in directed} == pairs and directed <= joined
+    for _, e in directed:
+        partner[e] = partner.get(e, 0) + 1
+    for e, n in partner.items():
+        for s in split_of[e] - {"train2017"}:
+            a, b = want.get((s, source_of.get(e, "")), (0, 0))
+            want[s, source_of.get(e, "")] = a + n, b + 1
+    assert {(r["split"], r["source"]): (r["n_pairs"], r["n_images"]) for r in overlap.report(p, digests, KEEP).collect()} == want
+    for block in (1, 2, 5):
+        assert {tuple(r) for r in overlap.expanded(p.names, p.named, p.forms, block).collect()} == {tuple(r) for r in overlap.expanded(p.names, p.named, p.forms).collect()}
 
 
 def test_empty(spark):
-    pairs = overlap.overlaps(spark.createDataFrame([], IMAGES), spark.createDataFrame([], DIGESTS), KEEP)
+    pairs = overlap.overlaps(overlap.Pictures(spark.createDataFrame([], IMAGES), spark.createDataFrame([], DIGESTS), KEEP))
     assert pairs.count() == 0 and pairs.columns == ["id_a", "id_b"]
