@@ -32,15 +32,21 @@ def encoder(folder: str = FOLDER, name: str = "byte_bpe_50k"):
     return tiktoken.Encoding(name, pat_str=PIECES, mergeable_ranks=ranks(folder, name), special_tokens={})
 
 
+def ids_of(folder: str = FOLDER, name: str = "byte_bpe_50k"):
+    """The encoder as a function of a text that gives an array; a fifth faster than lists."""
+    encode = encoder(folder, name).encode_to_numpy
+    return lambda text: encode(text, allowed_special=set(), disallowed_special=())
+
+
 def token_counts(documents: DataFrame, folder: str = FOLDER, name: str = "byte_bpe_50k") -> DataFrame:
     """doc_id, n_tokens: a row a row of `documents` (doc_id, text; other columns are ignored). Null and empty texts have 0."""
     schema = T.StructType([documents.schema["doc_id"], T.StructField("n_tokens", T.LongType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        encode = encoder(folder, name).encode_ordinary
+        encode = ids_of(folder, name)
         for batch in batches:
-            n = np.fromiter((len(encode(s)) if (s := t.as_py()) else 0 for t in batch.column(1)), np.int64, batch.num_rows)
+            n = np.fromiter((len(encode(s)) if (s := t.as_py()) else 0 for t in batch.column(1)), np.int64, batch.num_rows)  # a text at a time
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n)], schema=arrow)
 
     return documents.select("doc_id", "text").mapInArrow(run, schema)

@@ -33,11 +33,11 @@ def test_texts_are_cut_together_as_alone(texts):
 
 def test_equal_passages_share_chunks():
     rng = np.random.default_rng(0)
-    words = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(n))
+    words = lambda n: "\n".join("".join(rng.choice(list("abcdefghij"), 25)) for _ in range(n))
     shared = words(400)
     both = []
     for _ in range(2):
-        raw = (words(30) + " " + shared).encode()
+        raw = (words(30) + "\n" + shared).encode()
         ends = encode.chunk_ends(raw)[0]
         both.append({raw[a:b] for a, b in zip([0, *ends], ends)})
     assert sum(map(len, both[0] & both[1])) > 0.8 * len(shared)
@@ -51,7 +51,7 @@ def documents(spark, texts):
 
 
 def test_whole_corpus(spark):
-    hot = "the very same line of words again and again. "
+    hot = "the very same line of words again and again.\n"
     texts = [None, "", " ", "\n", "<|endoftext|> is text", hot * 50, hot * 3, "x" * 50_000, "日本語のテキスト" * 900, "a " * 30_000, "odd \x00\x07 ﻿​ end", hot * 50]
     df = documents(spark, texts)
     got = {r["doc_id"]: r["ids"] for r in encode.encode(df).collect()}
@@ -60,6 +60,26 @@ def test_whole_corpus(spark):
     assert counts == {i: len(x) for i, x in got.items()}
 
 
+def test_memory_is_bounded_and_changes_nothing():
+    enc = encoder()
+    calls = []
+
+    def encode_one(text):
+        calls.append(text)
+        return np.array(enc.encode_ordinary(text), np.uint32)
+
+    small = encode.Memory(encode_one, most=2_000)
+    for i in [*range(50), *range(50), 0, 0, 0]:
+        assert small.ids(f"line {i}".encode()).tolist() == enc.encode_ordinary(f"line {i}")
+        assert len(small.young) + len(small.old) < 25
+    assert calls[-1] == "line 0" and calls.count("line 0") < 5
+    large = encode.Memory(encode_one)
+    calls.clear()
+    for _ in range(3):
+        large.ids(b"again")
+    assert calls == ["again"]
+
+
 def test_repeated_rows_each_keep_a_row_and_empty_tables(spark):
     df = documents(spark, ["one two three"])
     assert [r["ids"] for r in encode.encode(df.union(df)).collect()] == [encoder().encode_ordinary("one two three")] * 2
