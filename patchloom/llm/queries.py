@@ -82,8 +82,7 @@ def p6_sample(spark: SparkSession, d: str) -> DataFrame:
     store = prn.PermanentNumbers(spark, shared_path(spark, "numbers"))
     store.insert(records.where("batch_no < 5"), "relative", "batch_no")
     store.insert(records.where("batch_no >= 5 OR batch_no IS NULL"), "relative", "batch_no")
-    limits = prn.thresholds(table(spark, d, "pipeline_configs"), "config_id")
-    return prn.select(store.read(), limits).withColumnRenamed("id", "relative")
+    return prn.select(store.read(), store.thresholds(table(spark, d, "pipeline_configs"), "config_id")).withColumnRenamed("id", "relative")
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -151,6 +150,11 @@ _UNIFORM = "CAST(CAST('0x' || substr(sha256({}), 1, 13) AS BIGINT) AS DOUBLE) /
 
 SQL = {
     "p4_found": f"WITH {_NAME_SQL} SELECT DISTINCT least(t, e) AS id_a, greatest(t, e) AS id_b FROM (SELECT * FROM by_name UNION ALL SELECT * FROM by_digest)",
+    "p4_by_source": f"""WITH {_NAME_SQL}, pairs AS (SELECT DISTINCT t, e FROM (SELECT * FROM by_name UNION ALL SELECT * FROM by_digest)),
+part AS (SELECT DISTINCT image_id AS e, split_part(relative, '/', 1) AS split FROM image_records WHERE split_part(relative, '/', 1) IN ('val2017', 'test2017')),
+source AS (SELECT image_id AS e, min(lower(trim(source))) AS source FROM provenance GROUP BY image_id),
+linked AS (SELECT e, count(*) AS n FROM pairs GROUP BY e)
+SELECT split, coalesce(source, '') AS source, CAST(sum(n) AS BIGINT) AS n_pairs, count(*) AS n_images FROM linked JOIN part USING (e) LEFT JOIN source USING (e) GROUP BY 1, 2""",
     "p6_sample": f"""WITH n AS (SELECT DISTINCT relative, {_UNIFORM.format("'id:' || relative")} AS u FROM image_records WHERE relative IS NOT NULL),
 l AS (SELECT config_id, {_UNIFORM.format("'start:' || CAST(coalesce(seed, 0) AS VARCHAR)")} AS s, max(sample_share) OVER (PARTITION BY coalesce(seed, 0) ORDER BY config_id) AS t FROM pipeline_configs)
 SELECT config_id, relative FROM n JOIN l ON u - s + CASE WHEN u < s THEN 1 ELSE 0 END < t""",

@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from patchloom.llm import prn
 
@@ -16,7 +17,7 @@ def records(spark, first, last, batch=0, parts=3):
 
 
 def sample(spark, store, configs):
-    return {(r["config_id"], r["id"]) for r in prn.select(store.read(), prn.thresholds(configs, "config_id")).collect()}
+    return {(r["config_id"], r["id"]) for r in prn.select(store.read(), store.thresholds(configs, "config_id")).collect()}
 
 
 @pytest.fixture
@@ -52,4 +53,36 @@ def test_nulls_repeats_and_empty(spark, tmp_path, configs):
     assert sample(spark, store, configs) == set()
     store.insert(spark.createDataFrame([(None, 1), ("a", 5), ("a", 2), ("a", None)], "relative STRING, batch_no INT"), "relative", "batch_no")
     assert [tuple(r)[::2] for r in store.read().collect()] == [("a", 2)]
-    assert prn.select(store.read(), prn.thresholds(configs.limit(0), "config_id")).count() == 0
+    assert prn.select(store.read(), store.thresholds(configs.limit(0), "config_id")).count() == 0
+
+
+def test_a_store_outlives_its_object_and_keeps_shares(spark, tmp_path, configs):
+    first = prn.PermanentNumbers(spark, str(tmp_path / "s"), buckets=3)
+    first.insert(records(spark, 0, 200), "relative", "batch_no")
+    before = sample(spark, first, configs)
+    spark.sql(f"DROP TABLE {first.table}")
+    later = prn.PermanentNumbers(spark, str(tmp_path / "s"))
+    assert later.buckets == 3 and later.read().count() == 200
+    later.insert(records(spark, 100, 300), "relative", "batch_no")
+    assert later.read().count() == later.read().select("id").distinct().count() == 300
+    smaller = configs.withColumn("sample_share", F.col("sample_share") / 2)
+    assert before <= sample(spark, later, smaller)
+    plan = later.read().select("id").join(spark.range(9).selectExpr("cast(id as string) id").repartition(3, "id"), "id", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 1, "what is stored is not shuffled"
+
+
+def test_a_second_writer_gets_a_conflict(spark, tmp_path):
+    store = prn.PermanentNumbers(spark, str(tmp_path / "s"))
+    with store._claim(), pytest.raises(prn.Conflict):
+        store.insert(records(spark, 0, 5), "relative", "batch_no")
+    store.insert(records(spark, 0, 5), "relative", "batch_no")
+    assert store.read().count() == 5
+
+
+def test_any_number_of_configurations(spark, tmp_path):
+    store = prn.PermanentNumbers(spark, str(tmp_path / "s"))
+    store.insert(records(spark, 0, 60), "relative", "batch_no")
+    many = spark.range(2500).selectExpr("id AS config_id", "id % 7 AS seed", "0.3 AS sample_share")
+    limits = store.thresholds(many, "config_id")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(prn.select(store.read(), limits)) == rows(prn.select(store.read(), limits, block=5000))
