@@ -4,7 +4,7 @@ Values of a group are sorted and cut into clusters that are equally long under k
 clusters are small near both ends and hold at most about pi / (2 delta) of the rows in the middle. A cluster is kept as a
 centroid (mean, weight, least, largest). Digests of separate tasks, days or partitions are merged by clustering their
 centroids again. `certify` then counts, in a second pass over the values, how many lie below and at each estimate; the
-`rank_error` it states is exact, and is 0 where the estimate is a correct percentile.
+`rank_error` it states is exact, is 0 where the estimate is a correct percentile, and is compared with the `bound` stated.
 
 Defined results. Null, NaN, infinite, zero and negative values are no measurements and are left out; a group without any
 has no row. Null group keys form a group of their own. Whole rows repeated under one id count once. Ties are counted as a
@@ -13,6 +13,8 @@ range of ranks, so an estimate within a run of equal values has no error. Empty
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from patchloom.session import join_small
+from patchloom.session import cut, join_small
 
 DELTA = 200
 #: Rows a task holds before it clusters them.
@@ -144,24 +146,46 @@ def estimate(digests: DataFrame, keys: list[str], ps: list[float]) -> DataFrame:
     return digests.select(*keys, "n", "means", "weights", "lows", "highs").mapInArrow(run, schema)
 
 
-def certify(values: DataFrame, estimates: DataFrame, keys: list[str], value: str, ps: list[float]) -> DataFrame:
-    """keys, p, value, n, rank_error: the second pass counts the values below and at each estimate.
+def bound(p: Column, n: Column, delta: int = DELTA) -> Column:
+    """The rank error stated for the percentile p of n values: the share of rows of one cluster there, and of one row."""
+    return math.pi / delta * F.sqrt(p * (1 - p)) + 1 / n
+
+
+def certify(values: DataFrame, levels: list[tuple[list[str], DataFrame]], value: str, ps: list[float], delta: int = DELTA) -> list[DataFrame]:
+    """Of each level: keys, p, value, n, rank_error, bound, within_bound. `levels`: keys and estimates, the finest first.
 
-    rank_error is the distance from p to the range of ranks (as shares of n) that the estimate holds.
+    The second pass over the values counts those below and at each estimate, for all levels at once; the keys of a coarser
+    level are some of the finest, so its counts are sums. rank_error is the distance from p to the range of ranks (as
+    shares of n) that the estimate holds; it is counted, not estimated.
     """
-    key = F.struct(*keys)  # structs compare null-safe
-    left = measured(values, value).select(key.alias("_k"), F.col(value).alias("_v"))
-    joined = join_small(left, estimates.select(key.alias("_k"), "values"), ["_k"])
-    one = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-    at = [F.col("values")[i] for i in range(len(ps))]
-    counted = joined.groupBy("_k", "values").agg(
-        F.count(F.lit(1)).alias("n"), *[one(F.col("_v") < x).alias(f"lt{i}") for i, x in enumerate(at)], *[one(F.col("_v") <= x).alias(f"le{i}") for i, x in enumerate(at)]
-    )
-
-    def row(i: int, p: float) -> Column:
-        low, high = F.col(f"lt{i}") / F.col("n"), F.col(f"le{i}") / F.col("n")
-        error = F.greatest(F.lit(0.0), F.lit(p) - high, low - F.lit(p))
-        return F.struct(F.lit(p).alias("p"), at[i].alias("value"), error.alias("rank_error"))
-
-    out = counted.select("_k.*", "n", F.explode(F.array(*[row(i, p) for i, p in enumerate(ps)])).alias("r"))
-    return out.select(*keys, "r.p", "r.value", "n", "r.rank_error")
+    finest = levels[0][0]
+    known, whole = None, None
+    for k, (keys, estimates) in enumerate(levels):
+        one = estimates.select(F.struct(*keys).alias(f"_k{k}"), F.col("values").alias(f"_v{k}"))  # structs compare null-safe
+        if known is None:
+            known = one.select("*", *[F.col("_k0")[x].alias(x) for x in finest])
+        else:
+            known = known.withColumn(f"_k{k}", F.struct(*keys)).join(one, f"_k{k}")
+    known = cut(known.drop(*finest), "levels")
+    left = measured(values, value).select(F.struct(*finest).alias("_k0"), F.col(value).alias("_v"))
+    joined = join_small(left, known, ["_k0"])
+    n_of = lambda cond: F.count(F.when(cond, 1))
+    at = [(k, i, F.col(f"_v{k}")[i]) for k in range(len(levels)) for i in range(len(ps))]
+    sums = [f(F.col("_v"), x).alias(f"{name}{k}_{i}") for k, i, x in at for name, f in (("lt", lambda v, x: n_of(v < x)), ("le", lambda v, x: n_of(v <= x)))]
+    counted = joined.groupBy("_k0").agg(F.count(F.lit(1)).alias("n"), *sums)
+    counted = cut(counted.join(known, "_k0"), "counted") if len(levels) > 1 else counted.join(known, "_k0")
+
+    def level(k: int) -> DataFrame:
+        total = lambda c: F.sum(c).alias(c)
+        mine = [total(f"{name}{k}_{i}") for i in range(len(ps)) for name in ("lt", "le")]
+        x = counted.groupBy(f"_k{k}", f"_v{k}").agg(total("n"), *mine) if k else counted
+
+        def row(i: int, p: float) -> Column:
+            low, high = F.col(f"lt{k}_{i}") / F.col("n"), F.col(f"le{k}_{i}") / F.col("n")
+            error = F.greatest(F.lit(0.0), F.lit(p) - high, low - F.lit(p))
+            return F.struct(F.lit(p).alias("p"), F.col(f"_v{k}")[i].alias("value"), error.alias("rank_error"), bound(F.lit(p), F.col("n"), delta).alias("bound"))
+
+        out = x.select(f"_k{k}.*", "n", F.explode(F.array(*[row(i, p) for i, p in enumerate(ps)])).alias("r"))
+        return out.select(*levels[k][0], "r.p", "r.value", "n", "r.rank_error", "r.bound", (F.col("r.rank_error") <= F.col("r.bound")).alias("within_bound"))
+
+    return [level(k) for k in range(len(levels))]

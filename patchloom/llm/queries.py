@@ -19,32 +19,49 @@ def _forward(spark: SparkSession, d: str) -> DataFrame:
     return digest.measured(t, "value").distinct()
 
 
-def _percentiles(digests: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
-    estimates = cut(digest.estimate(digests, keys, PERCENTILES), "estimates")
-    return digest.certify(values, estimates, keys, "value", PERCENTILES)
+def _estimates(digests: DataFrame, keys: list[str]) -> DataFrame:
+    return cut(digest.estimate(digests, keys, PERCENTILES), "estimates")
+
+
+def _forward_levels(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Percentiles of forward times by model and day, and by model over all days from the days' digests merged."""
+    values = cut(_forward(spark, d), "forward")
+    days = cut(digest.build(values, ["model", "day"], "value"), "days")
+    levels = [(keys, _estimates(x, keys)) for keys, x in ((["model", "day"], days), (["model"], digest.merge(days, ["model"])))]
+    return digest.certify(values, levels, "value", PERCENTILES)
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """All of problem 3: metric, grp, day, p, value, n, rank_error.
+    """All of problem 3: metric, grp, day, p, value, n, rank_error, bound, within_bound.
 
-    Forward times by model and day, the same by model over all days from the days' digests merged, and both benchmark
-    metrics by stage (day null).
+    Forward times by model and day, the same by model over all days, and both benchmark metrics by stage (day null).
     """
-    values = cut(_forward(spark, d), "forward")
-    days = cut(digest.build(values, ["model", "day"], "value"), "days")
-    bench = cut(_bench(spark, d), "bench")
-    shape = lambda df, metric, grp, day: df.select(metric.alias("metric"), F.col(grp).alias("grp"), day.alias("day"), "p", "value", "n", "rank_error")
+    shape = lambda df, metric, grp, day: df.select(metric.alias("metric"), F.col(grp).alias("grp"), day.alias("day"), "p", "value", "n", "rank_error", "bound", "within_bound")
     none, forward = F.lit(None).cast("date"), F.lit("forward_ms")
-    by_day = shape(_percentiles(days, values, ["model", "day"]), forward, "model", F.col("day"))
-    by_model = shape(_percentiles(digest.merge(days, ["model"]), values, ["model"]), forward, "model", none)
-    by_stage = shape(_percentiles(digest.build(bench, ["metric", "stage"], "value"), bench, ["metric", "stage"]), F.col("metric"), "stage", none)
-    return by_day.unionByName(by_model).unionByName(by_stage)
+    by_day, by_model = _forward_levels(spark, d)
+    by_stage = shape(p3_bench(spark, d), F.col("metric"), "stage", none)
+    return shape(by_day, forward, "model", F.col("day")).unionByName(shape(by_model, forward, "model", none)).unionByName(by_stage)
+
+
+def p3_certified(spark: SparkSession, d: str) -> DataFrame:
+    """What is certain of problem 3's results: their groups, sizes, and that each counted error is within its stated bound."""
+    return p3_percentiles(spark, d).select("metric", "grp", "day", "p", "n", "within_bound")
 
 
 def p3_forward_ms(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles by model and day, with the counted rank error of each."""
-    values = cut(_forward(spark, d), "forward")
-    return _percentiles(digest.build(values, ["model", "day"], "value"), values, ["model", "day"])
+    return _forward_levels(spark, d)[0]
+
+
+def p3_forward_ms_model(spark: SparkSession, d: str) -> DataFrame:
+    """The same by model over all days."""
+    return _forward_levels(spark, d)[1]
+
+
+def p3_bench(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of throughput and mask time by stage."""
+    bench, keys = cut(_bench(spark, d), "bench"), ["metric", "stage"]
+    return digest.certify(bench, [(keys, _estimates(digest.build(bench, keys, "value"), keys))], "value", PERCENTILES)[0]
 
 
 def _bench(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +144,7 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_percentiles, p3_forward_ms, p4_found, p4_by_source, p6_sample, p7_ids, p8_found, p8_packed, p8_use, p9_found, p9_profile)
+    for f in (p3_percentiles, p3_certified, p3_forward_ms, p3_forward_ms_model, p3_bench, p4_found, p4_by_source, p6_sample, p7_ids, p8_found, p8_packed, p8_use, p9_found, p9_profile)
 }
 
 _NAME_SQL = f"""
@@ -148,7 +165,14 @@ by_digest AS (SELECT a.image_id AS t, b.image_id AS e FROM digests a JOIN digest
 
 _UNIFORM = "CAST(CAST('0x' || substr(sha256({}), 1, 13) AS BIGINT) AS DOUBLE) / CAST(4503599627370496 AS DOUBLE)"
 
+_BENCH_SQL = """b AS (SELECT DISTINCT bench_id, coalesce(lower(trim(stage)), '') AS grp, images_processed, elapsed_seconds, throughput_images_per_sec, maskcut_ms_image FROM benchmark_runs WHERE status IS NULL OR lower(trim(status)) = 'ok'),
+bench AS (SELECT 'throughput_images_per_sec' AS metric, grp, throughput_images_per_sec AS v FROM b UNION ALL SELECT 'maskcut_ms_image', grp, maskcut_ms_image FROM b)"""
+
 SQL = {
+    "p3_certified": f"""WITH f AS (SELECT DISTINCT timing_id, coalesce(lower(trim(model)), '') AS grp, CAST(taken_at AS DATE) AS day, forward_ms AS v FROM timings), {_BENCH_SQL},
+g AS (SELECT 'forward_ms' AS metric, grp, day, count(*) AS n FROM f WHERE v > 0 AND isfinite(v) GROUP BY grp, day UNION ALL SELECT 'forward_ms', grp, NULL, count(*) FROM f WHERE v > 0 AND isfinite(v) GROUP BY grp
+  UNION ALL SELECT metric, grp, NULL, count(*) FROM bench WHERE v > 0 AND isfinite(v) GROUP BY metric, grp)
+SELECT metric, grp, day, p, n, true AS within_bound FROM g, (SELECT CAST(unnest([{", ".join(map(str, PERCENTILES))}]) AS DOUBLE) AS p)""",
     "p4_found": f"WITH {_NAME_SQL} SELECT DISTINCT least(t, e) AS id_a, greatest(t, e) AS id_b FROM (SELECT * FROM by_name UNION ALL SELECT * FROM by_digest)",
     "p4_by_source": f"""WITH {_NAME_SQL}, pairs AS (SELECT DISTINCT t, e FROM (SELECT * FROM by_name UNION ALL SELECT * FROM by_digest)),
 part AS (SELECT DISTINCT image_id AS e, split_part(relative, '/', 1) AS split FROM image_records WHERE split_part(relative, '/', 1) IN ('val2017', 'test2017')),
