@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 2048
-PACKED = "doc_id BIGINT, piece INT, n_pieces INT, n_tokens BIGINT, container BIGINT, start BIGINT"
+PACKED = "doc_id BIGINT, piece INT, n_pieces INT, n_tokens BIGINT, container BIGINT, start BIGINT, cost_share DOUBLE"
 
 
 def assign(sizes: np.ndarray, capacity: int, hidden: int, share: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
@@ -54,20 +54,23 @@ def assign(sizes: np.ndarray, capacity: int, hidden: int, share: float = 1.0) ->
     return container, start
 
 
-def fewest(sizes: np.ndarray, capacity: int, hidden: int, shares=(1.0, 0.9, 0.8, 0.65, 0.5, 0.0)) -> tuple[np.ndarray, np.ndarray]:
-    """The assignment of fewest containers; of such, the one that places most tokens by cost."""
+def fewest(sizes: np.ndarray, capacity: int, hidden: int, shares=(1.0, 0.9, 0.8, 0.65, 0.5, 0.0)) -> tuple[np.ndarray, np.ndarray, float]:
+    """The assignment of fewest containers; of such, the one that places most tokens by cost, and the share it so places."""
     floor, best = math.ceil(sizes.sum() / capacity), None
     for share in shares:
         container, start = assign(sizes, capacity, hidden, share)
         if best is None or container.max() < best[0].max():
-            best = container, start
+            best = container, start, share
         if best[0].max() + 1 <= floor:
             break
     return best
 
 
 def pack(sizes: DataFrame, capacity: int = CAPACITY, hidden: int = 1024, shard_tokens: int = 4_000_000) -> DataFrame:
-    """doc_id, piece, n_pieces, n_tokens, container, start. `sizes`: doc_id, n_tokens, already cut from its lineage."""
+    """doc_id, piece, n_pieces, n_tokens, container, start, cost_share (of its shard, see `fewest`).
+
+    `sizes`: doc_id, n_tokens, already cut from its lineage.
+    """
     total = sizes.agg(F.sum("n_tokens")).head()[0] or 0
     shards = max(1, math.ceil(total / shard_tokens))
     sizes = sizes.withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)))
@@ -80,10 +83,10 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, hidden: int = 1024, shard_t
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        container, start = fewest(group["n_tokens"].to_numpy(), capacity, hidden)
+        container, start, share = fewest(group["n_tokens"].to_numpy(), capacity, hidden)
         shard = int(group["shard"].iloc[0])
-        return group[["doc_id", "piece", "n_pieces", "n_tokens"]].assign(container=(shard << 32) + container, start=start)
+        return group[["doc_id", "piece", "n_pieces", "n_tokens"]].assign(container=(shard << 32) + container, start=start, cost_share=share)
 
     packed = pieces.where("n_tokens > 0").groupBy("shard").applyInPandas(run, PACKED)
-    none = pieces.where("n_tokens <= 0").select("doc_id", "piece", "n_pieces", F.lit(0).cast("bigint").alias("n_tokens"), F.lit(None).cast("bigint").alias("container"), F.lit(None).cast("bigint").alias("start"))
+    none = pieces.where("n_tokens <= 0").select("doc_id", "piece", "n_pieces", F.lit(0).cast("bigint").alias("n_tokens"), F.lit(None).cast("bigint").alias("container"), F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("double").alias("cost_share"))
     return packed.unionByName(none)

@@ -124,6 +124,13 @@ def p8_use(spark: SparkSession, d: str) -> DataFrame:
     return full.agg(F.count(F.lit(1)).alias("containers"), F.ceil(F.sum("n") / packing.CAPACITY).alias("least"), (F.sum("n") / (F.count(F.lit(1)) * packing.CAPACITY)).alias("share_used"))
 
 
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """How many shards place which share of their tokens by cost, the rest by least room."""
+    shard = F.shiftright("container", 32).alias("shard")
+    per = packed(spark, d).where("container IS NOT NULL").groupBy(shard).agg(F.max("cost_share").alias("cost_share"), F.sum("n_tokens").alias("n_tokens"))
+    return per.groupBy("cost_share").agg(F.count(F.lit(1)).alias("n_shards"), F.sum("n_tokens").alias("n_tokens"))
+
+
 BANDS = ["basic", "mid", "adv"]
 
 
@@ -144,7 +151,7 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_percentiles, p3_certified, p3_forward_ms, p3_forward_ms_model, p3_bench, p4_found, p4_by_source, p6_sample, p7_ids, p8_found, p8_packed, p8_use, p9_found, p9_profile)
+    for f in (p3_percentiles, p3_certified, p3_forward_ms, p3_forward_ms_model, p3_bench, p4_found, p4_by_source, p6_sample, p7_ids, p8_found, p8_packed, p8_use, p8_shares, p9_found, p9_profile)
 }
 
 _NAME_SQL = f"""
