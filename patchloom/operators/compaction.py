@@ -1,183 +1,209 @@
 """Compaction of partitions that hold too many small files, under snapshot versions and conflict checks.
 
-A `SnapshotTable` is a parquet directory partitioned by one column, beside a log of numbered snapshots. A change first
-claims the next version by creating `n.json` exclusively: of two writers with the same base one fails with `Conflict` and
-starts over from the newer version. Compaction then checks that the files it is about to replace are those it counted, and
-overwrites just their partitions dynamically: Spark writes aside and swaps whole partitions when the job commits. A change
-that ended is marked `n.done`, with a digest of the files of each partition known to hold no record twice: a partition whose
-files differ from that has been written to since. `recover` ends a change whose writer died, finishing a broken swap.
+A `SnapshotTable` is a parquet directory partitioned by one column and, below it, by generation: what one change wrote to a
+partition. Generations are never touched again. A version is a small table of the live generations of each partition, and
+is committed by creating `versions/n` exclusively: a reader sees the old version or the new one, and an old one can be read
+as long as it is kept. Compaction counts the small files of each partition of a version, rewrites the partitions that
+exceed the count (dynamic overwrite of just their new generation) and commits on top of the version it counted. If others
+have committed meanwhile, their changes must leave the rewritten partitions alone; else it is a `Conflict` and nothing has
+happened. Appends commute with everything and are committed on whatever version there is.
+
+A partition is marked clean while it is known to hold no record twice: after its rewriting, and after appends of records
+that are new. All state of partitions is tables; the driver holds counts. Exclusive creation is atomic on HDFS and local
+disks; an object store must offer it.
 
 Defined results. An empty table compacts to nothing; partitions within bounds are not touched; a null partition value is a
-partition of its own; repeated records (equal in `identity`) of a rewritten partition are merged into one.
+partition of its own; repeated records (equal in `identity`) of a rewritten partition are merged into one, where of other
+columns the largest value stands. A writer that dies leaves at most files no version names; `sweep` removes them.
 """
 
 from __future__ import annotations
 
 import json
-import math
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from patchloom.session import filesystem
+from patchloom.session import cut, filesystem, join_small
+
+LIVE = "part STRING, gen STRING, clean BOOLEAN"
 
 
 class Conflict(RuntimeError):
-    """Another writer has changed the table since the snapshot that this change is based on."""
+    """Another writer has changed what this change is based on."""
 
 
 class SnapshotTable:
     def __init__(self, spark: SparkSession, path: str, schema: str, partition: str):
-        """`schema`: DDL of all columns, the partition column among them."""
+        """`schema`: DDL of all columns, the partition column among them. A column named `gen` is taken."""
         self.spark, self.path, self.schema, self.partition = spark, path.rstrip("/"), schema, partition
-        self.data, self.log = f"{self.path}/data", f"{self.path}/snapshots"
+        self.data, self.log, self.manifests = f"{self.path}/data", f"{self.path}/versions", f"{self.path}/manifests"
 
     def versions(self) -> list[int]:
         fs, log = filesystem(self.spark, self.log)
-        if not fs.exists(log):
-            return []
-        names = [x.getPath().getName() for x in fs.listStatus(log)]
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+        found = sorted(int(x.getPath().getName()) for x in fs.listStatus(log)) if fs.exists(log) else []
+        return [v for v in found if v < found[-1] or self._entry(v)]  # the last may be on its way
 
     def version(self) -> int:
         return max(self.versions(), default=0)
 
-    def snapshot(self, version: int) -> dict:
-        fs, path = filesystem(self.spark, f"{self.log}/{version}.json")
+    def _entry(self, version: int) -> dict | None:
+        """What was committed; nothing if its writer has not finished the entry."""
+        fs, path = filesystem(self.spark, f"{self.log}/{version}")
         stream = fs.open(path)
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
+            text = bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
-
-    def _is_done(self, version: int) -> bool:
-        fs, path = filesystem(self.spark, f"{self.log}/{version}.done")
-        return fs.exists(path)
-
-    def _claim(self, version: int, entry: dict) -> None:
-        """Become the only writer of `version`."""
-        if version > 1 and not self._is_done(version - 1):
-            raise Conflict(f"version {version - 1} is being written")
-        fs, path = filesystem(self.spark, f"{self.log}/{version}.json")
+        return json.loads(text) if text.endswith("\n") else None
+
+    def live(self, version: int | None = None) -> DataFrame:
+        """part, gen, clean of a version, the latest unless given."""
+        version = self.version() if version is None else version
+        if not version:
+            return self.spark.createDataFrame([], LIVE)
+        return self.spark.read.schema(LIVE).parquet(f"{self.manifests}/{self._entry(version)['manifest']}")
+
+    def _commit(self, version: int, live: DataFrame, kind: str) -> None:
+        """Become version `version`, or fail with a Conflict if there is one."""
+        token = uuid.uuid4().hex
+        live.write.parquet(f"{self.manifests}/{token}")
+        fs, path = filesystem(self.spark, f"{self.log}/{version}")
         try:
             stream = fs.create(path, False)
         except Exception as e:
             raise Conflict(f"version {version} exists") from e
-        stream.write(bytearray(json.dumps(entry).encode()))
+        stream.write(bytearray((json.dumps({"kind": kind, "manifest": token}) + "\n").encode()))
         stream.close()
 
-    def _done(self, version: int, clean: dict[str, str]) -> None:
-        """`clean`: partitions without repeated records, with the digest of their files."""
-        fs, path = filesystem(self.spark, f"{self.log}/{version}.done")
-        stream = fs.create(path, True)
-        stream.write(bytearray(json.dumps(clean).encode()))
-        stream.close()
+    def _write(self, df: DataFrame) -> DataFrame:
+        """Write rows as a new generation of each partition they fall into. Returns part and gen of these."""
+        gen = uuid.uuid4().hex
+        out = df.withColumn("gen", F.lit(gen))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.partition, "gen").parquet(self.data)
+        return self.files(gen).select("part", "gen").distinct()
+
+    def files(self, gen: str = "*") -> DataFrame:
+        """part, gen, path and length of each data file, of any version or one generation; contents are not read."""
+        fs, _ = filesystem(self.spark, self.data)
+        if not fs.globStatus(filesystem(self.spark, f"{self.data}/*/gen={gen}")[1]):
+            return self.spark.createDataFrame([], "part STRING, gen STRING, path STRING, length BIGINT")
+        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{self.data}/*/gen={gen}")
+        at = lambda i: F.regexp_extract("path", f"/{self.partition}=([^/]*)/gen=([^/]*)/[^/]*$", i)
+        part = F.url_decode(F.replace(at(1), F.lit("+"), F.lit("%2B")))
+        return found.select(part.alias("part"), at(2).alias("gen"), "path", "length")
+
+    def census(self, small_bytes: int, version: int | None = None) -> DataFrame:
+        """Of each partition of a version: files, files below `small_bytes`, bytes, and whether it is clean."""
+        counted = self.files().join(self.live(version), ["part", "gen"]).groupBy("part").agg(
+            F.count(F.lit(1)).alias("n_files"), F.count(F.when(F.col("length") < small_bytes, 1)).alias("n_small"), F.sum("length").alias("n_bytes"), F.bool_and("clean").alias("clean")
+        )
+        return counted
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The rows of a version, the latest unless given: those of its generations, whatever is written meanwhile."""
+        return self._rows(self.live(version)).select(*T.StructType.fromDDL(self.schema).names)
 
-    def clean(self) -> dict[str, str]:
-        for version in reversed(self.versions()):
-            fs, path = filesystem(self.spark, f"{self.log}/{version}.done")
-            if fs.exists(path):
-                stream = fs.open(path)
-                try:
-                    return json.loads(bytes(stream.readAllBytes()).decode())
-                finally:
-                    stream.close()
-        return {}
-
-    def files(self) -> DataFrame:
-        """partition value, path and length of each data file; contents are not read."""
+    def _rows(self, live: DataFrame) -> DataFrame:
         fs, data = filesystem(self.spark, self.data)
         if not fs.exists(data):
-            return self.spark.createDataFrame([], "part STRING, path STRING, length BIGINT")
-        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(self.data)
-        value = F.regexp_extract("path", f"/{self.partition}=([^/]*)/[^/]*$", 1)
-        return found.select(value.alias("part"), "path", "length")
-
-    def census(self, small_bytes: int) -> DataFrame:
-        """Of each partition: files, files below `small_bytes`, bytes, and a digest of the file set."""
-        return self.files().groupBy("part").agg(
-            F.count(F.lit(1)).alias("n_files"),
-            F.count(F.when(F.col("length") < small_bytes, 1)).alias("n_small"),
-            F.sum("length").alias("n_bytes"),
-            F.sum(F.xxhash64("path", "length").cast("decimal(38,0)")).cast("string").alias("digest"),
-        )
+            return self.spark.createDataFrame([], f"{self.schema}, gen STRING, _part STRING")
+        rows = self.spark.read.schema(f"{self.schema}, gen STRING").parquet(self.data)
+        value = F.coalesce(F.col(self.partition).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+        keys = live.select(F.col("part").alias("_part"), "gen").distinct()
+        return join_small(rows.withColumn("_part", value), keys, ["_part", "gen"])  # prunes the partitions read
 
-    def append(self, df: DataFrame) -> int:
-        base = self.version()
-        clean = self.clean()
-        self._claim(base + 1, {"kind": "append", "base": base})
-        df.write.mode("append").partitionBy(self.partition).parquet(self.data)
-        self._done(base + 1, clean)
-        return base + 1
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.data)
-
-    def compact(self, identity: list[str], max_small: int, target_bytes: int, small_bytes: int | None = None, max_partitions: int = 100_000) -> dict:
-        """Rewrite the partitions of more than `max_small` files below `small_bytes`, into files of about `target_bytes`.
-
-        A partition written to since its last rewriting is rewritten too, however few its files: afterwards no partition
-        holds a record twice.
-        Records equal in `identity` become one; of the other columns the largest value stands, so a missing one is filled.
-        Partition statistics (not records) come to the driver: at most `max_partitions` in one call, the rest in the next.
+    def append(self, df: DataFrame, identity: list[str] | None = None) -> int:
+        """Add rows as they come, without a shuffle; each task writes a file a partition. Returns the version.
+
+        With `identity` only records are added that are not there yet, each once, and the partitions stay clean. Whether a
+        record is there is then decided on one version; if another writer commits meanwhile it is a Conflict.
         """
         base = self.version()
+        df = df.select(*[F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(self.schema)])
+        if identity:
+            df = self._new(df, identity, base)
+        fresh = cut(self._write(df).withColumn("clean", F.lit(bool(identity))), "fresh")
+        while True:
+            try:
+                # a partition stays clean only if what is added to it is new
+                self._commit(base + 1, self.live(base).unionByName(fresh), "append")
+                return base + 1
+            except Conflict:
+                if identity:
+                    raise
+                base = self.version()
+
+    def _new(self, df: DataFrame, identity: list[str], base: int) -> DataFrame:
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in identity]
+        rest = [c for c in df.columns if c not in identity]
+        once = cut(df.groupBy(*identity).agg(*[F.max(c).alias(c) for c in rest]), "arrivals")
+        hit = once.select(F.coalesce(F.col(self.partition).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")).alias("part")).distinct()
+        there = self._rows(self.live(base).join(hit, "part", "left_semi")).select(*[F.col(c).alias(f"_{c}") for c in identity])
+        n = once.count()
+        if n <= 50_000:  # few arrivals: those that are there are found by a scan, without moving what is stored
+            keys = once.select(*identity)
+            known = there.join(F.broadcast(keys), [a for a in same], "inner").select(*identity).distinct()
+            there = known.select(*[F.col(c).alias(f"_{c}") for c in identity])
+        return once.join(there, [a for a in same], "left_anti").select(*df.columns)
+
+    def compact(self, identity: list[str], max_small: int, target_bytes: int, small_bytes: int | None = None) -> dict:
+        """Rewrite the partitions of more than `max_small` files below `small_bytes`, and those not clean, into files of about `target_bytes`."""
+        base = self.version()
         small = small_bytes or target_bytes // 2
-        clean = self.clean()
-        known = self.spark.createDataFrame(list(clean.items()), "part STRING, was STRING")
-        census = self.census(small).join(known, "part", "left")
-        due = census.where((F.col("n_small") > max_small) | F.col("was").isNull() | (F.col("was") != F.col("digest")))
-        due = due.orderBy("part").limit(max_partitions).collect()
-        if not due:
-            return {"version": base, "partitions": 0, "files_before": 0}
-        parts = {r["part"]: r for r in due}
-        value = F.coalesce(F.col(self.partition).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
-        rows = self.spark.read.schema(self.schema).parquet(self.data).where(value.isin(list(parts)))
-        rest = [c for c in rows.columns if c not in identity and c != self.partition]
-        slots, total = [], 0
-        for p, r in parts.items():
-            slots.append((p, n := max(1, math.ceil(r["n_bytes"] / target_bytes)), total))
-            total += n
-        sized = self.spark.createDataFrame(slots, "_part STRING, _pieces INT, _offset INT")  # at most max_partitions rows
-        rows = rows.join(F.broadcast(sized), value == F.col("_part"))
-        slot = F.col("_offset") + F.pmod(F.xxhash64(*identity), F.col("_pieces")).cast("int")
-        # a task of its own for each file to come; the aggregate below keeps to this partitioning and does not shuffle again
-        rows = rows.withColumn("_slot", slot).repartitionById(total, F.col("_slot"))
-        once = rows.groupBy("_slot", self.partition, *identity).agg(*[F.max(c).alias(c) for c in rest]).drop("_slot")
-        self._claim(base + 1, {"kind": "compact", "base": base, "partitions": sorted(parts)})
-        now = self._digests(parts, small)
-        if changed := [p for p, r in parts.items() if now.get(p) != r["digest"]]:
-            self._done(base + 1, clean)
-            raise Conflict(f"changed since they were counted: partitions {changed[:5]}")
-        once.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.partition).parquet(self.data)
-        self._done(base + 1, clean | self._digests(parts, small))
-        return {"version": base + 1, "partitions": len(parts), "files_before": sum(r["n_files"] for r in due)}
-
-    def _digests(self, parts, small: int) -> dict[str, str]:
-        return {r["part"]: r["digest"] for r in self.census(small).where(F.col("part").isin(list(parts))).collect()}
-
-    def recover(self) -> bool:
-        """End a change whose writer died. To be called only when it is known to be dead.
-
-        Before Spark commits a dynamic overwrite the table is as it was; a swap broken off in between has removed a
-        partition whose new files still lie in the job's staging folder, from where they are moved into place.
+        is_due = (F.col("n_small") > max_small) | ~F.col("clean")
+        pieces = F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / target_bytes)).cast("int")
+        census = cut(self.census(small, base).withColumn("due", is_due).withColumn("_pieces", pieces), "census")
+        of_due = lambda c: F.coalesce(F.sum(F.when(F.col("due"), c)), F.lit(0))
+        facts = census.agg(F.count(F.lit(1)).alias("n"), of_due(F.lit(1)).alias("due"), of_due(F.col("n_files")).alias("files"), of_due(F.col("_pieces")).alias("pieces")).head()
+        done = {"version": base, "partitions": facts["due"], "untouched": facts["n"] - facts["due"], "files_before": facts["files"]}
+        if not facts["due"]:
+            return done
+        due = census.where("due")
+        pieces = due.select(F.col("part").alias("_part"), "_pieces")
+        live = self.live(base)
+        rows = join_small(self._rows(live.join(due, "part", "left_semi")), pieces, ["_part"])
+        rest = [c for c in rows.columns if c not in identity and c not in (self.partition, "gen", "_part", "_pieces")]
+        slot = F.pmod(F.xxhash64(*identity), F.col("_pieces")).cast("int")
+        # the one shuffle: a task for each file to come, and the aggregate below keeps to it
+        spread = rows.withColumn("_slot", slot).repartition(2 * facts["pieces"], "_part", "_slot")
+        once = spread.groupBy("_part", "_slot", self.partition, *identity).agg(*[F.max(c).alias(c) for c in rest]).drop("_part", "_slot")
+        written = self._write(once).withColumn("clean", F.lit(True))
+        parts = due.select("part")
+        replaced = cut(live.join(parts, "part", "left_anti").unionByName(written), "manifest")
+        while True:
+            try:
+                self._commit(base + 1, replaced, "compact")
+                return done | {"version": base + 1}
+            except Conflict:
+                now = self.version()
+                before, after = self.live(base), self.live(now)
+                changed = after.exceptAll(before).unionByName(before.exceptAll(after))
+                if not changed.join(parts, "part", "left_semi").isEmpty():
+                    raise Conflict("changed since they were counted: partitions to be rewritten") from None
+                base, replaced = now, cut(after.join(parts, "part", "left_anti").unionByName(written), "manifest")
+
+    def sweep(self, keep: int = 1) -> int:
+        """Remove the generations that none of the last `keep` versions names, and an entry broken off. Only while no one writes.
+
+        They come to the driver one at a time. Returns their number.
         """
-        last = self.version()
-        if not last or self._is_done(last):
-            return False
-        fs, data = filesystem(self.spark, self.data)
-        stages = [x.getPath() for x in fs.listStatus(data) if x.getPath().getName().startswith(".spark-staging")] if fs.exists(data) else []
-        for stage in stages:
-            for x in fs.listStatus(stage):
-                _, place = filesystem(self.spark, f"{self.data}/{x.getPath().getName()}")
-                if x.isDirectory() and not fs.exists(place):
-                    fs.rename(x.getPath(), place)
-            fs.delete(stage, True)
-        self._done(last, self.clean())
-        return True
-
-
-def repeated_once(df: DataFrame, key: str, newest: str) -> DataFrame:
-    """Rows repeated under one `key` as one: the first by `newest`."""
-    w = Window.partitionBy(key).orderBy(newest)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+        fs, log = filesystem(self.spark, self.log)
+        known = self.versions()
+        for x in fs.listStatus(log) if fs.exists(log) else []:
+            if int(x.getPath().getName()) not in known:
+                fs.delete(x.getPath(), False)
+        for version in known[:-keep]:
+            fs.delete(filesystem(self.spark, f"{self.log}/{version}")[1], False)
+        kept = [self.live(v).select("part", "gen") for v in known[-keep:]]
+        named = kept[0] if kept else self.spark.createDataFrame([], "part STRING, gen STRING")
+        for other in kept[1:]:
+            named = named.union(other)
+        dead = self.files().join(named.distinct(), ["part", "gen"], "left_anti").select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct()
+        n = 0
+        for r in dead.toLocalIterator():
+            fs.delete(filesystem(self.spark, r["folder"])[1], True)
+            n += 1
+        return n

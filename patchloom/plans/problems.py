@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,34 +28,42 @@ def p1_union_schema(spark: SparkSession, d: str) -> DataFrame:
 
 
 RECORDS = "relative STRING, size BIGINT, mtime_ns BIGINT, key STRING, path STRING, part INT"
+IDENTITY = ["relative", "size", "mtime_ns"]
+#: Partitions, so that a task that lands 128 MB of deliveries writes no files smaller than a megabyte, and how many small files one may hold.
+MOST_PARTS, MAX_SMALL = 128, 4
 
 
 def compacted(spark: SparkSession, d: str) -> SnapshotTable:
-    """tiny_files landed in four deliveries (a small file each in a partition), then compacted.
+    """tiny_files landed as they come and compacted, first those that arrived within a day, then the late ones.
 
-    The partition is a hash of the record, so equal records meet in one partition whatever file delivered them, and
-    partition-local rewriting makes each occur exactly once.
+    The partition is a hash of the record, so equal records meet in one partition whatever file delivered them. The first
+    deliveries land without a shuffle, a small file a task and partition; compaction finds the partitions that hold too
+    many, or a record twice, and rewrites these. Of the late ones just the records that are new are added; compaction then
+    leaves alone whatever partition still holds no more than MAX_SMALL small files.
     """
     files = table(spark, d, "tiny_files")
-    total = files.agg(F.sum("n_bytes")).head()[0] or 0
-    parts = max(spark.sparkContext.defaultParallelism, math.ceil(total / TARGET_BYTES))
-    part = F.pmod(F.xxhash64("relative", "size", "mtime_ns"), F.lit(parts)).cast("int")
-    landed = read_tiny(files, combine=50_000).withColumn("part", part)
-    landed = landed.repartition("part", F.pmod(F.xxhash64("file_id"), F.lit(4)))
+    parts = min(MOST_PARTS, max(4, spark.sparkContext.defaultParallelism))
+    part = F.pmod(F.xxhash64(*IDENTITY), F.lit(parts)).cast("int")
+    is_late = F.coalesce(F.col("loaded_at") - F.col("written_at") > F.expr("INTERVAL 1 DAY"), F.lit(False))
+    landed = lambda rows: read_tiny(rows, combine=50_000).withColumn("part", part).drop("file_id")
     target = SnapshotTable(spark, shared_path(spark, "records"), RECORDS, "part")
-    target.append(landed.drop("file_id"))
-    while target.compact(["relative", "size", "mtime_ns"], max_small=1, target_bytes=TARGET_BYTES, max_partitions=50_000)["partitions"] == 50_000:
-        pass
+    target.append(landed(files.where(~is_late)))
+    target.compact(IDENTITY, MAX_SMALL, TARGET_BYTES)
+    target.append(landed(files.where(is_late)), IDENTITY)
+    target.compact(IDENTITY, MAX_SMALL, TARGET_BYTES)
     return target
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return compacted(spark, d).read().select("relative", "size", "mtime_ns")
+    return compacted(spark, d).read().select(*IDENTITY)
 
 
 def p2_census(spark: SparkSession, d: str) -> DataFrame:
-    """Files of the compacted table: no partition has more than it needs."""
-    return compacted(spark, d).census(TARGET_BYTES // 2).select("part", "n_files", "n_small")
+    """What is certain of the compacted table: no partition holds too many small files, and no record occurs twice."""
+    target = compacted(spark, d)
+    over = target.census(TARGET_BYTES // 2).agg(F.count(F.when(F.col("n_small") > MAX_SMALL, 1)).alias("over_bound"), F.count(F.when(~F.col("clean"), 1)).alias("not_clean"))
+    again = target.read().groupBy(*IDENTITY).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.when(F.col("n") > 1, 1)).alias("repeated"))
+    return over.join(again)  # a row each
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -76,6 +82,7 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p1_union_schema, p2_fou
 _NUMBER = "json_type({0}) IN ('DOUBLE', 'UBIGINT', 'BIGINT')"
 
 SQL = {
+    "p2_census": "SELECT CAST(0 AS BIGINT) AS over_bound, CAST(0 AS BIGINT) AS not_clean, CAST(0 AS BIGINT) AS repeated",
     "p5_found": f"""WITH d AS (SELECT DISTINCT report_id, CASE WHEN json_valid(payload) THEN CASE WHEN json_type(payload) = 'VARCHAR' THEN json_extract_string(payload, '$') ELSE payload END END AS p FROM report_payloads),
 j AS (SELECT report_id, CAST(p AS JSON) AS j FROM d WHERE p IS NOT NULL AND json_valid(p)),
 r AS (SELECT report_id, j, unnest(range(CAST(json_array_length(j, '$.runs') AS BIGINT))) AS i FROM j WHERE json_type(j, '$.runs') = 'ARRAY'),

@@ -52,54 +52,102 @@ def rows(spark, *rs):
     return spark.createDataFrame(list(rs), RECORDS)
 
 
+ID = ["relative", "size", "mtime_ns"]
+
+
 def test_compaction_keeps_each_record_once(spark, tmp_path):
     t = table_of(spark, tmp_path)
-    assert t.compact(["relative", "size", "mtime_ns"], 1, 1 << 20)["partitions"] == 0
+    assert t.compact(ID, 1, 1 << 20)["partitions"] == 0 and t.read().count() == 0
     for key in (None, "k", None):
         t.append(rows(spark, ("a", 1, 1, key, "p", 0), ("a", 1, 2, key, "p", 0), ("b", 1, 1, key, "p", 1)).coalesce(1))
-    done = t.compact(["relative", "size", "mtime_ns"], 1, 1 << 20)
-    assert done == {"version": 4, "partitions": 2, "files_before": 6}
+    done = t.compact(ID, 1, 1 << 20)
+    assert done == {"version": 4, "partitions": 2, "untouched": 0, "files_before": 6}
     assert sorted(tuple(r)[:4] for r in t.read().collect()) == [("a", 1, 1, "k"), ("a", 1, 2, "k"), ("b", 1, 1, "k")]
     assert {r["part"]: r["n_files"] for r in t.census(1 << 20).collect()} == {"0": 1, "1": 1}
-    assert t.compact(["relative", "size", "mtime_ns"], 1, 1 << 20)["partitions"] == 0
-    t.append(rows(spark, ("b", 1, 1, None, "p", 1)))
-    assert t.compact(["relative", "size", "mtime_ns"], 5, 1 << 20)["partitions"] == 1, "written to since: rewritten though it has few files"
+    assert t.compact(ID, 1, 1 << 20)["partitions"] == 0
+    t.append(rows(spark, ("b", 1, 1, None, "p", 1)).coalesce(1))
+    assert t.compact(ID, 5, 1 << 20) | {"version": 0} == {"version": 0, "partitions": 1, "untouched": 1, "files_before": 2}, "it may hold a record twice"
     assert t.read().count() == 3
 
 
+def test_only_partitions_of_too_many_small_files_are_rewritten(spark, tmp_path):
+    t = table_of(spark, tmp_path)
+    for i in range(4):  # partition 0 is delivered to four times, partition 1 once; one record again, in another order of fields
+        delivered = [("a", i, 1, None, "p", 0), ("a", max(0, i - 1), 1, "k", "p", 0), ("a", i, 1, None, "q", 0)] + ([("b", 7, 1, None, "p", 1), ("n", 1, None, None, "p", None)] if i == 2 else [])
+        t.append(rows(spark, *delivered).coalesce(1), ID)
+    before = {r["path"] for r in t.files().collect()}
+    assert {r["part"]: (r["n_files"], r["clean"]) for r in t.census(1 << 20).collect()} == {"0": (4, True), "1": (1, True), "__HIVE_DEFAULT_PARTITION__": (1, True)}
+    assert t.compact(ID, 2, 1 << 20) == {"version": 5, "partitions": 1, "untouched": 2, "files_before": 4}
+    live = {r["part"]: r["n_files"] for r in t.census(1 << 20).collect()}
+    assert live == {"0": 1, "1": 1, "__HIVE_DEFAULT_PARTITION__": 1}
+    assert {r["path"] for r in t.files().collect()} > before, "what other versions name is left as it is"
+    assert sorted(r["size"] for r in t.read().where("part = 0").collect()) == [0, 1, 2, 3]
+    assert [t.read(v).count() for v in range(1, 6)] == [1, 2, 5, 6, 6], "old versions can be read"
+    assert t.append(rows(spark, ("n", 1, None, None, "p", None)), ID) == 6 and t.read().count() == 6, "nothing new"
+    assert t.sweep() == 4 and t.read().count() == 6
+
+
 def test_large_partitions_get_several_files(spark, tmp_path):
     t = table_of(spark, tmp_path)
     many = spark.range(20_000).selectExpr("uuid() relative", "id size", "id mtime_ns", "uuid() key", "uuid() path", "0 part")
     t.append(many.repartition(8))
     before = t.census(1).collect()[0]["n_bytes"]
-    t.compact(["relative", "size", "mtime_ns"], 1, before // 3)
+    t.compact(ID, 1, before // 3)
     assert t.read().count() == 20_000
-    assert 3 <= t.census(1).collect()[0]["n_files"] <= 5
+    assert 2 <= t.census(1).collect()[0]["n_files"] <= 5
 
 
-def test_second_writer_of_a_version_conflicts(spark, tmp_path):
+def test_large_arrivals_are_compared_by_a_shuffle(spark, tmp_path):
     t = table_of(spark, tmp_path)
-    t.append(rows(spark, ("a", 1, 1, None, "p", 0)))
-    t._claim(2, {"kind": "compact", "base": 1, "partitions": ["0"]})
+    many = lambda a, b: spark.range(a, b).selectExpr("cast(id as string) relative", "id size", "id mtime_ns", "null key", "'p' path", "cast(id % 3 as int) part")
+    t.append(many(0, 70_000), ID)
+    t.append(many(10_000, 75_000).union(many(10_000, 75_000)), ID)
+    assert t.read().count() == t.read().distinct().count() == 75_000
+
+
+def test_writers_conflict_only_where_they_touch(spark, tmp_path, monkeypatch):
+    t = table_of(spark, tmp_path)
+    t.append(rows(spark, ("a", 1, 1, None, "p", 0), ("b", 1, 1, None, "p", 1)))
     with pytest.raises(Conflict):
-        t._claim(2, {"kind": "append", "base": 1})
+        t._commit(1, t.live(), "append")
+    write = t._write
+
+    def meanwhile(*added):
+        def run(df):
+            monkeypatch.setattr(t, "_write", write)
+            table_of(spark, tmp_path).append(rows(spark, *added))
+            return write(df)
+
+        monkeypatch.setattr(t, "_write", run)
+
+    meanwhile(("c", 1, 1, None, "p", 2))
+    assert t.append(rows(spark, ("d", 1, 1, None, "p", 0))) == 3, "appends follow one another"
+    t.compact(ID, 9, 1 << 20)
+    t.append(rows(spark, ("e", 1, 1, None, "p", 0)))
+    meanwhile(("f", 1, 1, None, "p", 2))
+    assert t.compact(ID, 9, 1 << 20)["partitions"] == 1 and t.read().count() == 6, "another partition was written to"
+    meanwhile(("g", 1, 1, None, "p", 2))
     with pytest.raises(Conflict):
-        t.append(rows(spark, ("b", 1, 1, None, "p", 0)))
-    assert t.recover() and not t.recover()
-    t.append(rows(spark, ("b", 1, 1, None, "p", 0)))
-    assert t.read().count() == 2
+        t.compact(ID, 9, 1 << 20)
+    assert t.read().count() == 7, "nothing is lost"
+    meanwhile(("h", 1, 1, None, "p", 2))
+    with pytest.raises(Conflict):
+        t.append(rows(spark, ("h", 1, 1, None, "p", 2)), ID)
+    t.compact(ID, 9, 1 << 20)
+    assert t.read().count() == 8
 
 
-def test_recovery_finishes_a_broken_swap(spark, tmp_path):
+def test_a_writer_that_dies_leaves_the_table_as_it_was(spark, tmp_path):
     t = table_of(spark, tmp_path)
     t.append(rows(spark, ("a", 1, 1, None, "p", 0)))
-    t._claim(2, {"kind": "compact", "base": 1, "partitions": ["0"]})
-    stage = tmp_path / "t/data/.spark-staging-1"
-    stage.mkdir()
-    (tmp_path / "t/data/part=0").rename(stage / "part=0")
-    assert t.read().count() == 0
-    assert t.recover()
-    assert t.read().count() == 1
+    t._write(rows(spark, ("b", 1, 1, None, "p", 0)))
+    (tmp_path / "t/versions/2").write_text('{"kind": "app')
+    assert t.version() == 1 and t.read().count() == 1
+    with pytest.raises(Conflict):
+        t._commit(2, t.live(), "compact")
+    assert t.sweep() == 1
+    t.append(rows(spark, ("b", 1, 1, None, "p", 0)))
+    assert t.version() == 2 and t.read().count() == 2
 
 
 def test_combining_keeps_every_record(spark):
