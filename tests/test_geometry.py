@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from patchloom.functions import geometry as g
 from patchloom.operators import assign, nms, quality
-from patchloom.operators.spectral import CutSettings, components, discover, largest_parts, refine
+from patchloom.operators.spectral import CutSettings, components, discover, halves, refine, relaxed_cut, sized_parts
 
 BOXES = "image BIGINT, ord INT, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE"
 
@@ -123,7 +123,7 @@ def test_a_planted_object_is_found():
 
 def test_all_parts_of_one_cut_are_kept():
     spots = [np.s_[3:8, c : c + 2] for c in (1, 5, 9)]
-    assert [m.sum() for m in discover(planted(12, spots), (12, 12), CutSettings(all_components=True))] == [10, 10, 10]
+    assert [m.sum() for m in discover(planted(12, spots), (12, 12), CutSettings(all_components=True, max_objects=3))] == [10, 10, 10]
 
 
 def test_masks_do_not_overlap_and_bad_features_are_errors():
@@ -151,4 +151,41 @@ def test_splitting_keeps_every_cell_and_respects_limits():
 
 def test_largest_parts_first():
     mask = np.array([[1, 0, 1, 1], [0, 0, 0, 0], [1, 1, 1, 0]], bool)
-    assert [m.sum() for m in largest_parts(mask, 2)] == [3, 2]
+    assert [m.sum() for m in sized_parts(mask, 2)] == [3, 2]
+
+
+def test_the_cut_solves_the_generalized_problem():
+    """(D - A) x = l D x, of the second smallest l."""
+    x = np.random.default_rng(5).random((12, 12))
+    a = x + x.T
+    d = np.diag(a.sum(axis=1))
+    v = relaxed_cut(a)
+    left, right = (d - a) @ v, d @ v
+    ratio = left @ v / (right @ v)
+    assert np.allclose(left, ratio * right, atol=1e-9)
+    assert np.isclose(ratio, np.sort(np.linalg.eigvals(np.linalg.inv(d) @ (d - a)).real)[1])
+
+
+def test_thresholds_are_priced_as_their_cuts():
+    """The halves taken are the cheapest of all deciles, priced one by one."""
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        features = np.repeat(rng.normal(size=(2, 6)), 18, axis=0) + rng.normal(scale=0.15, size=(36, 6))
+        s = CutSettings(split_depth=1, split_min_patches=2, split_max_ncut=1.5)
+        got = halves(np.ones((6, 6), bool), features, s)
+        unit = features / np.linalg.norm(features, axis=1, keepdims=True)
+        w = np.maximum(np.exp((np.clip(unit @ unit.T, -1, 1) - 1) / s.split_temperature), s.epsilon)
+        np.fill_diagonal(w, 0)
+        v, best = relaxed_cut(w), None
+        for q in range(1, 10):
+            side = v > np.quantile(v, q / 10)
+            if 2 <= side.sum() <= 34 and all(components(m.reshape(6, 6)).max() == 1 for m in (side, ~side)):
+                between = w[side][:, ~side].sum()
+                price = between / w[side].sum() + between / w[~side].sum()
+                centre = [unit[m].mean(axis=0) for m in (side, ~side)]
+                unlike = 1 - centre[0] @ centre[1] / np.prod([np.linalg.norm(c) for c in centre])
+                if price < s.split_max_ncut and unlike >= s.split_min_cosine_distance and (best is None or price < best[0] - 1e-12):
+                    best = price, side
+        assert (got is None) == (best is None)
+        if best:
+            assert np.array_equal(got[0].ravel(), best[1])
