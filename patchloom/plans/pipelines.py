@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import time
 from collections.abc import Callable
-from pathlib import Path
+from dataclasses import fields
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +23,7 @@ BOX = "STRUCT<x: DOUBLE, y: DOUBLE, w: DOUBLE, h: DOUBLE>"
 
 
 def cut_settings(s: config.Settings) -> spectral.CutSettings:
-    m = s.masks
-    return spectral.CutSettings(m.tau, m.epsilon, m.max_objects, m.min_mask_area, m.max_mask_iou, m.all_components, m.split_depth, max_instances=m.max_instances)
+    return spectral.CutSettings(**{f.name: getattr(s.masks, f.name) for f in fields(spectral.CutSettings)})
 
 
 def features_of(spark: SparkSession, root: str, records: DataFrame, s: config.Settings, make: Callable[[], Backbone], batch: int = 16) -> tuple[DataFrame, DataFrame]:
@@ -91,7 +90,7 @@ def generate(spark: SparkSession, root: str, out: str, s: config.Settings, make:
         run = {"stage": "generate", "repeat": 1, "status": "ok" if not failed else "failed", "images_processed": new, "images_failed": failed, "images_skipped": total - todo}
         run |= {"elapsed_seconds": elapsed, "throughput_images_per_sec": new / elapsed if elapsed else 0.0, "quality": quality_of(spark, out, records, fingerprint, root)}
         payload = {"schema_version": 1, "run_id": config.run_id("generate"), "kind": "generate", "status": run["status"], "runs": [run], "warnings": [], "errors": errors, "errors_truncated": max(0, failed - len(errors))}
-        files.save_report(Path(out) / "reports" / payload["run_id"], payload)
+        files.save_report(f"{out}/reports/{payload['run_id']}", payload)
         return payload
 
 

@@ -4,39 +4,47 @@ from __future__ import annotations
 
 import contextlib
 import csv
-import fcntl
 import io
 import json
 import os
-import tempfile
+import socket
+import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patchloom.session import filesystem
+
+
+def _folder(path: str | Path):
+    """Of a path on any file system Hadoop knows: the file system, the path's own object, and its folder's."""
+    fs, place = filesystem(SparkSession.active(), str(path))
+    return fs, place, place.getParent()
+
 
 def atomic_write(path: str | Path, data: bytes, durable: bool = True) -> None:
-    """All or nothing: a reader sees the old file or the new one, also after an interruption."""
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    handle, temporary = tempfile.mkstemp(dir=path.parent, prefix=f".{path.name}.")
+    """All or nothing: a reader sees the old file or the new one. The new one is written beside it and renamed over it."""
+    fs, place, folder = _folder(path)
+    jvm = SparkSession.active().sparkContext._jvm
+    beside = jvm.org.apache.hadoop.fs.Path(folder, f"_{place.getName()}.{uuid.uuid4().hex}")
+    fs.mkdirs(folder)
     try:
-        with os.fdopen(handle, "wb") as f:
-            f.write(data)
-            if durable:
-                f.flush()
-                os.fsync(f.fileno())
-        os.replace(temporary, path)
-    except BaseException:
-        with contextlib.suppress(FileNotFoundError):
-            os.unlink(temporary)
-        raise
-    if durable:
-        folder = os.open(path.parent, os.O_RDONLY)
-        try:
-            os.fsync(folder)
-        finally:
-            os.close(folder)
+        out = fs.create(beside, False)
+        out.write(bytearray(data))
+        if durable:
+            out.hsync()
+        out.close()
+        _rename_over(jvm, fs, beside, place)
+    finally:
+        fs.delete(beside, False)
+
+
+def _rename_over(jvm, fs, source, target) -> None:
+    how = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = SparkSession.active().sparkContext._gateway.new_array(how, 1)
+    options[0] = how.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), fs.getConf()).rename(fs.makeQualified(source), fs.makeQualified(target), options)
 
 
 def write_json(path: str | Path, value, durable: bool = True) -> None:
@@ -46,17 +54,35 @@ def write_json(path: str | Path, value, durable: bool = True) -> None:
 
 @contextlib.contextmanager
 def exclusive(path: str | Path):
-    """An advisory lock; a second holder gets an error instead of waiting."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "a") as f:
+    """The one holder of a name, on any shared file system: who creates the file holds it, and removes it in the end.
+
+    A second one gets an error instead of waiting. The file tells host and process; one of this host whose process has
+    ended is taken over, another's must be removed by hand.
+    """
+    fs, place, folder = _folder(path)
+    fs.mkdirs(folder)
+    for attempt in (1, 2):
         try:
-            fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
-        except BlockingIOError as e:
-            raise RuntimeError(f"{path} is in use") from e
-        try:
-            yield
-        finally:
-            fcntl.flock(f, fcntl.LOCK_UN)
+            out = fs.create(place, False)
+            break
+        except Exception as e:
+            if attempt == 2 or not _is_left_behind(fs, place):
+                raise RuntimeError(f"{path} is in use") from e
+            fs.delete(place, False)
+    out.write(bytearray(f"{socket.gethostname()} {os.getpid()}".encode()))
+    out.close()
+    try:
+        yield
+    finally:
+        fs.delete(place, False)
+
+
+def _is_left_behind(fs, place) -> bool:
+    """The holder was a process of this host that has ended."""
+    stream = fs.open(place)
+    host, _, pid = bytes(stream.readAllBytes()).decode().partition(" ")
+    stream.close()
+    return host == socket.gethostname() and pid.isdigit() and not os.path.exists(f"/proc/{pid}")
 
 
 def save_labels(labelled: DataFrame, receipt: DataFrame, root: str) -> None:
@@ -70,8 +96,6 @@ RECEIPT = "schema INT, fingerprint STRING, dataset_root STRING, image STRING, so
 
 def load_labels(spark, root: str) -> tuple[DataFrame, DataFrame]:
     """(labels, receipts) written so far; empty ones before the first."""
-    from patchloom.session import filesystem
-
     def read(kind: str, schema: str, reader):
         fs, path = filesystem(spark, f"{root}/{kind}")
         return reader(f"{root}/{kind}") if fs.exists(path) else spark.createDataFrame([], schema)
@@ -109,9 +133,9 @@ def save_report(folder: str | Path, payload: dict) -> None:
     lines = [f"# {payload.get('kind')} {payload.get('run_id')}", "", f"Status: {payload.get('status')}", "", "| " + " | ".join(shown) + " |", "|" + "---|" * len(shown)]
     lines += ["| " + " | ".join("" if r[c] is None else str(r[c]) for c in shown) + " |" for r in rows]
     lines += ["", *[f"- {w}" for w in payload.get("warnings") or []]]
-    write_json(Path(folder) / "report.json", payload)
-    atomic_write(Path(folder) / "runs.csv", text.getvalue().encode())
-    atomic_write(Path(folder) / "summary.md", "\n".join(lines).encode())
+    write_json(f"{folder}/report.json", payload)
+    atomic_write(f"{folder}/runs.csv", text.getvalue().encode())
+    atomic_write(f"{folder}/summary.md", "\n".join(lines).encode())
 
 
 def training_folder(routed: DataFrame, out: str) -> None:
@@ -119,7 +143,7 @@ def training_folder(routed: DataFrame, out: str) -> None:
     routed.select("split", F.col("path").alias("value")).write.mode("overwrite").partitionBy("split").text(f"{out}/lists")
     splits = sorted(r["split"] for r in routed.select("split").distinct().collect())  # a name a folder
     lines = [f"path: {out}", *[f"{s}: lists/split={s}" for s in splits], "names:", "  0: object"]
-    atomic_write(f"{out.removeprefix('file://')}/data.yaml", ("\n".join(lines) + "\n").encode())
+    atomic_write(f"{out}/data.yaml", ("\n".join(lines) + "\n").encode())
 
 
 def save_predictions(found: DataFrame, images: DataFrame, out: str) -> None:

@@ -88,18 +88,27 @@ def test_tar_and_zip(spark, tmp_path):
             archives.check_range(status, {"content-range": header, "etag": "e"}, 5, 5, tag)
 
 
-def test_files_are_whole_or_old(tmp_path, monkeypatch):
+def test_files_are_whole_or_old(spark, tmp_path, monkeypatch):
     path = tmp_path / "d/x.json"
     files.write_json(path, {"a": 1})
-    monkeypatch.setattr(files.os, "replace", lambda *_: (_ for _ in ()).throw(OSError))
+    files.write_json(path, {"a": 2})
+    rename = files._rename_over
+    monkeypatch.setattr(files, "_rename_over", lambda *_: (_ for _ in ()).throw(OSError))
     with pytest.raises(OSError):
-        files.write_json(path, {"a": 2})
-    assert json.loads(path.read_text()) == {"a": 1} and len(list(path.parent.iterdir())) == 1
+        files.write_json(path, {"a": 3})
+    monkeypatch.setattr(files, "_rename_over", rename)
+    assert json.loads(path.read_text()) == {"a": 2} and [f.name for f in path.parent.iterdir() if not f.name.startswith(".")] == ["x.json"]
     with pytest.raises(ValueError):
         files.write_json(path, {"a": float("nan")})
     with files.exclusive(tmp_path / "lock"), pytest.raises(RuntimeError):
         with files.exclusive(tmp_path / "lock"):
             pass
+    (tmp_path / "lock").write_text(f"{files.socket.gethostname()} 4194303999")
+    with files.exclusive(tmp_path / "lock"):
+        pass
+    (tmp_path / "lock").write_text("another-host 1")
+    with pytest.raises(RuntimeError), files.exclusive(tmp_path / "lock"):
+        pass
 
 
 def test_reports_labels_and_training_folder(spark, tmp_path):
@@ -129,9 +138,18 @@ def test_config(tmp_path):
     for raw in ({"x": {}}, {"masks": {"x": 1}}, {"masks": {"tau": 1}}, {"filtering": {"min_box_area": 0.99}}, {"features": {"resolution": 33}}, {"benchmark": {"batch_sizes": []}}):
         with pytest.raises(ValueError):
             config.parse(raw)
-    same = config.parse({"features": {"device": "cpu"}, "pipeline": {"decode_workers": 9}, "masks": {"max_instances": 30}})
+    for raw in ({"maskcut": {"crf": True}}, {"dino": {"model": "x"}}, {"masks": {"tau": "0.1"}}, {"masks": {"max_objects": True}}, {"train": {"run_name": "A b"}}, {"train": {"image_size": 650}}, {"benchmark": {"worker_counts": [0]}},
+                {"masks": {"split_depth": 1, "max_objects": 30}}, {"masks": {"split_temperature": 0}}, {"pipeline": {"output_dir": "/etc"}}, {"masks": {"tau": float("nan")}}):
+        with pytest.raises(ValueError):
+            config.parse(raw)
+    with pytest.raises(ValueError, match="epochs.*patience"):
+        config.parse({"train": {"epochs": 0, "patience": -1}})
+    assert config.parse({"maskcut": {"split_max_ncut": 0.2}}).masks.split_max_ncut == 0.2
+    same = config.parse({"features": {"device": "cpu"}, "pipeline": {"decode_workers": 9}, "masks": {"max_instances": 30, "split_min_patches": 4}, "train": {"epochs": 3}})
     assert same.fingerprint("m") == config.parse({}).fingerprint("m")
-    assert config.parse({"masks": {"split_depth": 1}}).fingerprint("m") != config.parse({}).fingerprint("m")
+    split = config.parse({"masks": {"split_depth": 1}}).fingerprint("m")
+    assert split != config.parse({}).fingerprint("m") and split != config.parse({"masks": {"split_depth": 1, "split_max_ncut": 0.2}}).fingerprint("m")
+    assert config.training_identity("a", {"x": 1, "y": 2}) == config.training_identity("a", {"y": 2, "x": 1}) != config.training_identity("b", {"x": 1, "y": 2})
     assert config.below(tmp_path, "a/b") == tmp_path.resolve() / "a/b"
     for bad in ("..", ".", "/etc"):
         with pytest.raises(ValueError):
