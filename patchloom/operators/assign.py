@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from patchloom.session import cut
+
 
 def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of rows and columns of the largest total gain (shortest augmenting paths with potentials)."""
@@ -48,7 +50,7 @@ def pair(candidates: DataFrame) -> DataFrame:
     """
     both = candidates.groupBy("image").agg(F.collect_list(F.struct("p", "r", "iou")).alias("c"))
     plain = (F.size("c") == F.size(F.array_distinct("c.p"))) & (F.size("c") == F.size(F.array_distinct("c.r")))
-    both = both.withColumn("plain", plain)
+    both = cut(both.withColumn("plain", plain), "candidates")
     names = ("image", "p", "r", "iou")
     schema = T.StructType([candidates.schema[n] for n in names])
     arrow = to_arrow_schema(schema)

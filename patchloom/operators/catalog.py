@@ -78,23 +78,37 @@ def preview(records: DataFrame, n_boxes: str, order: list, n: int) -> DataFrame:
     return records.orderBy(F.col(n_boxes) == 0, *order).limit(n)
 
 
-def numbered(rows: DataFrame, order: list) -> DataFrame:
-    """`rows` with their position in an order, from 0, and n. Sorted by ranges; no task ever holds all rows.
+def _ranged(rows: DataFrame, order: list, value: Column) -> tuple[DataFrame, Column, DataFrame, int]:
+    """`rows` sorted by ranges and stored with a number, `_m`, that ascends; its range; what lies before each range; the total.
 
-    The sorted rows are stored with a number within their range, and the ranges' sizes (one a task) give the offsets.
+    No task ever holds all rows. The driver gets a sum a range, that is a task.
     """
     held = cut(rows.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_m", 33)
-    sizes = sorted((r["part"], r["n"]) for r in held.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
-    starts, total = [], 0
-    for number, n in sizes:
-        starts.append((number, total))
+    sums = sorted((r["part"], r["n"]) for r in held.groupBy(part.alias("part")).agg(F.coalesce(F.sum(value), F.lit(0)).alias("n")).collect())
+    before, total = [], 0
+    for number, n in sums:
+        before.append((number, total))
         total += n
-    offsets = rows.sparkSession.createDataFrame(starts, "_part BIGINT, _start BIGINT")
+    return held, part, rows.sparkSession.createDataFrame(before, "_part BIGINT, _start BIGINT"), total
+
+
+def numbered(rows: DataFrame, order: list) -> DataFrame:
+    """`rows` with their position in an order, from 0, and n."""
+    held, part, offsets, total = _ranged(rows, order, F.lit(1))
     out = held.join(F.broadcast(offsets), part == F.col("_part"))  # a row a task
     return out.withColumn("position", F.col("_start") + F.col("_m").bitwiseAND((1 << 33) - 1)).withColumn("n", F.lit(total)).drop("_m", "_part", "_start")
 
 
+def running(rows: DataFrame, order: list, value: str, done: str, whole: str) -> DataFrame:
+    """`rows` with the running total of a whole number in an order, and its total. A null counts as 0."""
+    held, part, offsets, total = _ranged(rows, order, F.col(value))
+    out = held.join(F.broadcast(offsets), part == F.col("_part"))  # a row a task
+    w = Window.partitionBy("_part").orderBy("_m").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = F.col("_start") + F.coalesce(F.sum(value).over(w), F.lit(0))
+    return out.withColumn(done, so_far).withColumn(whole, F.lit(total).cast("bigint")).drop("_m", "_part", "_start")
+
+
 def probes(rows: DataFrame, order: list) -> DataFrame:
     """First, middle and last row of an order, with their position."""
     at = F.col("position")

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from patchloom.functions.vectors import dot, norm
+from patchloom.operators.spectral import directions
 
 
 def cosines(features: DataFrame, tau: float) -> DataFrame:
     """image, edge_fraction, q05, q50, q95 over all pairs of different patches of an image. `features`: image, patch, vec.
 
-    An image's patches are one array (a grid's size, a constant), so pairs are formed within the row and not by a join.
+    One matrix product an image. An image of a single patch has no pair and no row; one of no patches likewise.
     """
-    unit = F.transform("vec", lambda x: x.cast("double") / F.greatest(norm(F.col("vec")), F.lit(1e-12)))
-    grids = features.select("image", F.struct("patch", unit.alias("v")).alias("p")).groupBy("image").agg(F.sort_array(F.collect_list("p")).alias("ps"))
-    one = grids.select("image", F.col("ps").alias("qs"), F.explode("ps").alias("a"))
-    pairs = one.select("image", "a", F.explode(F.filter("qs", lambda q: q["patch"] != F.col("a")["patch"])).alias("b"))
-    cos = pairs.select("image", dot(F.col("a")["v"], F.col("b")["v"]).alias("cos"))
-    q = F.percentile("cos", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    out = cos.groupBy("image").agg(F.avg((F.col("cos") > tau).cast("double")).alias("edge_fraction"), q.alias("q"))
-    return out.select("image", "edge_fraction", *[F.col("q")[i].alias(n) for i, n in enumerate(("q05", "q50", "q95"))])
+    image = features.schema["image"].dataType.simpleString()
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        unit = directions(np.stack(group["vec"].to_list()).astype(float))
+        patch = group["patch"].to_numpy()
+        cos = (unit @ unit.T)[patch[:, None] != patch]
+        row = [(group["image"].iloc[0], np.mean(cos > tau), *np.quantile(cos, [0.05, 0.5, 0.95]))] if cos.size else []
+        return pd.DataFrame(row, columns=["image", "edge_fraction", "q05", "q50", "q95"])
+
+    return features.select("image", "patch", "vec").groupBy("image").applyInPandas(run, f"image {image}, edge_fraction DOUBLE, q05 DOUBLE, q50 DOUBLE, q95 DOUBLE")

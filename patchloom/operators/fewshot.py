@@ -88,6 +88,21 @@ def photos(detections: DataFrame, queries: DataFrame, class_id: int) -> DataFram
     return queries.join(top.select("image", F.col("ord").alias("top_ord"), "confidence"), "image", "left").withColumn("has_candidate", F.col("top_ord").isNotNull())
 
 
+def first_of_class(support: DataFrame) -> DataFrame:
+    """cls, id: the least id of each class. Combines map-side."""
+    return support.groupBy("cls").agg(F.min("id").alias("id"))
+
+
+def photo_tally(photos: DataFrame, truth: DataFrame, labels: DataFrame) -> DataFrame:
+    """cls, photos, with_candidate, correct of each true class: photos that have a candidate, and whose top one is labelled right.
+
+    `photos`: as of `photos`; `truth`: image, cls; `labels`: image, ord, label of detections.
+    """
+    x = truth.join(photos, "image", "left").join(labels.select("image", F.col("ord").alias("top_ord"), "label"), ["image", "top_ord"], "left")
+    one = lambda c: F.count(F.when(c, 1))
+    return x.groupBy("cls").agg(F.count(F.lit(1)).alias("photos"), one(F.col("has_candidate")).alias("with_candidate"), one(F.col("label") == F.col("cls").cast("string")).alias("correct"))
+
+
 def confident(detections: DataFrame, least: float, class_ids: list[int] | None = None) -> DataFrame:
     keep: Column = F.col("confidence") >= least
     if class_ids is not None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchloom.operators.catalog import running
+
 #: Bytes of an archive member's padding unit, and of the smallest archive worth fetching.
 BLOCK, LEAST_BYTES = 512, 1024
 DAY = 86_400
@@ -79,9 +81,7 @@ def allocate(groups: DataFrame, budget: int, is_probe: Column) -> DataFrame:
     The product of budget and size outgrows 64 bits, so it is a decimal. Groups of too few bytes are marked, see `require_plan`.
     """
     big = lambda c: c.cast("decimal(38,0)")
-    whole = Window.partitionBy()
     totals = groups.agg(F.coalesce(F.sum(F.when(is_probe, F.col("size"))), F.lit(0)).alias("_fixed"), F.coalesce(F.sum(F.when(~is_probe, F.col("size"))), F.lit(0)).alias("_rest"))
-    del whole
     x = groups.join(F.broadcast(totals))  # a single row of totals
     share = F.expr("CAST(CAST(%d - _fixed AS DECIMAL(38,0)) * CAST(size AS DECIMAL(18,0)) DIV CAST(_rest AS DECIMAL(38,0)) AS BIGINT)" % budget)
     padded = F.floor((share + (BLOCK - 1)) / BLOCK).cast("bigint") * BLOCK
@@ -96,9 +96,8 @@ def require_plan(plan: DataFrame) -> DataFrame:
 
 
 def progress(plan: DataFrame, order: list[str]) -> DataFrame:
-    """Running total of bytes in the order of transfer, and the total of all. A plan has a row a group of files."""
-    w = Window.orderBy(*order)
-    return plan.withColumn("done_bytes", F.sum("take_bytes").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total_bytes", F.sum("take_bytes").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    """Running total of bytes in the order of transfer, and the total of all. A plan has a row a group of files; ties in the order go one after another."""
+    return running(plan, order, "take_bytes", "done_bytes", "total_bytes")
 
 
 def choose_mode(rate: float, full_bytes: int, free_bytes: int, requested: str = "auto", safety: float = 1.2, reserve: int = 10 << 30) -> str:
@@ -141,3 +140,20 @@ def worker_candidates(requested: list[int], limit: int) -> list[int]:
 def latest_fit(configs: DataFrame, fits: Column, order: list) -> DataFrame:
     """The first configuration that fits, in an order of preference."""
     return configs.where(fits).orderBy(*order).limit(1)
+
+
+def compatible(configs: DataFrame, fingerprint: str, hardware: str, limit: int, pipeline: dict, order: list) -> DataFrame:
+    """The first qualified configuration of the same fingerprint and hardware, within the limit of workers and equal in the
+    given settings of the pipeline. `configs`: fingerprint, hardware, qualified, cpu_workers, and a column a setting.
+    """
+    fits = (F.col("fingerprint") == fingerprint) & (F.col("hardware") == hardware) & F.col("qualified") & (F.col("cpu_workers") <= limit)
+    for name, value in pipeline.items():
+        fits = fits & F.col(name).eqNullSafe(F.lit(value))
+    return latest_fit(configs, fits, order)
+
+
+def distinct_with(rows: DataFrame, column: str, extra: list) -> DataFrame:
+    """The distinct values of a column, and `extra` ones appended as they are."""
+    kind = rows.schema[column].dataType
+    added = rows.sparkSession.createDataFrame([(x,) for x in extra], f"{column} {kind.simpleString()}")
+    return rows.select(column).distinct().unionByName(added)

@@ -46,6 +46,11 @@ def split_counts(per_image: DataFrame) -> DataFrame:
     return per_image.groupBy("split").agg(F.count(F.lit(1)).alias("images"), F.count(F.when(F.col("n_boxes") == 0, 1)).alias("zero_box"), F.sum("n_boxes").alias("boxes"))
 
 
+def method_totals(runs: DataFrame) -> DataFrame:
+    """method, images, boxes, mean_seconds, zero_box: totals of each method. `runs`: method, image, n_boxes, seconds."""
+    return runs.groupBy("method").agg(F.count(F.lit(1)).alias("images"), F.sum("n_boxes").alias("boxes"), F.avg("seconds").alias("mean_seconds"), F.count(F.when(F.col("n_boxes") == 0, 1)).alias("zero_box"))
+
+
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     """The same images under two settings side by side: image, a_boxes, b_boxes, change."""
     left, right = a.select("image", F.col("n_boxes").alias("a_boxes")), b.select("image", F.col("n_boxes").alias("b_boxes"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from patchloom.functions import geometry, scalars
 from patchloom.functions.vectors import unit
-from patchloom.operators import assign, catalog, diagnostics, fewshot, monitor, nms, pca, planner, quality, receipts, roi, spectral
-from patchloom.plans.views import BOXES_SQL, GRID, boxes, detections, grid_features, images, iou_sql, records, vectors
+from patchloom.operators import assign, catalog, diagnostics, drift, fewshot, monitor, nms, pca, planner, quality, receipts, roi, spectral
+from patchloom.plans.views import BOXES_SQL, GRID, PLANTED_SQL, boxes, detections, grid_features, images, iou_sql, planted, records, vectors
 from patchloom.session import cut, table
 
 QUERIES: dict = {}
@@ -106,8 +106,7 @@ def roi_pool(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH full_ AS (SELECT vec_id // 64 AS image FROM embeddings GROUP BY 1 HAVING count(*) = 64),
-u AS (SELECT vec_id // 64 AS image, vec_id AS patch, {UNIT_SQL} AS v FROM embeddings WHERE vec_id // 64 IN (SELECT image FROM full_)),
+WITH u AS (SELECT vec_id // 64 AS image, vec_id AS patch, {UNIT_SQL} AS v FROM embeddings),
 c AS (SELECT a.image, list_inner_product(a.v, b.v) AS cos FROM u a JOIN u b ON a.image = b.image AND a.patch <> b.patch)
 SELECT CAST(image AS BIGINT) AS image, round(avg(CASE WHEN cos > 0.15 THEN 1.0 ELSE 0.0 END), 6) AS edge_fraction, round(quantile_cont(cos, 0.05), 6) AS q05, round(quantile_cont(cos, 0.5), 6) AS q50, round(quantile_cont(cos, 0.95), 6) AS q95 FROM c GROUP BY image""")
 def cosine_diagnostics(spark: SparkSession, d: str) -> DataFrame:
@@ -124,6 +123,44 @@ def spectral_split_masks(spark: SparkSession, d: str) -> DataFrame:
     return spectral.masks(grid_features(spark, d), spectral.CutSettings(all_components=True, split_depth=2))
 
 
+WHOLE_SQL = PLANTED_SQL + ", whole AS (SELECT image FROM planted GROUP BY image HAVING count(*) = 64)"
+
+
+@query(f"""WITH {WHOLE_SQL} SELECT image, r, c, CAST(NULL AS VARCHAR) AS error FROM planted JOIN whole USING (image) WHERE r BETWEEN r0 AND r0 + 3 AND c BETWEEN c0 AND c0 + 3
+UNION ALL SELECT DISTINCT image, CAST(NULL AS INT), CAST(NULL AS INT), 'features do not fit the grid' FROM planted WHERE image NOT IN (SELECT image FROM whole)""")
+def spectral_planted(spark: SparkSession, d: str) -> DataFrame:
+    """One cut finds the planted object of every image, cell by cell; an incomplete image is an error row."""
+    return spectral.masks(planted(spark, d), spectral.CutSettings(tau=0.9, max_objects=1)).select("image", "r", "c", "error")
+
+
+@query(f"""WITH {WHOLE_SQL} SELECT image, r, c, CAST(NULL AS VARCHAR) AS error FROM planted JOIN whole USING (image) WHERE r BETWEEN r0 AND r0 + 3 AND c BETWEEN c0 AND c0 + 3
+UNION ALL SELECT DISTINCT image, CAST(NULL AS INT), CAST(NULL AS INT), 'features do not fit the grid' FROM planted WHERE image NOT IN (SELECT image FROM whole)""")
+def spectral_planted_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The same by all connected parts of a cut, then split where that is cheap: the object is one part and stays whole."""
+    return spectral.masks(planted(spark, d), spectral.CutSettings(tau=0.9, max_objects=1, all_components=True, split_depth=2)).select("image", "r", "c", "error")
+
+
+@query("WITH i AS (SELECT vec_id // 64 AS image, count(*) AS n FROM embeddings GROUP BY 1) SELECT image, n < 64 AS is_error, CAST(0 AS BIGINT) AS shared, true AS in_grid, true AS within_limit FROM i")
+def spectral_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Whatever the features: masks share no cell, lie in the grid and are no more than asked for; incomplete images are errors."""
+    s = spectral.CutSettings(max_objects=3)
+    m = spectral.masks(grid_features(spark, d), s)
+    cell = F.when(F.col("r").isNotNull(), F.struct("r", "c"))
+    return m.groupBy("image").agg(
+        F.bool_or(F.col("error").isNotNull()).alias("is_error"), (F.count(cell) - F.countDistinct(cell)).alias("shared"),
+        F.bool_and(F.coalesce(F.col("r").between(0, 7) & F.col("c").between(0, 7), F.lit(True))).alias("in_grid"), (F.coalesce(F.max("mask"), F.lit(0)) < s.max_objects).alias("within_limit"),
+    )
+
+
+@query(f"WITH {WHOLE_SQL} SELECT image, r, c, CASE WHEN r BETWEEN r0 AND r0 + 3 AND c BETWEEN c0 AND c0 + 3 THEN 'bright' ELSE 'dark' END AS shade FROM planted JOIN whole USING (image)")
+def pca_planted(spark: SparkSession, d: str) -> DataFrame:
+    """The first component tells object from background, and is brighter where the larger loading points to."""
+    f = planted(spark, d)
+    whole = f.groupBy("image").agg(F.count(F.lit(1)).alias("n")).where("n = 64").select("image")
+    shade = F.when(F.col("red") > 200, "bright").when(F.col("red") < 55, "dark").otherwise("between")
+    return pca.rgb(f.join(whole, "image", "left_semi")).select("image", "r", "c", shade.alias("shade"))
+
+
 @query()
 def pca_colours(spark: SparkSession, d: str) -> DataFrame:
     return rounded(pca.rgb(grid_features(spark, d)), "explained")
@@ -222,11 +259,8 @@ def mask_boxes(spark: SparkSession, d: str) -> DataFrame:
 x AS (SELECT 'or' AS op, * FROM (SELECT * FROM a UNION SELECT * FROM n) UNION ALL SELECT 'and', * FROM (SELECT * FROM a INTERSECT SELECT * FROM n) UNION ALL SELECT 'and_not', * FROM (SELECT * FROM a EXCEPT SELECT * FROM n))
 SELECT op, image, r, c FROM x""")
 def mask_algebra(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image"), "l_returnflag", (F.col("l_suppkey") % GRID).alias("r"), (F.col("l_partkey") % GRID).alias("c"))
-    has = lambda flag: F.bool_or(F.col("l_returnflag") == flag)
-    both = li.groupBy("image", "r", "c").agg(has("A").alias("a"), has("N").alias("n"))  # one shuffle for all three
-    ops = F.array_compact(F.array(F.when(F.expr("a OR n"), F.lit("or")), F.when(F.expr("a AND n"), F.lit("and")), F.when(F.expr("a AND NOT n"), F.lit("and_not"))))
-    return both.select(F.explode(ops).alias("op"), "image", "r", "c")
+    li = table(spark, d, "lineitem")
+    return nms.algebra(li.select(F.col("l_orderkey").alias("image"), F.col("l_returnflag").alias("mask"), (F.col("l_suppkey") % GRID).alias("r"), (F.col("l_partkey") % GRID).alias("c")), "A", "N")
 
 
 FILTER_SQL = "w * h BETWEEN {lo} AND {hi} AND greatest(w * width / (h * height), 1 / (w * width / (h * height))) <= {most}"
@@ -281,6 +315,17 @@ def iou_pairing(spark: SparkSession, d: str) -> DataFrame:
     return rounded(assign.pair(_pairs(spark, d)), "iou")
 
 
+@query(f"""WITH RECURSIVE {BOXES_SQL}, pairs AS ({PAIRS_SQL}), ps AS (SELECT image, p, row_number() OVER (PARTITION BY image ORDER BY p) AS k FROM (SELECT DISTINCT image, p FROM pairs)),
+options AS (SELECT image, k, r, iou FROM pairs JOIN ps USING (image, p) UNION ALL SELECT image, k, NULL, 0 FROM ps),
+st AS (SELECT DISTINCT image, CAST(0 AS BIGINT) AS k, CAST([] AS INT[]) AS used, 0 AS n, CAST(0 AS DOUBLE) AS s FROM ps
+  UNION ALL SELECT st.image, o.k, CASE WHEN o.r IS NULL THEN used ELSE list_append(used, o.r) END, n + CASE WHEN o.r IS NULL THEN 0 ELSE 1 END, s + o.iou FROM st JOIN options o ON st.image = o.image AND o.k = st.k + 1 AND (o.r IS NULL OR NOT list_contains(used, o.r))),
+best AS (SELECT image, max(n) AS n FROM st GROUP BY image)
+SELECT st.image, CAST(st.n AS BIGINT) AS n_pairs, round(max(s), 4) AS total FROM st JOIN best ON st.image = best.image AND st.n = best.n GROUP BY st.image, st.n""")
+def iou_pairing_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What is unique of the pairing of each image: most pairs, and of such the largest overlap. SQL tries all pairings."""
+    return rounded(iou_pairing(spark, d).groupBy("image").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("iou").alias("total")), "total", digits=4)
+
+
 def _hist_sql(value: str, edges: list[float]) -> str:
     last = len(edges) - 2
     rows = ", ".join(f"({i}, CAST({lo} AS DOUBLE), CAST({hi} AS DOUBLE))" for i, (lo, hi) in enumerate(zip(edges, edges[1:])))
@@ -360,10 +405,24 @@ def candidate_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_candidates(spark, d), "median_throughput", "stability_ratio").select("workers", "batch", "median_throughput", "stable_throughput", "ok", "stability_ratio")
 
 
-@query(f"WITH {CANDIDATE_SQL} SELECT workers, batch, stable_throughput FROM c WHERE ok IS NOT NULL AND stability_ratio >= 0.0001 ORDER BY stable_throughput DESC, batch, workers LIMIT 1")
+@query(f"WITH {CANDIDATE_SQL} SELECT workers, batch, stable_throughput FROM c WHERE ok AND stability_ratio >= 0.85 ORDER BY stable_throughput DESC, batch, workers LIMIT 1")
 def best_candidate(spark: SparkSession, d: str) -> DataFrame:
-    """Failures are frequent in these runs, so rows rather than candidates are required to be measured."""
-    return planner.choose_best(_candidates(spark, d).withColumn("ok", F.lit(True)), 0.0001).select("workers", "batch", "stable_throughput")
+    """Nothing, if no candidate is ok in all its runs and stable."""
+    return planner.choose_best(_candidates(spark, d), 0.85).select("workers", "batch", "stable_throughput")
+
+
+RUN_CANDIDATE_SQL = f"""{BENCH_SQL}, ok_rows AS (SELECT run_id, cpu_workers AS workers, batch_size AS batch, status, rate AS throughput FROM b WHERE status = 'ok' AND rate > 0 AND isfinite(rate)),
+c AS (SELECT workers, batch, min(throughput) AS stable_throughput, min(throughput) / max(throughput) AS stability_ratio FROM ok_rows WHERE run_id IN (SELECT run_id FROM ok_rows GROUP BY run_id ORDER BY count(*) DESC, run_id LIMIT 1) GROUP BY workers, batch HAVING count(*) >= 1)"""
+
+
+@query(f"WITH {RUN_CANDIDATE_SQL} SELECT workers, batch, stable_throughput FROM c WHERE stability_ratio >= 0.85 ORDER BY stable_throughput DESC, batch, workers LIMIT 1")
+def best_of_run(spark: SparkSession, d: str) -> DataFrame:
+    """The best candidate of the run of most measurements, of which one each suffices."""
+    v = F.col("throughput_images_per_sec")
+    b = _bench(spark, d).where((F.col("status") == "ok") & (v > 0) & ~F.isnan(v) & (v < float("inf")))
+    top = b.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "run_id").limit(1).select("run_id")
+    runs = b.join(F.broadcast(top), "run_id").select(F.col("cpu_workers").alias("workers"), F.col("batch_size").alias("batch"), "status", v.alias("throughput"))
+    return planner.choose_best(planner.candidates(runs, 1), 0.85).select("workers", "batch", "stable_throughput")
 
 
 STAGES_SQL = "dino_ms_image * images_processed / 1000 AS dino, maskcut_ms_image * images_processed / 1000 / greatest(1, coalesce(cpu_workers, 1)) AS maskcut, bbox_ms_image * images_processed / 1000 / greatest(1, coalesce(cpu_workers, 1)) AS bbox, io_ms_image * images_processed / 1000 / greatest(1, coalesce(cpu_workers, 1)) AS io, backpressure_seconds AS wait"
@@ -448,27 +507,60 @@ def confident_detections(spark: SparkSession, d: str) -> DataFrame:
     return rounded(fewshot.confident(detections(spark, d), 0.25, [1, 3]), "confidence", digits=9)
 
 
-@query(f"WITH {DETECT_SQL} SELECT class_id, count(*) AS boxes, round(avg(confidence), 6) AS mean_confidence FROM d GROUP BY class_id")
+@query("""WITH t AS (SELECT DISTINCT timing_id, image, keys_cut_box_write_ms, tokens_cut_box_write_ms, key_boxes, token_boxes FROM timings),
+m AS (SELECT 'keys' AS method, image, key_boxes AS n, keys_cut_box_write_ms / 1000 AS s FROM t UNION ALL SELECT 'tokens', image, token_boxes, tokens_cut_box_write_ms / 1000 FROM t)
+SELECT method, count(*) AS images, CAST(sum(n) AS BIGINT) AS boxes, round(avg(s), 6) AS mean_seconds, count(CASE WHEN n = 0 THEN 1 END) AS zero_box FROM m GROUP BY method""")
 def method_totals(spark: SparkSession, d: str) -> DataFrame:
-    g = detections(spark, d).groupBy("class_id").agg(F.count(F.lit(1)).alias("boxes"), F.avg("confidence").alias("mean_confidence"))
-    return rounded(g, "mean_confidence")
+    """Boxes and mean seconds of both feature methods over all forward passes."""
+    t = table(spark, d, "timings").select("timing_id", "image", "keys_cut_box_write_ms", "tokens_cut_box_write_ms", "key_boxes", "token_boxes").distinct()
+    one = lambda name, n, ms: F.struct(F.lit(name).alias("method"), F.col(n).alias("n_boxes"), (F.col(ms) / 1000).alias("seconds"))
+    both = F.array(one("keys", "key_boxes", "keys_cut_box_write_ms"), one("tokens", "token_boxes", "tokens_cut_box_write_ms"))
+    return rounded(quality.method_totals(t.select("image", F.inline(both))), "mean_seconds")
+
+
+@query(f"""WITH {DETECT_SQL}, t AS (SELECT image, ord, class_id, row_number() OVER (PARTITION BY image ORDER BY confidence DESC, ord) AS k FROM d),
+x AS (SELECT i.image % 4 AS cls, t.ord, t.class_id FROM images i LEFT JOIN t ON t.image = i.image AND k = 1)
+SELECT CAST(cls AS INT) AS cls, count(*) AS photos, count(ord) AS with_candidate, count(CASE WHEN class_id = cls THEN 1 END) AS correct FROM x GROUP BY cls""")
+def photo_tally(spark: SparkSession, d: str) -> DataFrame:
+    """Photos of each class that have a candidate, and whose most confident one is of the class."""
+    det = detections(spark, d)
+    top = fewshot.photos(det.withColumn("class_id", F.lit(0)), images(spark, d).select("image"), 0)
+    truth = images(spark, d).select("image", (F.col("image") % 4).cast("int").alias("cls"))
+    return fewshot.photo_tally(top, truth, det.select("image", "ord", F.col("class_id").cast("string").alias("label")))
 
 
 @query("SELECT label AS cls, min(vec_id) AS id FROM embeddings WHERE vec_id % 5 = 0 GROUP BY label")
 def first_per_class(spark: SparkSession, d: str) -> DataFrame:
-    return vectors(spark, d).where("is_support").groupBy("cls").agg(F.min("id").alias("id"))
+    return fewshot.first_of_class(vectors(spark, d).where("is_support"))
 
 
 @query("SELECT DISTINCT batch_size FROM benchmark_runs UNION ALL SELECT -1")
 def distinct_batches(spark: SparkSession, d: str) -> DataFrame:
     """Distinct sizes, and one synthetic row appended."""
-    return table(spark, d, "benchmark_runs").select("batch_size").distinct().unionByName(spark.range(1).select(F.lit(-1).cast("bigint").alias("batch_size")))
+    return planner.distinct_with(table(spark, d, "benchmark_runs"), "batch_size", [-1])
+
+
+CONFIG_SQL = """v AS (SELECT DISTINCT file_id, written_at, body FROM config_files WHERE json_valid(body)),
+c AS (SELECT file_id, written_at, json_extract_string(body, '$.fingerprint') AS fingerprint, json_extract_string(body, '$.hardware.platform') AS hardware, json_extract_string(body, '$.qualified_confirmation') = 'true' AS qualified,
+  TRY_CAST(json_extract_string(body, '$.cpu_workers') AS INT) AS cpu_workers, json_extract_string(body, '$.configuration.pipeline.queue_batches') AS queue_batches FROM v WHERE json_type(body) = 'OBJECT'),
+t AS (SELECT * FROM c WHERE qualified AND cpu_workers <= 16 AND fingerprint IS NOT NULL AND hardware IS NOT NULL ORDER BY file_id LIMIT 1)"""
 
 
-@query(f"WITH {BENCH_SQL} SELECT bench_id, run_id, created_at FROM b WHERE status = 'ok' AND stage = 'confirmation' AND images_processed >= 10000 AND cpu_workers <= 8 ORDER BY created_at DESC, bench_id LIMIT 1")
+@query(f"""WITH {CONFIG_SQL} SELECT c.file_id, c.fingerprint, c.hardware, c.cpu_workers FROM c, t WHERE c.fingerprint = t.fingerprint AND c.hardware = t.hardware AND c.qualified AND c.cpu_workers <= 16
+AND c.queue_batches IS NOT DISTINCT FROM t.queue_batches ORDER BY c.written_at DESC, c.file_id LIMIT 1""")
 def compatible_config(spark: SparkSession, d: str) -> DataFrame:
-    fits = (F.col("status") == "ok") & (F.col("stage") == "confirmation") & planner.qualified(F.col("images_processed"), F.lit(2)) & (F.col("cpu_workers") <= 8)
-    return planner.latest_fit(_bench(spark, d), fits, [F.desc("created_at"), "bench_id"]).select("bench_id", "run_id", "created_at")
+    """The newest configuration that fits where the qualified one of least id was found."""
+    heads = drift.headers(table(spark, d, "config_files")).dropDuplicates(["file_id"])
+    told = heads.withColumn("_m", F.map_from_entries(F.transform("fields", lambda f: F.struct(f["path"], f["value"]))))
+    at = lambda path: F.try_element_at("_m", F.lit(path))
+    c = told.select(
+        "file_id", "written_at", at("fingerprint").alias("fingerprint"), at("hardware.platform").alias("hardware"), (at("qualified_confirmation") == "true").alias("qualified"),
+        at("cpu_workers").try_cast("int").alias("cpu_workers"), at("configuration.pipeline.queue_batches").alias("queue_batches"),
+    )
+    c = cut(c, "configs")
+    here = c.where("qualified AND cpu_workers <= 16 AND fingerprint IS NOT NULL AND hardware IS NOT NULL").orderBy("file_id").limit(1).collect()
+    fingerprint, hardware, queue = (here[0]["fingerprint"], here[0]["hardware"], here[0]["queue_batches"]) if here else ("", "", None)
+    return planner.compatible(c, fingerprint, hardware, 16, {"queue_batches": queue}, [F.desc("written_at"), "file_id"]).select("file_id", "fingerprint", "hardware", "cpu_workers")
 
 
 @query("""SELECT n_name AS name, CAST(length(hex(encode(n_name))) // 2 AS INT) AS n_bytes, sha256(n_name) AS sha256, upper(right(hex(encode(n_name)), 4)) = 'FFD9' AS ends_as_jpeg FROM nation""")

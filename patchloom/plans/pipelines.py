@@ -97,10 +97,9 @@ def generate(spark: SparkSession, root: str, out: str, s: config.Settings, make:
 def stored_boxes(spark: SparkSession, out: str, records: DataFrame, fingerprint: str, root: str) -> tuple[DataFrame, DataFrame]:
     """(boxes, images) of the records with valid labels."""
     labels, known = files.load_labels(spark, out)
-    done = receipts.valid(records, known, labels, fingerprint, root).select(F.col("relative").alias("image"))
-    # a label written again stands beside the old one: the receipt's digest tells which is meant
-    mine = known.where(F.col("fingerprint") == fingerprint).select("image", "label_sha256", "image_size").distinct()
-    text = labels.withColumn("label_sha256", F.sha2(F.col("label").cast("binary"), 256)).distinct().join(mine, ["image", "label_sha256"]).join(done, "image", "left_semi")
+    done = receipts.valid(records, known, labels, fingerprint, root).select(F.col("relative").alias("image"), "label_sha256", "image_size")
+    # a label written again stands beside the old one: the valid receipt's digest tells which is meant
+    text = labels.select("image", "label", F.sha2(F.col("label").cast("binary"), 256).alias("label_sha256")).distinct().join(done, ["image", "label_sha256"])
     images = text.select("image", F.col("image_size")[0].cast("double").alias("width"), F.col("image_size")[1].cast("double").alias("height")).distinct()
     boxes = text.select("image", F.posexplode(receipts.decode_labels(F.col("label"))).alias("ord", "b")).select("image", "ord", "b.*")
     return boxes, images

@@ -58,17 +58,27 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grid_features(spark: SparkSession, d: str) -> DataFrame:
-    """image, rows, cols, r, c, patch, vec: 64 successive embeddings are the patches of an image."""
-    e = table(spark, d, "embeddings")
-    full = F.count(F.lit(1)).over(Window.partitionBy(F.floor(F.col("vec_id") / 64)))
+    """image, rows, cols, r, c, patch, vec: 64 successive embeddings are the patches of an image; the last may be incomplete."""
     patch = (F.col("vec_id") % 64).cast("int")
-    x = e.withColumn("_n", full).where("_n = 64")
-    return x.select(
+    return table(spark, d, "embeddings").select(
         F.floor(F.col("vec_id") / 64).alias("image"), F.lit(PATCHES).alias("rows"), F.lit(PATCHES).alias("cols"),
         F.floor(patch / PATCHES).cast("int").alias("r"), (patch % PATCHES).alias("c"), patch.alias("patch"), F.transform("embedding", lambda v: v.cast("double")).alias("vec"),
     )
 
 
+#: An image of 64 successive embeddings with a planted object: a block of 4 x 4 patches, of another direction than the rest.
+PLANTED_SQL = """planted AS (SELECT vec_id // 64 AS image, CAST(vec_id % 64 // 8 AS INT) AS r, CAST(vec_id % 8 AS INT) AS c, 1 + vec_id // 64 % 3 AS r0, 1 + vec_id // 192 % 3 AS c0 FROM embeddings)"""
+
+
+def planted(spark: SparkSession, d: str) -> DataFrame:
+    """As `grid_features`, each embedding added to a long vector that tells object from background: (0.6, 0.8) or (1, 0) of its first numbers."""
+    f = grid_features(spark, d)
+    r0, c0 = 1 + F.col("image") % 3, 1 + F.floor(F.col("image") / 3) % 3
+    inside = F.col("r").between(r0, r0 + 3) & F.col("c").between(c0, c0 + 3)
+    base = lambda i: F.when(i == 0, F.when(inside, 0.6).otherwise(1.0)).when(i == 1, F.when(inside, 0.8).otherwise(0.0)).otherwise(0.0)
+    return f.withColumn("vec", F.transform("vec", lambda v, i: base(i) * 1000 + v)).withColumn("planted", inside)
+
+
 def records(spark: SparkSession, d: str) -> DataFrame:
     """image_id, path, relative, size, mtime_ns: each image record once."""
     return table(spark, d, "image_records").select("image_id", "path", "relative", "size", "mtime_ns").distinct()
