@@ -26,9 +26,10 @@ def cut_settings(s: config.Settings) -> spectral.CutSettings:
     return spectral.CutSettings(**{f.name: getattr(s.masks, f.name) for f in fields(spectral.CutSettings)})
 
 
-def features_of(spark: SparkSession, root: str, records: DataFrame, s: config.Settings, make: Callable[[], Backbone], batch: int = 16) -> tuple[DataFrame, DataFrame]:
-    """(patch features with errors, sizes of the decoded images)."""
+def features_of(spark: SparkSession, root: str, records: DataFrame, s: config.Settings, make: Callable[[], Backbone], batch: int = 16, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(patch features with errors, sizes of the decoded images), in no more than `tasks` tasks if given."""
     decoded = image_source.decoded(spark, root, records)
+    decoded = decoded.coalesce(tasks) if tasks else decoded
     return image_source.features(decoded, make, s.features.resolution, batch), decoded.select(F.col("relative").alias("image"), "width", "height", "error")
 
 
@@ -51,9 +52,9 @@ def labels_of(kept: DataFrame, done: DataFrame) -> DataFrame:
     return done.select("image").join(per, "image", "left").select("image", receipts.encode_labels(boxes).alias("label"))
 
 
-def label_images(spark: SparkSession, root: str, left: DataFrame, out: str, s: config.Settings, make: Callable[[], Backbone], fingerprint: str, batch: int = 16) -> DataFrame:
+def label_images(spark: SparkSession, root: str, left: DataFrame, out: str, s: config.Settings, make: Callable[[], Backbone], fingerprint: str, batch: int = 16, tasks: int | None = None) -> DataFrame:
     """Decode, extract features, cut masks, find boxes, write labels and then receipts of `left`. Returns image, error of those that failed."""
-    features, sizes = features_of(spark, root, left, s, make, batch)
+    features, sizes = features_of(spark, root, left, s, make, batch, tasks)
     features, sizes = cut(features, "features"), cut(sizes, "sizes")
     kept, wrong = boxes_of(features, sizes, s, make().grid)
     wrong = cut(wrong, "errors")
@@ -138,7 +139,7 @@ def tau_sweep(spark: SparkSession, features: DataFrame, sizes: DataFrame, s: con
 def trial(spark: SparkSession, root: str, subset: DataFrame, s: config.Settings, make: Callable[[], Backbone], workers: int, batch: int, stage: str, repeat: int = 0) -> dict:
     """The whole job of `generate` without resume on a subset, in a folder of its own that is removed: one run of a report.
 
-    `workers` is the number of tasks of each shuffle. Memory that runs out in the backbone is the status oom; other errors are raised.
+    `workers` is the number of tasks that decode, and of each shuffle. Memory that runs out in the backbone is the status oom; other errors are raised.
     """
     changed = {"spark.sql.shuffle.partitions": str(workers), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     before = {k: spark.conf.get(k) for k in changed}
@@ -149,7 +150,7 @@ def trial(spark: SparkSession, root: str, subset: DataFrame, s: config.Settings,
         try:
             for k, v in changed.items():
                 spark.conf.set(k, v)
-            failed = label_images(spark, root, subset, out, s, make, fingerprint, batch).select("image").distinct().count()
+            failed = label_images(spark, root, subset, out, s, make, fingerprint, batch, workers).select("image").distinct().count()
         except PySparkException as e:
             if "out of memory" not in str(e).lower():
                 raise

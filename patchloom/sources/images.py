@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import re
 from collections.abc import Callable
 from typing import Protocol
 
@@ -12,33 +14,94 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from patchloom.session import filesystem
+
 #: Mean and deviation of red, green and blue that backbones expect.
 MEAN, DEVIATION = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 
 
-def decoded(spark: SparkSession, root: str, records: DataFrame) -> DataFrame:
-    """relative, width, height, data (bytes in the order blue, green, red) of each record, or an error where it cannot be read."""
-    raw = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", "true").load(root)
-    plain = lambda c: F.regexp_replace(c, "^file:/*", "/")
-    ok = raw.select(plain(F.col("image.origin")).alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
-    out = records.select("path", "relative").join(ok, "path", "left")
-    return out.withColumn("error", F.when(F.col("data").isNull(), "cannot be decoded"))
+#: Images that one read is given by name, and up to how many are named at all.
+NAMED, MOST_NAMED = 5_000, 200_000
+
+
+def decoded(spark: SparkSession, root: str, records: DataFrame, named: int = NAMED, most_named: int = MOST_NAMED) -> DataFrame:
+    """relative, width, height, channels, data (bytes in the order blue, green, red) of each record, or an error where it cannot be read.
+
+    Only the records' own files are opened: they are named to the reader, some thousands a read, and their names go along
+    with the pixels, which are not shuffled. Beyond `most_named` records, when the names alone are a load for the driver,
+    the whole root is read and joined; the result is the same. A file that is gone is an error of its image.
+    """
+    want = records.select("path", "relative")
+    few = want.limit(most_named + 1).collect()
+    if len(few) > most_named:
+        return _pixels(spark, [root], want.withColumn("known", F.lit(True)))
+    out = None
+    for start in range(0, max(1, len(few)), named):
+        some = few[start : start + named]
+        paths = [r["path"] for r in some]
+        there = _existing(spark, paths)
+        block = spark.createDataFrame([(r["path"], r["relative"], r["path"] in there) for r in some], "path STRING, relative STRING, known BOOLEAN")
+        part = _pixels(spark, sorted(there), F.broadcast(block))  # at most `named` rows
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+PIXELS = "path STRING, width INT, height INT, channels INT, data BINARY"
+
+
+def _existing(spark: SparkSession, paths: list[str]) -> set[str]:
+    """Those of the paths that are there; a folder is listed once."""
+    found: set[str] = set()
+    for folder in {p.rpartition("/")[0] for p in paths}:
+        fs, place = filesystem(spark, folder or "/")
+        if fs.exists(place):
+            found.update(_plain(str(x.getPath())) for x in fs.listStatus(place))
+    return found & set(paths)
+
+
+def _plain(path: str) -> str:
+    return re.sub("^file:/*", "/", path)
+
+
+def _pixels(spark: SparkSession, sources: list[str], want: DataFrame) -> DataFrame:
+    """The wanted records (path, relative, known) with what the image reader gives of `sources`."""
+    raw = spark.createDataFrame([], PIXELS)
+    if sources:
+        escaped = [re.sub(r"([\\{}\[\]*?^,])", r"\\\1", x) for x in sources]
+        found = spark.read.format("image").option("recursiveFileLookup", "true").load(escaped)
+        at = lambda c: F.col(f"image.{c}")
+        origin = F.url_decode(F.replace(at("origin"), F.lit("+"), F.lit("%2B")))  # it is told encoded, unlike paths
+        raw = found.select(F.regexp_replace(origin, "^file:/*", "/").alias("path"), at("width").alias("width"), at("height").alias("height"), at("nChannels").alias("channels"), at("data").alias("data"))
+    whole = want.join(raw.where("width > 0"), "path", "left")
+    error = F.when(~F.col("known"), "is gone").when(F.col("data").isNull(), "cannot be decoded")
+    return whole.select("path", "relative", "width", "height", "channels", "data", error.alias("error"))
 
 
 def tensor(data: bytes, width: int, height: int, channels: int, side: int) -> np.ndarray:
-    """A float32 array [3, side, side]: red first, resized by area-weighted means or linear interpolation, normalized."""
+    """A float32 array [3, side, side]: red first, resized as by an image library, normalized.
+
+    A windowed sinc of three lobes, widened for shrinking, first along rows and then along columns, each time rounded to bytes.
+    """
     pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)
     rgb = np.repeat(pixels[:, :, :1], 3, axis=2) if channels == 1 else pixels[:, :, 2::-1]
-    resized = _weights(height, side) @ rgb.astype(np.float32).transpose(2, 0, 1) @ _weights(width, side).T
-    return ((resized / 255 - np.reshape(MEAN, (3, 1, 1))) / np.reshape(DEVIATION, (3, 1, 1))).astype(np.float32)
+    planes = rgb.transpose(2, 0, 1).astype(np.float64)
+    planes = _bytes(planes @ _weights(width, side).T)
+    planes = _bytes(_weights(height, side) @ planes)
+    return ((planes / 255 - np.reshape(MEAN, (3, 1, 1))) / np.reshape(DEVIATION, (3, 1, 1))).astype(np.float32)
+
+
+def _bytes(x: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(x + 0.5), 0, 255)
 
 
-def _weights(size: int, side: int) -> np.ndarray:
-    """Rows of a triangle filter widened for shrinking; each sums to 1."""
-    scale = max(size / side, 1.0)
-    centre = (np.arange(side) + 0.5) * size / side - 0.5
-    w = np.maximum(0, 1 - np.abs(np.arange(size)[None, :] - centre[:, None]) / scale)
-    return (w / w.sum(axis=1, keepdims=True)).astype(np.float32)
+@functools.lru_cache(256)
+def _weights(size: int, side: int, lobes: int = 3) -> np.ndarray:
+    """A row a new pixel: the weights of the old ones, by distance from its centre in units of the wider of both pixels; each sums to 1."""
+    wide = max(size / side, 1.0)
+    centre = (np.arange(side) + 0.5) * size / side
+    distance = (np.arange(size) + 0.5 - centre[:, None]) / wide
+    w = np.where(np.abs(distance) < lobes, np.sinc(distance) * np.sinc(distance / lobes), 0.0)
+    return w / w.sum(axis=1, keepdims=True)
 
 
 class Backbone(Protocol):

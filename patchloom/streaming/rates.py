@@ -21,10 +21,10 @@ def windowed(events: DataFrame, ts: str, keys: list[str], window: str = "5 minut
 PROGRESS = "key STRING, first_us BIGINT, last_us BIGINT, n BIGINT"
 
 
-def progress(events: DataFrame, key: str, ts: str, idle_ms: int = 86_400_000) -> DataFrame:
+def progress(events: DataFrame, key: str, ts: str, idle_ms: int = 86_400_000, late: str = "10 minutes") -> DataFrame:
     """Count and span of each key so far, updated as events arrive; state is three numbers a key.
 
-    A key that nothing arrived of for `idle_ms` is forgotten; if it comes again it starts anew.
+    A key is forgotten when the watermark has passed its last event by `idle_ms`; if it comes again it starts anew.
     """
 
     def update(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -38,8 +38,8 @@ def progress(events: DataFrame, key: str, ts: str, idle_ms: int = 86_400_000) ->
                 first, last = (low if first is None else min(first, low)), (high if last is None else max(last, high))
                 n += len(frame)
         state.update((first, last, n))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(last // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": [keys[0]], "first_us": [first], "last_us": [last], "n": [n]})
 
-    slim = events.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
-    return slim.groupBy("key").applyInPandasWithState(update, PROGRESS, "first_us BIGINT, last_us BIGINT, n BIGINT", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    slim = events.withWatermark(ts, late).select(F.col(key).cast("string").alias("key"), ts, F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+    return slim.groupBy("key").applyInPandasWithState(update, PROGRESS, "first_us BIGINT, last_us BIGINT, n BIGINT", "update", GroupStateTimeout.EventTimeTimeout)

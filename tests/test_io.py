@@ -37,6 +37,45 @@ def test_decode_features_and_error_rows(spark, tmp_path):
     assert sum(r["error"] is None for r in out) == 4 and sum(r["error"] is not None for r in out) == 1
 
 
+def test_only_the_records_files_are_opened(spark, tmp_path):
+    from patchloom.operators.catalog import scan
+
+    for i in range(7):
+        folder = tmp_path / ("a b" if i % 2 else "x[1],{2}*")
+        folder.mkdir(exist_ok=True)
+        (folder / f"{i}?.png").write_bytes(png(6, 4, (i, 200, 30)))
+    records = scan(spark, str(tmp_path)).collect()
+    (tmp_path / "unread.png").mkdir()  # neither an image nor readable as one
+    (tmp_path / "a b/3?.png").unlink()
+    asked = spark.createDataFrame([r for r in records if r["relative"].split("/")[1][0] in "0123"], "path STRING, relative STRING, size BIGINT, mtime_ns BIGINT, key STRING")
+    out = images.decoded(spark, str(tmp_path), asked, named=2)
+    rows = {r["relative"].split("/")[1]: r for r in out.collect()}
+    assert {k: r["error"] for k, r in rows.items()} == {"0?.png": None, "1?.png": None, "2?.png": None, "3?.png": "is gone"}
+    assert all(bytes(rows[f"{i}?.png"]["data"])[2] == i for i in range(3))
+    opened = {f.split("/")[-1] for f in out.inputFiles()}
+    assert len(opened) == 3
+    assert images.decoded(spark, str(tmp_path), asked.limit(0)).count() == 0
+    (tmp_path / "unread.png").rmdir()
+    whole = {(r["relative"], r["error"] is None) for r in images.decoded(spark, str(tmp_path), asked, most_named=0).collect()}
+    assert whole == {(r["relative"], r["error"] is None) for r in rows.values()}
+
+
+def test_resizing_weights():
+    assert np.allclose(images._weights(8, 8), np.eye(8))
+    for size, side in ((100, 16), (16, 100), (7, 3), (1, 5)):
+        w = images._weights(size, side)
+        assert w.shape == (side, size) and np.allclose(w.sum(axis=1), 1)
+        centres = w @ (np.arange(size) + 0.5)
+        inner = np.abs(np.arange(side) + 0.5 - side / 2) < side / 2 - 3 * max(1, side / size)
+        assert np.allclose(centres[inner], ((np.arange(side) + 0.5) * size / side)[inner], atol=0.05 * max(1, size / side))
+    ramp = np.repeat(np.arange(0, 240, 2, dtype=np.uint8)[None, :, None], 120, axis=0)
+    t = images.tensor(ramp.tobytes(), 120, 120, 1, 40)
+    red = t[0] * images.DEVIATION[0] + images.MEAN[0]
+    assert np.allclose(red[5], red[30]) and np.allclose(np.diff(red[5] * 255)[4:-4], 6, atol=1.01), "rounded to bytes"
+    flat = images.tensor(bytes([200, 100, 50]) * 77, 11, 7, 3, 32)
+    assert np.allclose(flat[0] * images.DEVIATION[0] + images.MEAN[0], 50 / 255, atol=1e-6)
+
+
 def test_voc(spark):
     xml = "<annotation><size><width>100</width><height>50</height></size>{}</annotation>"
     obj = "<object><name>{}</name><bndbox><xmin>{}</xmin><ymin>1</ymin><xmax>50</xmax><ymax>25</ymax></bndbox></object>"
@@ -209,7 +248,6 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["key"], str(r["start"])): r["n"] for r in spark.table("w").collect()} == batch
-    q = rates.progress(stream, "key", "ts").writeStream.format("memory").queryName("p").outputMode("update").start()
-    q.processAllAvailable()
-    q.stop()
+    q = rates.progress(stream, "key", "ts").writeStream.format("memory").queryName("p").outputMode("update").trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
     assert {r["key"]: (r["n"], r["last_us"] - r["first_us"]) for r in spark.table("p").collect()} == {"k0": (5, 480_000_000), "k1": (5, 480_000_000)}

@@ -68,6 +68,30 @@ def test_generate_resumes_and_redoes_only_what_changed(spark, folder):
         pipelines.prepare_training(spark, str(folder / "in"), str(folder / "out"), SETTINGS, str(folder / "t"), routes)
 
 
+def test_a_label_that_changed_counts_once(spark, folder):
+    run(spark, folder)
+    (folder / "in/train2017/0.png").write_bytes(png(64, 16, (0, 0, 0)) + b" ")
+    again = run(spark, folder)
+    assert again["images_processed"] == 1
+    records = pipelines.catalog.scan(spark, str(folder / "in"))
+    boxes, images = pipelines.stored_boxes(spark, str(folder / "out"), records, SETTINGS.fingerprint("none"), str(folder / "in"))
+    per = {r["image"]: (r["width"], r["height"]) for r in images.collect()}
+    assert images.count() == 5 and per["train2017/0.png"] == (64.0, 16.0)
+    labels = spark.read.parquet(str(folder / "out/labels")).where("image = 'train2017/0.png'").select("label").distinct()
+    assert labels.count() == 2, "its label differs from the old one"
+    assert boxes.groupBy("image").count().where("count > 1").count() == 0
+
+
+def test_only_what_is_left_is_decoded(spark, folder, monkeypatch):
+    run(spark, folder)
+    (folder / "in/val2017/new.png").write_bytes(png(8, 8, (9, 90, 9)))
+    asked = []
+    pixels = pipelines.image_source._pixels
+    monkeypatch.setattr(pipelines.image_source, "_pixels", lambda s, sources, want: asked.extend(sources) or pixels(s, sources, want))
+    assert run(spark, folder)["images_processed"] == 1
+    assert [x.rsplit("/", 1)[1] for x in asked] == ["new.png"]
+
+
 def test_dataset_and_output_stay_apart(spark, folder):
     with pytest.raises(ValueError):
         pipelines.generate(spark, str(folder / "in"), str(folder / "in/out"), SETTINGS, Planted)
