@@ -105,7 +105,7 @@ def test_tar_and_zip(spark, tmp_path):
             info = tarfile.TarInfo(name)
             info.size = size
             t.addfile(info, io.BytesIO(bytes(size)))
-    df = spark.read.format("binaryFile").load(str(tmp_path / "a.tar"))
+    df = spark.createDataFrame([(str(tmp_path / "a.tar"), "clash")], "path STRING, name STRING")
     with tarfile.open(tmp_path / "a.tar") as t:
         want = [(m.name, m.offset_data, m.size) for m in t.getmembers()]
     assert [tuple(r)[1:] for r in archives.index(df).collect()] == want
@@ -116,9 +116,26 @@ def test_tar_and_zip(spark, tmp_path):
         with zipfile.ZipFile(tmp_path / name, "w") as z:
             for n in body:
                 z.writestr(n, n)
-    read = lambda name: archives.extract_zip(spark.read.format("binaryFile").load(str(tmp_path / name)), 2).collect()
-    assert [r["name"] for r in read("ok.zip")] == ["t/a.jpg", "t/b.jpg"] and read("bad.zip")[0]["error"] == "unsafe path"
-    have = archives.extract_zip(spark.read.format("binaryFile").load(str(tmp_path / "ok.zip")))
+    zip_ = lambda name: spark.createDataFrame([(str(tmp_path / name),)], "path STRING")
+    read = lambda name: sorted(archives.extract_zip(zip_(name), 2, tasks=2).collect(), key=lambda r: r["ord"])
+    assert [(r["name"], bytes(r["content"])) for r in read("ok.zip")] == [("t/a.jpg", b"t/a.jpg"), ("t/b.jpg", b"t/b.jpg")] and read("bad.zip")[0]["error"] == "unsafe path"
+    have = archives.extract_zip(zip_("ok.zip"), tasks=2)
+    assert archives.extract_zip(zip_("ok.zip"), present=have, tasks=2).count() == 0
+    broken = bytearray((tmp_path / "ok.zip").read_bytes())
+    broken[broken.index(b"t/a.jpg", 40)] ^= 1  # a byte of the first member's content
+    (tmp_path / "broken.zip").write_bytes(broken)
+    assert [r["error"] is None for r in read("broken.zip")] == [False, True]
+    assert archives.extract_zip(zip_("a.tar"), tasks=2).collect()[0]["error"] and archives.extract_zip(zip_("none.zip"), tasks=2).collect()[0]["error"]
+    with tarfile.open(tmp_path / "outer.tar", "w", format=tarfile.USTAR_FORMAT) as t:
+        for name in ("n1.tar", "n2.tar"):
+            t.add(tmp_path / "a.tar", name)
+    with open(tmp_path / "outer.tar", "r+b") as f:
+        f.seek(3 << 30)  # larger than any single value may be; only headers and members are read
+        f.write(b"\0")
+    inner = archives.index(spark.createDataFrame([(str(tmp_path / "outer.tar"),)], "path STRING"))
+    assert [r["name"] for r in inner.collect()] == ["n1.tar", "n2.tar"]
+    found = archives.extract_tar(inner.withColumnRenamed("archive", "path"), most=2).collect()
+    assert [(r["ord"], r["name"], len(r["content"])) for r in found] == [(0, "n1/x.jpg", 700), (1, "n1/y.jpg", 10)] * 2
     listed = spark.createDataFrame([("t/a.jpg", 7, zlib.crc32(b"t/a.jpg")), ("t/b.jpg", 7, 1)], "name STRING, size BIGINT, crc BIGINT")
     assert [r["name"] for r in archives.missing_members(listed, have).collect()] == ["t/b.jpg"]
     archives.check_range(206, {"content-range": "bytes 5-9/20", "etag": "e"}, 5, 5, "e")
