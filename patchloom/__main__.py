@@ -1,4 +1,4 @@
-"""python -m patchloom generate|compare|benchmark|preview|key-preview|doctor ...; 0 if it went well, 1 if not, 130 if interrupted."""
+"""python -m patchloom generate|compare|benchmark|preview|key-preview|compare-backbones|ablation|train|download|doctor ...; 0 if it went well, 1 if not, 130 if interrupted."""
 
 from __future__ import annotations
 
@@ -32,7 +32,7 @@ def memory() -> int:
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="patchloom")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("generate", "compare", "benchmark", "preview", "key-preview", "doctor"):
+    for name in ("generate", "compare", "benchmark", "preview", "key-preview", "compare-backbones", "ablation", "train", "download", "doctor"):
         sub = commands.add_parser(name)
         sub.add_argument("--config")
         if name != "doctor":
@@ -41,6 +41,12 @@ def main(args: list[str] | None = None) -> int:
             sub.add_argument("--limit", type=int, default=None if name == "benchmark" else 20)
         if name == "compare":
             sub.add_argument("--other", required=True, help="the second configuration")
+        if name == "ablation":
+            sub.add_argument("--variant", action="append", required=True, help="name=configuration, for each variant")
+        if name == "train":
+            sub.add_argument("--route", action="append", required=True, help="folder=split, for each split")
+        if name == "download":
+            sub.add_argument("--budget", type=int, default=1 << 62, help="bytes to transfer at most")
     options = parser.parse_args(args)
     from patchloom import config
     from patchloom.operators.planner import worker_limit
@@ -52,7 +58,10 @@ def main(args: list[str] | None = None) -> int:
             return 0
         from pyspark.sql import SparkSession
 
+        from patchloom.operators import catalog
         from patchloom.plans import pipelines
+        from patchloom.session import cut
+        from patchloom.sources import images as image_source
 
         spark = SparkSession.builder.appName(f"patchloom-{options.command}").getOrCreate()
         if options.command == "generate":
@@ -63,6 +72,27 @@ def main(args: list[str] | None = None) -> int:
             print(json.dumps(pipelines.benchmark(spark, options.dataset, settings, options.limit)))
         elif options.command == "compare":
             pipelines.compare(spark, options.dataset, settings, config.load(options.other), options.limit).show(options.limit, False)
+        elif options.command == "compare-backbones":
+            makes = {"stand-in": image_source.HashDual}
+            _, means = pipelines.compare_backbones(spark, options.dataset, options.output, settings, makes, options.limit)
+            means.show(truncate=False)
+        elif options.command == "ablation":
+            variants = {k: config.load(v) for k, v in (x.split("=", 1) for x in options.variant)}
+            records = catalog.deterministic_subset(catalog.scan(spark, options.dataset), options.limit, settings.pipeline.seed)
+            make = image_source.HashBackbone
+            features, sizes = (cut(x, "shared") for x in pipelines.features_of(spark, options.dataset, cut(records, "subset"), settings, make))
+            pipelines.ablation(spark, features, sizes, variants, make().grid).groupBy("variant").sum("n_boxes").show(truncate=False)
+        elif options.command == "train":
+            routes = dict(x.split("=", 1) for x in options.route)
+            pipelines.prepare_training(spark, options.dataset, options.output, settings, f"{options.output}/training/{settings.train.run_name}", routes).show()
+        elif options.command == "download":
+            from patchloom.sources import archives, transfer
+
+            index = archives.index(spark.createDataFrame([(options.dataset,)], "path STRING"))
+            with archives.open_at(options.dataset) as f:
+                total = f.seek(0, 2)
+            path = options.dataset
+            print(json.dumps(pipelines.download(spark, index, lambda: transfer.local(path), total, "local", f"{options.output}/images", options.output, options.budget)))
         elif options.command == "preview":
             pipelines.preview(spark, options.dataset, options.output, settings, options.limit).show(options.limit, False)
         else:

@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patchloom.functions.scalars import first_part, is_image, label_key, subset_rank
-from patchloom.session import cut
+from patchloom.session import cut, filesystem
+from patchloom.sources import manifests
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
+#: A file in a root that names the images to take, one path a line.
+SELECTION = "selection.txt"
+
+
+def scan(spark: SparkSession, root: str, selection: str = SELECTION) -> DataFrame:
     """path, relative, size, mtime_ns and key of each image below `root`. Files are listed, not read.
 
-    Modification times are exact to the microsecond. An empty folder gives an empty catalog; see `require_rows`.
+    If the root has a file of the name `selection`, just the images it names, in its order. Modification times are exact to the microsecond. An empty folder gives an empty catalog; see `require_rows`.
     """
     root = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
@@ -22,7 +27,12 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     out = files.where(is_image(F.col("path"))).select(
         plain.alias("path"), relative.alias("relative"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns")
     )
-    return out.withColumn("key", label_key(F.col("relative")))
+    out = out.withColumn("key", label_key(F.col("relative")))
+    fs, listed = filesystem(spark, f"{root}/{selection}")
+    if not fs.exists(listed):
+        return out
+    named = require_rows(manifests.selection(spark, f"{root}/{selection}").where("relative <> ''"), f"{selection} names no image")
+    return from_manifest(out, named).drop("ord")
 
 
 def require_rows(df: DataFrame, message: str) -> DataFrame:
@@ -48,6 +58,16 @@ def from_manifest(records: DataFrame, manifest: DataFrame) -> DataFrame:
     return joined.withColumn("relative", checked).drop("_n", "_unsafe", "_found").orderBy("ord")
 
 
+def lookup(wanted: DataFrame, samples: DataFrame, keys: list[str]) -> DataFrame:
+    """Each wanted row with its sample by all of `keys`, say an id and a version; an error for one that has none, or several."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    met = wanted.join(samples.withColumn("_n", n), keys, "left")
+    name = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    wrong = F.when(F.col("_n").isNull(), F.lit("no sample of ")).when(F.col("_n") > 1, F.lit("several samples of "))
+    checked = F.when(wrong.isNotNull(), F.raise_error(F.concat(wrong, name)).cast("boolean")).otherwise(True)
+    return met.where(checked).drop("_n")
+
+
 def deterministic_subset(records: DataFrame, n: int, seed: int) -> DataFrame:
     """The `n` records of least hash, with their rank; the same whatever the order of rows. A top-k, never a full sort."""
     least = records.withColumn("_h", subset_rank(seed, F.col("relative"))).orderBy("_h", "relative").limit(n)

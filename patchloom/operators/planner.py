@@ -34,6 +34,12 @@ def error_sample(errors: DataFrame, keys: list[str], order: list[str], most: int
     return n.join(shown, keys).withColumn("n_left_out", F.greatest(F.lit(0), F.col("n_failed") - most))
 
 
+def median_then_mean(rows: DataFrame, outer: list[str], inner: list[str], values: list[str]) -> DataFrame:
+    """outer, n and each value: its exact median over the repeats of an inner group, then the mean over these."""
+    per = rows.groupBy(*outer, *inner).agg(*[F.percentile(v, F.lit(0.5)).alias(v) for v in values])
+    return per.groupBy(*outer).agg(F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(v) for v in values])
+
+
 def candidates(runs: DataFrame, repeats: int) -> DataFrame:
     """workers, batch, ok, median, stable and stability of each candidate. `runs`: workers, batch, status, throughput."""
     rate = F.col("throughput")

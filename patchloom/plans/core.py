@@ -460,8 +460,8 @@ def two_level_timing(spark: SparkSession, d: str) -> DataFrame:
     """Median over the repeats of an image, then mean over images."""
     v = F.col("forward_ms")
     t = table(spark, d, "timings").where((v > 0) & ~F.isnan(v) & (v < float("inf"))).select("timing_id", F.lower(F.trim("model")).alias("model"), "image", "forward_ms").distinct()
-    per = t.groupBy("model", "image").agg(F.percentile("forward_ms", F.lit(0.5)).alias("ms"))
-    return rounded(per.groupBy("model").agg(F.count(F.lit(1)).alias("n_images"), F.avg("ms").alias("mean_median_ms")), "mean_median_ms")
+    m = planner.median_then_mean(t, ["model"], ["image"], ["forward_ms"])
+    return rounded(m.select("model", F.col("n").alias("n_images"), F.col("forward_ms").alias("mean_median_ms")), "mean_median_ms")
 
 
 @query("""WITH s AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import time
 from collections.abc import Callable
-from dataclasses import fields
+from dataclasses import fields, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +20,7 @@ from patchloom.operators import catalog, fewshot, nms, pca, planner, quality, re
 from patchloom.session import cut, scratch
 from patchloom.sinks import files
 from patchloom.sources import images as image_source
+from patchloom.sources import transfer
 from patchloom.sources.images import Backbone, HashBackbone
 
 BOX = "STRUCT<x: DOUBLE, y: DOUBLE, w: DOUBLE, h: DOUBLE>"
@@ -122,18 +126,153 @@ def compare(spark: SparkSession, root: str, a: config.Settings, b: config.Settin
     return quality.compare(*counts)
 
 
+def ablation(spark: SparkSession, features: DataFrame, sizes: DataFrame, variants: dict[str, config.Settings], grid: tuple[int, int]) -> DataFrame:
+    """variant, image, n_boxes of each of some settings over shared features."""
+    parts = []
+    for name, s in variants.items():
+        kept, _ = boxes_of(features, sizes, s, grid)
+        parts.append(quality.counts(sizes.where("error IS NULL"), kept).select(F.lit(name).alias("variant"), "image", "n_boxes"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def tau_sweep(spark: SparkSession, features: DataFrame, sizes: DataFrame, s: config.Settings, taus: list[float], grid: tuple[int, int]) -> DataFrame:
     """tau, image, n_boxes over shared features."""
-    from dataclasses import replace
+    found = ablation(spark, features, sizes, {repr(t): replace(s, masks=replace(s.masks, tau=t)) for t in taus}, grid)
+    return found.select(F.col("variant").cast("double").alias("tau"), "image", "n_boxes")
 
-    parts = []
-    for tau in taus:
-        kept, _ = boxes_of(features, sizes, replace(s, masks=replace(s.masks, tau=tau)), grid)
-        parts.append(quality.counts(sizes.where("error IS NULL"), kept).select(F.lit(tau).alias("tau"), "image", "n_boxes"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+def _boxes_of_masks(masks: list[np.ndarray], width: int, height: int, f: config.Filtering) -> np.ndarray:
+    """As nms.mask_boxes, filtered and suppress, of one image's masks in memory."""
+    boxes = []
+    for m in masks:
+        rows, cols = np.flatnonzero(m.any(axis=1)), np.flatnonzero(m.any(axis=0))
+        y0, y1, x0, x1 = rows[0] / m.shape[0], (rows[-1] + 1) / m.shape[0], cols[0] / m.shape[1], (cols[-1] + 1) / m.shape[1]
+        w, h = x1 - x0, y1 - y0
+        aspect = w * width / (h * height)
+        if f.min_box_area <= w * h <= f.max_box_area and max(aspect, 1 / aspect) <= f.max_aspect_ratio:
+            boxes.append(((x0 + x1) / 2, (y0 + y1) / 2, w, h))
+    found = np.array(boxes).reshape(-1, 4)
+    return found[nms.keep_in_order(found, np.array([0]), f.duplicate_iou)] if len(found) else found
+
+
+REPEATS = "model STRING, image STRING, repeat INT, decode_ms DOUBLE, forward_ms DOUBLE, keys_cut_box_write_ms DOUBLE, tokens_cut_box_write_ms DOUBLE, key_boxes INT, token_boxes INT, keys_edges DOUBLE, tokens_edges DOUBLE, error STRING"
+
+
+def compare_backbones(spark: SparkSession, root: str, out: str, s: config.Settings, makes: dict[str, Callable[[], image_source.DualBackbone]], n: int, repeats: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(a row a model, image and repeat; a row a model) of a deterministic subset under several models.
+
+    Each forward pass gives keys and tokens; both are cut into boxes and written as label lines, and every step is timed in
+    the task. Means are of the medians over repeats. The medians of each image are saved as CSV, `timings`.
+    """
+    subset = cut(catalog.deterministic_subset(catalog.scan(spark, root), n, s.pipeline.seed), "subset")
+    pixels = cut(image_source.decoded(spark, root, subset), "pixels")
+    settings, side = cut_settings(s), s.features.resolution
+
+    def measured(name: str, make: Callable) -> Callable:
+        def run(batches):
+            model = image_source.started(make, 1, side)
+            clock = lambda: time.perf_counter() * 1000
+            for frame in batches:
+                rows = []
+                for r in frame.itertuples():
+                    if r.error is not None:
+                        rows.append((name, r.relative, None, *[None] * 8, r.error))
+                        continue
+                    for repeat in range(repeats):
+                        began = clock()
+                        tensor = image_source.tensor(r.data, int(r.width), int(r.height), int(r.channels), side)
+                        decoded = clock()
+                        both = model.extract_both(tensor[None])
+                        passed = clock()
+                        if any(both[k][0].shape[0] != np.prod(model.grid) or not np.isfinite(both[k]).all() for k in ("keys", "tokens")):
+                            rows.append((name, r.relative, repeat, *[None] * 8, "features of another shape, or not finite"))
+                            break
+                        took, boxes, edges = [], [], []
+                        for kind in ("keys", "tokens"):
+                            start = clock()
+                            found = _boxes_of_masks(spectral.discover(both[kind][0], model.grid, settings), r.width, r.height, s.filtering)
+                            receipts.label_digest([tuple(b) for b in found.tolist()])
+                            took.append(clock() - start)
+                            boxes.append(len(found))
+                            unit = spectral.directions(both[kind][0].astype(float))
+                            cosine = (unit @ unit.T)[~np.eye(len(unit), dtype=bool)]
+                            edges.append(float(np.mean(cosine > settings.tau)) if cosine.size else 0.0)
+                        rows.append((name, r.relative, repeat, decoded - began, passed - decoded, *took, *boxes, *edges, None))
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in REPEATS.split(", ")]).astype({c: "Int32" for c in ("repeat", "key_boxes", "token_boxes")})
+
+        return run
+
+    slim = pixels.select("relative", "width", "height", "channels", "data", "error")
+    found = cut(functools.reduce(DataFrame.unionByName, [slim.mapInPandas(measured(k, m), REPEATS) for k, m in makes.items()]), "repeats")
+    times = ["decode_ms", "forward_ms", "keys_cut_box_write_ms", "tokens_cut_box_write_ms"]
+    ok = found.where("error IS NULL")
+    median = ok.groupBy("model", "image").agg(*[F.percentile(t, F.lit(0.5)).alias(t) for t in times], F.max("key_boxes").alias("key_boxes"), F.max("token_boxes").alias("token_boxes"))
+    files.save_timings(median, f"{out}/timings")
+    return found, planner.median_then_mean(ok, ["model"], ["image"], [*times, "key_boxes", "token_boxes", "keys_edges", "tokens_edges"])
+
+
+#: What an automatically made mask must reach, and how much two boxes of such may overlap.
+MASK_QUALITY, MASK_STABILITY, MASK_OVERLAP = 0.8, 0.95, 0.7
+
+
+def annotated_boxes(annotations: DataFrame, sizes: DataFrame, f: config.Filtering) -> DataFrame:
+    """Kept boxes of automatically made masks: those of quality and stability, the best first, less those that overlap a better one.
+
+    `annotations`: image, ord, predicted_iou, stability, x, y, w, h; `sizes`: image, width, height.
+    """
+    good = annotations.where((F.col("predicted_iou") >= MASK_QUALITY) & (F.col("stability") >= MASK_STABILITY))
+    best = nms.suppress(good, [-F.col("predicted_iou")], MASK_OVERLAP)
+    fit = nms.filtered(best, sizes, f.min_box_area, f.max_box_area, f.max_aspect_ratio)
+    scored = fit.join(good.select("image", "ord", "predicted_iou"), ["image", "ord"])
+    return nms.suppress(scored, [-F.col("predicted_iou")], f.duplicate_iou)
+
+
+def compare_masks(spark: SparkSession, root: str, s: config.Settings, annotate: Callable[[DataFrame], DataFrame], n: int, make: Callable[[], Backbone] = HashBackbone) -> tuple[DataFrame, DataFrame]:
+    """(method, image, n_boxes, seconds; totals of each method) of spectral boxes and those of a seam that makes masks.
+
+    `annotate` gives annotations of decoded images (see `annotated_boxes`) with `seconds`, those of its image; an image it
+    finds nothing on is a row of null ord. Spectral seconds are those of the whole job, shared evenly.
+    """
+    subset = cut(catalog.deterministic_subset(catalog.scan(spark, root), n, s.pipeline.seed), "subset")
+    pixels = cut(image_source.decoded(spark, root, subset), "pixels")
+    sizes = pixels.where("error IS NULL").select(F.col("relative").alias("image"), "width", "height")
+    began = time.perf_counter()
+    features = cut(image_source.features(pixels, make, s.features.resolution), "features")
+    kept = cut(boxes_of(features, sizes.withColumn("error", F.lit(None).cast("string")), s, make().grid)[0], "kept")
+    share = (time.perf_counter() - began) / max(1, subset.count())
+    found = cut(annotate(pixels), "annotations")
+    seconds = found.groupBy("image").agg(F.max("seconds").alias("seconds"))
+    made = quality.counts(sizes, annotated_boxes(found.where("ord IS NOT NULL"), sizes, s.filtering)).join(seconds, "image", "left")
+    per = quality.counts(sizes, kept).withColumn("seconds", F.lit(share)).withColumn("method", F.lit("spectral")).unionByName(made.withColumn("method", F.lit("automatic")))
+    per = cut(per.select("method", "image", "n_boxes", "seconds"), "methods")
+    return per, quality.method_totals(per)
+
+
+def download(spark: SparkSession, index: DataFrame, transport: Callable[[], transfer.Transport], total: int, etag: str, folder: str, out: str, budget: int, most: int | None = None, expected: int | None = None) -> dict:
+    """Fetch the groups of an archive (`index`: name, offset, size) within a budget of bytes, each by its own ranges.
+
+    Groups whose receipt in `out` agrees with the plan are left out; the others are fetched by many tasks. The report says
+    how many images there are; of a full download another number than `expected` is an error.
+    """
+    plan = index.select("name", "offset", "size")
+    if budget < plan.agg(F.sum("size")).head()[0]:
+        plan = planner.require_plan(planner.allocate(plan, budget, F.lit(False)))
+    else:
+        plan = plan.withColumn("take_bytes", F.col("size"))
+    plan = cut(plan, "plan")
+    known = files.load_table(spark, f"{out}/groups", f"{transfer.GROUP}, take_bytes BIGINT, etag STRING")
+    done = known.where(F.col("error").isNull() & (F.col("etag") == etag)).select("name", "take_bytes").distinct()
+    left = plan.join(done, ["name", "take_bytes"], "left_anti")
+    new = cut(transfer.fetch_groups(left, transport, total, etag, folder, most).join(plan.select("name", "take_bytes"), "name").withColumn("etag", F.lit(etag)), "groups")
+    new.write.mode("append").parquet(f"{out}/groups")
+    now = files.load_table(spark, f"{out}/groups", f"{transfer.GROUP}, take_bytes BIGINT, etag STRING").where(F.col("error").isNull() & (F.col("etag") == etag))
+    sums = now.join(plan.select("name", "take_bytes"), ["name", "take_bytes"], "left_semi").dropDuplicates(["name"]).agg(F.count(F.lit(1)).alias("n"), F.sum("images").alias("images"), F.sum("image_bytes").alias("bytes")).head()
+    failed = [r.asDict() for r in new.where("error IS NOT NULL").select("name", "error").orderBy("name").limit(100).collect()]
+    report = {"groups": sums["n"], "images": sums["images"] or 0, "image_bytes": sums["bytes"] or 0, "fetched": new.count(), "errors": failed}
+    if not failed and expected is not None and report["images"] != expected:
+        raise ValueError(f"{report['images']} images, {expected} expected")
+    files.write_json(f"{out}/download.json", report)
+    return report
 
 
 def trial(spark: SparkSession, root: str, subset: DataFrame, s: config.Settings, make: Callable[[], Backbone], workers: int, batch: int, stage: str, repeat: int = 0) -> dict:

@@ -105,12 +105,24 @@ def _weights(size: int, side: int, lobes: int = 3) -> np.ndarray:
 
 
 class Backbone(Protocol):
+    """A model. It may also have `warmup(batch, side)`, called once before it is used, and `extract_precise`, which is asked
+    again, in full precision, for images whose features are not finite."""
+
     grid: tuple[int, int]
 
     def extract(self, batch: np.ndarray) -> np.ndarray:
         """float32 [batch, 3, side, side] to [batch, patches, channels]."""
 
 
+class DualBackbone(Protocol):
+    """A model that gives two kinds of features of one forward pass."""
+
+    grid: tuple[int, int]
+
+    def extract_both(self, batch: np.ndarray) -> dict[str, np.ndarray]:
+        """float32 [batch, 3, side, side] to `keys` and `tokens`, each [batch, patches, channels]."""
+
+
 class HashBackbone:
     """A stand-in that needs no weights: mean colour and spread of each patch. Deterministic; no claim of accuracy."""
 
@@ -125,6 +137,33 @@ class HashBackbone:
         return np.concatenate([mean, spread], axis=1).reshape(n, 2 * c, rows * cols).transpose(0, 2, 1).astype(np.float32)
 
 
+class HashDual(HashBackbone):
+    """The stand-in for two kinds of features: tokens are the keys with neighbouring channels mixed."""
+
+    def extract_both(self, batch: np.ndarray) -> dict[str, np.ndarray]:
+        keys = self.extract(batch)
+        return {"keys": keys, "tokens": (keys + np.roll(keys, 1, axis=2)) / 2}
+
+
+def started(make: Callable, batch: int, side: int):
+    """The model of a worker, warmed up if it can be."""
+    model = make()
+    if hasattr(model, "warmup"):
+        model.warmup(batch, side)
+    return model
+
+
+def extracted(model, tensors: np.ndarray) -> np.ndarray:
+    """Features of a batch; images whose features are not finite are done again in full precision, if the model can."""
+    found = model.extract(tensors)
+    if hasattr(model, "extract_precise"):
+        bad = ~np.isfinite(found).all(axis=tuple(range(1, found.ndim)))
+        if bad.any():
+            found = found.copy()
+            found[bad] = model.extract_precise(tensors[bad])
+    return found
+
+
 def features(images: DataFrame, make: Callable[[], Backbone], side: int, batch: int = 16) -> DataFrame:
     """image, rows, cols, r, c, vec, error: a row a patch. `images`: as of `decoded`.
 
@@ -133,7 +172,7 @@ def features(images: DataFrame, make: Callable[[], Backbone], side: int, batch:
     schema = "image STRING, rows INT, cols INT, r INT, c INT, vec ARRAY<DOUBLE>, error STRING"
 
     def run(batches):
-        model = make()
+        model = started(make, batch, side)
         rows, cols = model.grid
         for frame in batches:
             for start in range(0, len(frame), batch):
@@ -142,7 +181,7 @@ def features(images: DataFrame, make: Callable[[], Backbone], side: int, batch:
                 out = [(i, None, None, None, None, None, e) for i, e in zip(part["relative"], part["error"]) if e is not None]
                 if len(good):
                     tensors = np.stack([tensor(d, w, h, c, side) for d, w, h, c in zip(good["data"], good["width"].astype(int), good["height"].astype(int), good["channels"].astype(int))])
-                    found = model.extract(tensors)
+                    found = extracted(model, tensors)
                     for image, patches in zip(good["relative"], found):
                         if patches.shape[0] != rows * cols or not np.isfinite(patches).all():
                             out.append((image, None, None, None, None, None, "features of another shape, or not finite"))

@@ -30,6 +30,33 @@ class Answer:
 Transport = Callable[[int, int | None], Answer]
 
 
+def http(url: str, etag: str | None = None, timeout: float = 90) -> Transport:
+    """The transport of a URL; a range is asked for on condition that the file is still of the version `etag`."""
+    from urllib.request import Request, urlopen
+
+    def answer(offset: int, length: int | None) -> Answer:
+        headers = {} if length is None else {"Range": f"bytes={offset}-{offset + length - 1}"} | ({"If-Range": etag} if etag else {})
+        response = urlopen(Request(url, headers=headers), timeout=timeout)
+        return Answer(response.status, {k.lower(): v for k, v in response.headers.items()}, iter(lambda: response.read(1 << 20), b""))
+
+    return answer
+
+
+def local(path: str) -> Transport:
+    """The transport of a file that is there: ranges of it, of the version `local`."""
+    from patchloom.sources.archives import open_at
+
+    def answer(offset: int, length: int | None) -> Answer:
+        with open_at(path) as f:
+            total = f.seek(0, 2)
+            f.seek(offset)
+            data = f.read(total if length is None else length)
+        tail = {"content-range": f"bytes {offset}-{offset + len(data) - 1}/{total}"} if length is not None else {}
+        return Answer(200 if length is None else 206, {"etag": "local", "content-length": str(len(data))} | tail, iter([data]))
+
+    return answer
+
+
 def resume(transport: Transport, path: str | Path, total: int, etag: str, valid: Callable[[Path], bool], progress: Callable[[int, float], None] | None = None) -> bool:
     """Have the whole file at `path`: keep a valid one, go on with a part, or begin. Tells whether anything was transferred.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from patchloom import __main__ as cli
 from patchloom import config
 from patchloom.plans import pipelines
-from patchloom.sources.images import HashBackbone
+from patchloom.sources.images import HashBackbone, HashDual
 
 from .test_io import png
 
@@ -161,3 +161,95 @@ def test_command_line(tmp_path, capsys):
     assert cli.main(["doctor"]) == 0 and json.loads(capsys.readouterr().out)["workers"] >= 1
     (tmp_path / "c.toml").write_text("[nothing]\n")
     assert cli.main(["doctor", "--config", str(tmp_path / "c.toml")]) == 1
+
+
+class Dual(Planted):
+    def extract_both(self, batch):
+        return {"keys": self.extract(batch), "tokens": np.ones((len(batch), 64, 3), np.float32)}
+
+
+class Broken(Dual):
+    def extract_both(self, batch):
+        return super().extract_both(batch) | {"tokens": np.full((len(batch), 64, 3), np.nan)}
+
+
+def test_backbones_are_compared_and_timed(spark, folder):
+    (folder / "in/train2017/broken.png").write_bytes(b"no picture")
+    rows, means = pipelines.compare_backbones(spark, str(folder / "in"), str(folder / "o"), SETTINGS, {"a": Dual, "b": HashDual, "c": Broken}, 10, 2)
+    found = rows.collect()
+    assert {(r["model"], r["image"][-5:]) for r in found if r["error"] == "cannot be decoded"} == {(m, "n.png") for m in "abc"}
+    assert sum(r["error"] is None for r in found) == 2 * 5 * 2 and sum(r["model"] == "c" for r in found) == 6
+    by = {r["model"]: r for r in means.collect()}
+    assert by["a"]["n"] == 5 and by["a"]["forward_ms"] >= 0 and 0.8 <= by["a"]["key_boxes"] <= 1 and set(by) == {"a", "b"}
+    saved = spark.read.csv(str(folder / "o/timings"), header=True)
+    assert saved.columns == pipelines.files.TIMINGS and saved.count() == 10
+
+
+def test_ablation_over_shared_features_and_masks_of_a_seam(spark, folder):
+    root = str(folder / "in")
+    f, sizes = pipelines.features_of(spark, root, pipelines.catalog.scan(spark, root), SETTINGS, Planted)
+    small = replace(SETTINGS, filtering=replace(SETTINGS.filtering, max_box_area=0.2))
+    out = {(r["variant"], r["n"]) for r in pipelines.ablation(spark, f, sizes, {"now": SETTINGS, "small": small}, (8, 8)).groupBy("variant").agg(F.sum("n_boxes").alias("n")).collect()}
+    assert ("small", 0) in {(v, min(n, 0)) for v, n in out} and len(out) == 2 and dict(out)["now"] > dict(out)["small"]
+
+    def annotate(images):
+        each = "inline(array(named_struct('ord', 0, 'predicted_iou', 0.85D, 'x', 0.5D), named_struct('ord', 1, 'predicted_iou', 0.99D, 'x', 0.51D), named_struct('ord', 2, 'predicted_iou', 0.7D, 'x', 0.2D)))"
+        return images.selectExpr("relative image", each, "0.96D stability", "0.5D y", "0.2D w", "0.5D h", "2.0D seconds")
+
+    per, totals = pipelines.compare_masks(spark, root, SETTINGS, annotate, 4, Planted)
+    t = {r["method"]: r for r in totals.collect()}
+    assert per.count() == 8 and (t["automatic"]["boxes"], t["automatic"]["mean_seconds"], t["automatic"]["images"]) == (4, 2.0, 4)
+    assert 3 <= t["spectral"]["boxes"] <= 4 and t["spectral"]["mean_seconds"] > 0
+
+
+def test_download_resumes_by_group(spark, tmp_path):
+    from patchloom.sources import archives, transfer
+
+    from .test_transfer import archive
+
+    data, _ = archive()
+    (tmp_path / "a.tar").write_bytes(data)
+    path = str(tmp_path / "a.tar")
+    index = archives.index(spark.createDataFrame([(path,)], "path STRING")).where("name <> 'n3.tar'")
+    go = lambda **k: pipelines.download(spark, index, lambda: transfer.local(path), len(data), "local", str(tmp_path / "i"), str(tmp_path / "o"), 1 << 40, **k)
+    assert go(expected=8) | {"image_bytes": 0} == {"groups": 2, "images": 8, "image_bytes": 0, "fetched": 2, "errors": []}
+    assert go()["fetched"] == 0 and len(list((tmp_path / "i").rglob("*.JPEG"))) == 8
+    with pytest.raises(ValueError, match="expected"):
+        go(expected=9)
+    whole = archives.index(spark.createDataFrame([(path,)], "path STRING"))
+    assert pipelines.download(spark, whole, lambda: transfer.local(path), len(data), "local", str(tmp_path / "i"), str(tmp_path / "o"), 1 << 40)["errors"] == [{"name": "n3.tar", "error": "no whole image"}]
+
+
+def test_selection_lookup_warmup_and_precision(spark, folder):
+    root = folder / "in"
+    (root / "selection.txt").write_text("val2017/4.png\ntrain2017/1.png\n")
+    assert [r["relative"] for r in pipelines.catalog.scan(spark, str(root)).collect()] == ["val2017/4.png", "train2017/1.png"]
+    for bad in ("../x.png\n", "train2017/none.png\n", "train2017/1.png\ntrain2017/1.png\n", "\n"):
+        (root / "selection.txt").write_text(bad)
+        with pytest.raises(Exception, match="unsafe|missing|twice|names no"):
+            pipelines.catalog.scan(spark, str(root)).collect()
+    samples = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z"), ("b", 1, "w")], "id STRING, version INT, v STRING")
+    want = lambda *rows: spark.createDataFrame(list(rows), "id STRING, version INT")
+    assert [r["v"] for r in pipelines.catalog.lookup(want(("a", 2)), samples, ["id", "version"]).collect()] == ["y"]
+    for row in (("b", 1), ("c", 1)):
+        with pytest.raises(Exception, match="sample"):
+            pipelines.catalog.lookup(want(row), samples, ["id", "version"]).collect()
+
+    class Half(Planted):
+        def __init__(self):
+            self.warm = []
+
+        def warmup(self, batch, side):
+            self.warm.append((batch, side))
+
+        def extract(self, batch):
+            out = super().extract(batch)
+            out[0] = np.inf
+            return out
+
+        def extract_precise(self, batch):
+            return super().extract(batch)
+
+    model = pipelines.image_source.started(Half, 3, 64)
+    found = pipelines.image_source.extracted(model, np.ones((2, 3, 64, 64), np.float32))
+    assert model.warm == [(3, 64)] and np.isfinite(found).all() and np.array_equal(found[0], found[1])
