@@ -1,8 +1,9 @@
-"""python -m patchloom generate|compare|benchmark|preview|key-preview|compare-backbones|ablation|train|download|doctor ...; 0 if it went well, 1 if not, 130 if interrupted."""
+"""python -m patchloom generate|compare|benchmark|preview|key-preview|compare-backbones|compare-masks|ablation|train|predict|download|doctor ...; 0 if it went well, 1 if not, 130 if interrupted."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import os
 import sys
@@ -29,25 +30,104 @@ def memory() -> int:
         return total
 
 
-def main(args: list[str] | None = None) -> int:
+def seam(text: str):
+    """What `module:name` names: a model, a detector, a maker of masks."""
+    module, _, name = text.partition(":")
+    try:
+        return getattr(importlib.import_module(module), name)
+    except (ImportError, AttributeError) as e:
+        raise ValueError(f"{text} is not there: {e}") from e
+
+
+def pairs(values: list[str]) -> dict[str, str]:
+    return dict(x.split("=", 1) for x in values)
+
+
+STAND_IN = "patchloom.sources.images:HashBackbone"
+LIMITED = ("compare", "preview", "key-preview", "compare-backbones", "compare-masks", "ablation")
+
+
+def arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="patchloom")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("generate", "compare", "benchmark", "preview", "key-preview", "compare-backbones", "ablation", "train", "download", "doctor"):
+    for name in ("generate", "compare", "benchmark", "preview", "key-preview", "compare-backbones", "compare-masks", "ablation", "train", "predict", "download", "doctor"):
         sub = commands.add_parser(name)
         sub.add_argument("--config")
-        if name != "doctor":
-            sub.add_argument("--dataset", required=True)
-            sub.add_argument("--output", default="work")
-            sub.add_argument("--limit", type=int, default=None if name == "benchmark" else 20)
+        if name == "doctor":
+            continue
+        sub.add_argument("--dataset", required=True)
+        sub.add_argument("--output", default="work")
+        sub.add_argument("--limit", type=int, default=20 if name in LIMITED else 0 if name == "predict" else None)
+        if name == "compare-backbones":
+            sub.add_argument("--model", action="append", help="name=module:class of a model of two kinds of features, for each")
+        elif name in ("generate", "compare", "benchmark", "key-preview", "compare-masks", "ablation"):
+            sub.add_argument("--model", default=STAND_IN, help="module:class of a model")
         if name == "compare":
             sub.add_argument("--other", required=True, help="the second configuration")
+        if name == "compare-masks":
+            sub.add_argument("--annotator", required=True, help="module:function from decoded images to annotations")
         if name == "ablation":
             sub.add_argument("--variant", action="append", required=True, help="name=configuration, for each variant")
         if name == "train":
             sub.add_argument("--route", action="append", required=True, help="folder=split, for each split")
+        if name == "predict":
+            sub.add_argument("--detector", required=True, help="module:function from decoded images to detections")
+            sub.add_argument("--confidence", type=float, default=0.25)
         if name == "download":
             sub.add_argument("--budget", type=int, default=1 << 62, help="bytes to transfer at most")
-    options = parser.parse_args(args)
+    return parser
+
+
+def run(o: argparse.Namespace, settings) -> int:
+    from pyspark.sql import SparkSession
+
+    from patchloom import config
+    from patchloom.operators import catalog
+    from patchloom.plans import pipelines
+    from patchloom.session import cut
+    from patchloom.sources import archives, transfer
+
+    spark = SparkSession.builder.appName(f"patchloom-{o.command}").getOrCreate()
+    make = seam(o.model) if isinstance(getattr(o, "model", None), str) else None
+    if o.command == "generate":
+        report = pipelines.generate(spark, o.dataset, o.output, settings, make)
+        print(json.dumps(report["runs"][0]))
+        return int(report["status"] != "ok")
+    if o.command == "benchmark":
+        print(json.dumps(pipelines.benchmark(spark, o.dataset, settings, o.limit, make)))
+    elif o.command == "compare":
+        pipelines.compare(spark, o.dataset, settings, config.load(o.other), o.limit, make).show(o.limit, False)
+    elif o.command == "compare-backbones":
+        makes = {k: seam(v) for k, v in pairs(o.model or ["stand-in=patchloom.sources.images:HashDual"]).items()}
+        pipelines.compare_backbones(spark, o.dataset, o.output, settings, makes, o.limit)[1].show(truncate=False)
+    elif o.command == "compare-masks":
+        pipelines.compare_masks(spark, o.dataset, settings, seam(o.annotator), o.limit, make)[1].show(truncate=False)
+    elif o.command == "ablation":
+        variants = {k: config.load(v) for k, v in pairs(o.variant).items()}
+        subset = cut(catalog.deterministic_subset(catalog.scan(spark, o.dataset), o.limit, settings.pipeline.seed), "subset")
+        features, sizes = (cut(x, "shared") for x in pipelines.features_of(spark, o.dataset, subset, settings, make))
+        pipelines.ablation(spark, features, sizes, variants, make().grid).groupBy("variant").sum("n_boxes").show(truncate=False)
+    elif o.command == "train":
+        pipelines.prepare_training(spark, o.dataset, o.output, settings, f"{o.output}/training/{settings.train.run_name}", pairs(o.route)).show()
+    elif o.command == "predict":
+        print(json.dumps({"images": pipelines.predict(spark, o.dataset, f"{o.output}/predictions", seam(o.detector), o.confidence, o.limit)}))
+    elif o.command == "download":
+        index = archives.index(spark.createDataFrame([(o.dataset,)], "path STRING"))
+        with archives.open_at(o.dataset) as f:
+            total = f.seek(0, 2)
+        path = o.dataset
+        report = pipelines.download(spark, index, lambda: transfer.local(path), total, "local", f"{o.output}/images", o.output, o.budget, o.limit)
+        print(json.dumps(report))
+        return int(bool(report["errors"]))
+    elif o.command == "preview":
+        pipelines.preview(spark, o.dataset, o.output, settings, o.limit).show(o.limit, False)
+    else:
+        pipelines.key_preview(spark, o.dataset, settings, o.limit, make).write.mode("overwrite").parquet(f"{o.output}/key-preview")
+    return 0
+
+
+def main(args: list[str] | None = None) -> int:
+    options = arguments().parse_args(args)
     from patchloom import config
     from patchloom.operators.planner import worker_limit
 
@@ -56,48 +136,7 @@ def main(args: list[str] | None = None) -> int:
         if options.command == "doctor":
             print(json.dumps({"cores": cores(), "memory": memory(), "workers": worker_limit(cores(), cores(), memory())}))
             return 0
-        from pyspark.sql import SparkSession
-
-        from patchloom.operators import catalog
-        from patchloom.plans import pipelines
-        from patchloom.session import cut
-        from patchloom.sources import images as image_source
-
-        spark = SparkSession.builder.appName(f"patchloom-{options.command}").getOrCreate()
-        if options.command == "generate":
-            report = pipelines.generate(spark, options.dataset, options.output, settings)
-            print(json.dumps(report["runs"][0]))
-            return int(report["status"] != "ok")
-        if options.command == "benchmark":
-            print(json.dumps(pipelines.benchmark(spark, options.dataset, settings, options.limit)))
-        elif options.command == "compare":
-            pipelines.compare(spark, options.dataset, settings, config.load(options.other), options.limit).show(options.limit, False)
-        elif options.command == "compare-backbones":
-            makes = {"stand-in": image_source.HashDual}
-            _, means = pipelines.compare_backbones(spark, options.dataset, options.output, settings, makes, options.limit)
-            means.show(truncate=False)
-        elif options.command == "ablation":
-            variants = {k: config.load(v) for k, v in (x.split("=", 1) for x in options.variant)}
-            records = catalog.deterministic_subset(catalog.scan(spark, options.dataset), options.limit, settings.pipeline.seed)
-            make = image_source.HashBackbone
-            features, sizes = (cut(x, "shared") for x in pipelines.features_of(spark, options.dataset, cut(records, "subset"), settings, make))
-            pipelines.ablation(spark, features, sizes, variants, make().grid).groupBy("variant").sum("n_boxes").show(truncate=False)
-        elif options.command == "train":
-            routes = dict(x.split("=", 1) for x in options.route)
-            pipelines.prepare_training(spark, options.dataset, options.output, settings, f"{options.output}/training/{settings.train.run_name}", routes).show()
-        elif options.command == "download":
-            from patchloom.sources import archives, transfer
-
-            index = archives.index(spark.createDataFrame([(options.dataset,)], "path STRING"))
-            with archives.open_at(options.dataset) as f:
-                total = f.seek(0, 2)
-            path = options.dataset
-            print(json.dumps(pipelines.download(spark, index, lambda: transfer.local(path), total, "local", f"{options.output}/images", options.output, options.budget)))
-        elif options.command == "preview":
-            pipelines.preview(spark, options.dataset, options.output, settings, options.limit).show(options.limit, False)
-        else:
-            pipelines.key_preview(spark, options.dataset, settings, options.limit).write.mode("overwrite").parquet(f"{options.output}/key-preview")
-        return 0
+        return run(options, settings)
     except KeyboardInterrupt:
         return 130
     except (ValueError, RuntimeError, OSError) as e:

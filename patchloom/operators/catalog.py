@@ -17,9 +17,13 @@ SELECTION = "selection.txt"
 def scan(spark: SparkSession, root: str, selection: str = SELECTION) -> DataFrame:
     """path, relative, size, mtime_ns and key of each image below `root`. Files are listed, not read.
 
-    If the root has a file of the name `selection`, just the images it names, in its order. Modification times are exact to the microsecond. An empty folder gives an empty catalog; see `require_rows`.
+    The root may be one image. If it has a file of the name `selection`, just the images it names, in its order. Modification times are exact to the microsecond. An empty folder gives an empty catalog; see `require_rows`.
     """
     root = root.rstrip("/")
+    fs, place = filesystem(spark, root)
+    if fs.exists(place) and not fs.getFileStatus(place).isDirectory():
+        folder, _, name = root.rpartition("/")
+        return scan(spark, folder or "/", "").where(F.col("relative") == name)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
     plain = F.regexp_replace("path", "^file:/*", "/")
     base = root.removeprefix("file://")
@@ -28,8 +32,8 @@ def scan(spark: SparkSession, root: str, selection: str = SELECTION) -> DataFram
         plain.alias("path"), relative.alias("relative"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns")
     )
     out = out.withColumn("key", label_key(F.col("relative")))
-    fs, listed = filesystem(spark, f"{root}/{selection}")
-    if not fs.exists(listed):
+    listed = filesystem(spark, f"{root}/{selection or SELECTION}")[1]
+    if not selection or not fs.exists(listed):
         return out
     named = require_rows(manifests.selection(spark, f"{root}/{selection}").where("relative <> ''"), f"{selection} names no image")
     return from_manifest(out, named).drop("ord")

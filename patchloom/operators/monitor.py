@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from patchloom.functions.scalars import clock
 
 
+def training_eta(steps: DataFrame) -> DataFrame:
+    """`steps` with the share done and the time left of a training, `?` before any progress.
+
+    `steps`: elapsed (seconds since it started), start_epoch, epoch (from 0), epochs, batch, batches (an epoch), ended (whether
+    the epoch is over). Progress counts whole epochs and the batches of the current one, since the start.
+    """
+    c = F.col
+    total = c("epochs") - c("start_epoch")
+    part = F.when(c("ended"), 1.0).otherwise(F.least(F.lit(1.0), c("batch") / F.greatest(F.lit(1), c("batches"))))
+    done = F.least(total.cast("double"), F.greatest(F.lit(0.0), c("epoch") - c("start_epoch") + part))
+    left = F.when(done > 0, F.greatest(F.lit(0.0), c("elapsed").cast("double")) * (total - done) / done)
+    return steps.where(total > 0).withColumn("share", (c("start_epoch") + done) / c("epochs")).withColumn("eta", F.coalesce(clock(left), F.lit("?")))
+
+
 def rolling(samples: DataFrame, window_us: int, keys: list[str] | None = None, total: int | None = None) -> DataFrame:
     """base_t, base_n, rolling and average rate a second of each sample. `samples`: keys, t_us BIGINT, n (cumulative).
 

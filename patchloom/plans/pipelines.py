@@ -367,18 +367,30 @@ def localisation(matched: DataFrame, pairs: DataFrame, truth: DataFrame) -> Data
 
 
 def prepare_training(spark: SparkSession, root: str, out: str, s: config.Settings, target: str, routes: dict[str, str], model_digest: str = "none") -> DataFrame:
-    """Lists of images by split, once every image has a valid label; an error names one that has none. Returns the counts."""
-    records = catalog.scan(spark, root)
+    """Links, labels and lists of images by split, once every image has a valid label. Returns the counts.
+
+    An error names an image without a label or one that training would turn or repair, and a split without images or boxes.
+    """
+    records = cut(catalog.scan(spark, root), "records")
     labels, known = files.load_labels(spark, out)
-    fingerprint = s.fingerprint(model_digest)
-    receipts.require_complete(records, receipts.valid(records, known, labels, fingerprint, root))
-    routed = records.withColumn("split", catalog.route(F.col("relative"), routes))
-    boxes, images = stored_boxes(spark, out, records, fingerprint, root)
+    valid = cut(receipts.valid(records, known, labels, s.fingerprint(model_digest), root), "valid")
+    receipts.require_complete(records, valid)
+    routed = valid.withColumn("split", catalog.route(F.col("relative"), routes))
+    boxes, images = stored_boxes(spark, out, records, s.fingerprint(model_digest), root)
     counts = quality.counts(images, boxes).join(routed.select(F.col("relative").alias("image"), "split"), "image")
     per_split = cut(quality.split_counts(counts), "splits")
-    if missing := set(routes.values()) - {r["split"] for r in per_split.collect()}:
-        raise ValueError(f"no images in {sorted(missing)}")
-    files.training_folder(routed, target)
+    found = {r["split"]: r["boxes"] for r in per_split.collect()}
+    for split in sorted(set(routes.values())):
+        if not found.get(split):
+            raise ValueError(f"no {'boxes' if split in found else 'images'} in {split}")
+    jpegs = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jpg,jpeg,JPG,JPEG}").load(root)
+    if wrong := jpegs.where(~image_source.upright_jpeg(F.col("content"))).select("path").limit(1).collect():
+        raise ValueError(f"torn or turned by a tag: {wrong[0]['path']}")
+    text = labels.select(F.col("image").alias("relative"), "label", F.sha2(F.col("label").cast("binary"), 256).alias("label_sha256")).distinct()
+    linked = cut(files.link_training(routed.join(text, ["relative", "label_sha256"]), target), "linked")
+    if failed := linked.where("error IS NOT NULL").limit(1).collect():
+        raise OSError(f"{failed[0]['image']}: {failed[0]['error']}")
+    files.training_folder(routed.withColumn("path", F.concat(F.lit(f"{target}/images/"), "split", F.lit("/"), "relative")), target)
     return per_split
 
 

@@ -81,9 +81,15 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p1_union_schema, p2_fou
 
 _NUMBER = "json_type({0}) IN ('DOUBLE', 'UBIGINT', 'BIGINT')"
 
-SQL = {
-    "p2_census": "SELECT CAST(0 AS BIGINT) AS over_bound, CAST(0 AS BIGINT) AS not_clean, CAST(0 AS BIGINT) AS repeated",
-    "p5_found": f"""WITH d AS (SELECT DISTINCT report_id, CASE WHEN json_valid(payload) THEN CASE WHEN json_type(payload) = 'VARCHAR' THEN json_extract_string(payload, '$') ELSE payload END END AS p FROM report_payloads),
+#: Fields of each valid configuration file: file_id, workspace, ord, next_id, path, kind, val.
+_FIELDS = """v AS (SELECT DISTINCT file_id, workspace, written_at, CAST(body AS JSON) AS body FROM config_files WHERE json_valid(body)),
+f AS (SELECT file_id, workspace, row_number() OVER w AS ord, lead(file_id) OVER w AS next_id, body FROM v WHERE json_type(body) = 'OBJECT' WINDOW w AS (PARTITION BY workspace ORDER BY written_at, file_id)),
+t AS (SELECT f.file_id, workspace, ord, next_id, replace(substr(j.fullkey, 3), '"', '') AS path,
+    CASE j.type WHEN 'BOOLEAN' THEN 'boolean' WHEN 'BIGINT' THEN 'integer' WHEN 'UBIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'decimal' WHEN 'VARCHAR' THEN 'string' WHEN 'ARRAY' THEN 'array' END AS kind,
+    CASE WHEN j.type = 'DOUBLE' THEN CAST(CAST(j.value AS DOUBLE) AS VARCHAR) ELSE CAST(j.value AS VARCHAR) END AS val
+  FROM f, json_tree(f.body) j WHERE j.type <> 'OBJECT' AND j.fullkey NOT LIKE '%[%')"""
+
+_PARTS = f"""WITH d AS (SELECT DISTINCT report_id, CASE WHEN json_valid(payload) THEN CASE WHEN json_type(payload) = 'VARCHAR' THEN json_extract_string(payload, '$') ELSE payload END END AS p FROM report_payloads),
 j AS (SELECT report_id, CAST(p AS JSON) AS j FROM d WHERE p IS NOT NULL AND json_valid(p)),
 r AS (SELECT report_id, j, unnest(range(CAST(json_array_length(j, '$.runs') AS BIGINT))) AS i FROM j WHERE json_type(j, '$.runs') = 'ARRAY'),
 places AS (
@@ -94,9 +100,35 @@ spots AS (SELECT report_id, model, s, unnest(range(CAST(json_array_length(s) AS
 samples AS (SELECT report_id, model, i, json_extract(s, '$[' || i || ']') AS x FROM spots),
 b AS (SELECT report_id, model, i, x, unnest(range(CAST(json_array_length(x, '$.boxes_xywh_normalized') AS BIGINT))) AS c FROM samples WHERE json_type(x, '$.boxes_xywh_normalized') = 'ARRAY'),
 boxes AS (SELECT report_id, model, i, c, json_extract(x, '$.boxes_xywh_normalized[' || c || ']') AS e FROM b),
-m AS (SELECT report_id, model, i, x, unnest(range(CAST(json_array_length(x, '$.masks') AS BIGINT))) AS c FROM samples WHERE json_type(x, '$.masks') = 'ARRAY')
+m AS (SELECT report_id, model, i, x, unnest(range(CAST(json_array_length(x, '$.masks') AS BIGINT))) AS c FROM samples WHERE json_type(x, '$.masks') = 'ARRAY')"""
+
+SQL = {
+    "p2_census": "SELECT CAST(0 AS BIGINT) AS over_bound, CAST(0 AS BIGINT) AS not_clean, CAST(0 AS BIGINT) AS repeated",
+    "p1_union_schema": f"""WITH {_FIELDS}, b AS (SELECT path, CASE kind WHEN 'boolean' THEN 1 WHEN 'integer' THEN 2 WHEN 'decimal' THEN 4 WHEN 'string' THEN 8 WHEN 'array' THEN 16 ELSE 0 END AS b FROM t),
+g AS (SELECT path, bit_or(b) AS kind_bits, count(*) AS n_files FROM b GROUP BY path)
+SELECT path, kind_bits, CASE kind_bits WHEN 1 THEN 'boolean' WHEN 2 THEN 'bigint' WHEN 4 THEN 'double' WHEN 6 THEN 'double' WHEN 16 THEN 'array<string>' ELSE 'string' END AS type, n_files FROM g""",
+    "p1_found": f"""WITH {_FIELDS},
+x AS (SELECT *, ord - row_number() OVER p AS island, lead(ord) OVER p AS nxt, CASE WHEN kind IS NOT NULL THEN struct_pack(kind := kind, val := val) END AS said FROM t WINDOW p AS (PARTITION BY workspace, path ORDER BY ord)),
+y AS (SELECT *, last_value(said IGNORE NULLS) OVER (PARTITION BY workspace, path, island ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM x),
+z AS (SELECT *, coalesce(said, was) AS now FROM y),
+e AS (
+  SELECT file_id, workspace, ord AS spot, 'added' AS what, path, kind, val FROM z WHERE ord > 1 AND kind IS NOT NULL AND was IS NULL
+  UNION ALL SELECT file_id, workspace, ord, 'retyped', path, kind, val FROM z WHERE kind IS NOT NULL AND was IS NOT NULL AND kind <> was.kind
+  UNION ALL SELECT next_id, workspace, ord + 1, 'removed', path, now.kind, now.val FROM z WHERE next_id IS NOT NULL AND now IS NOT NULL AND (nxt IS NULL OR nxt > ord + 1)),
+p AS (SELECT *, regexp_replace(path, '[^.]*$', '') AS parent FROM e),
+r AS (SELECT *, count(CASE WHEN what = 'added' THEN 1 END) OVER w AS n_added, count(CASE WHEN what = 'removed' THEN 1 END) OVER w AS n_removed,
+    row_number() OVER (PARTITION BY workspace, spot, parent, kind, val, what ORDER BY path) AS k FROM p WINDOW w AS (PARTITION BY workspace, spot, parent, kind, val))
+SELECT file_id, path AS field, CASE WHEN what = 'added' AND k <= n_removed THEN 'renamed' ELSE what END AS change_kind FROM r WHERE NOT (what = 'removed' AND k <= n_added)""",
+    "p5_found": f"""{_PARTS}
 SELECT report_id, 'run' AS child, '' AS model, i AS parent_ord, CAST(0 AS BIGINT) AS child_ord FROM r WHERE json_type(j, '$.runs[' || i || '].timing_seconds.dino_seconds') <> 'NULL'
 UNION ALL SELECT report_id, 'box', model, i, c FROM boxes WHERE (json_type(e) = 'ARRAY' AND json_array_length(e) = 4 AND {" AND ".join(_NUMBER.format(f"json_extract(e, '$[{k}]')") for k in range(4))})
   OR (json_type(e) = 'OBJECT' AND {" AND ".join(_NUMBER.format(f"json_extract(e, '$.{k}')") for k in "xywh")})
 UNION ALL SELECT report_id, 'mask', model, i, c FROM m WHERE json_type(x, '$.masks[' || c || ']') = 'OBJECT'""",
+    "p5_boxes": f"""{_PARTS},
+k AS (SELECT report_id, model, i, c, e, report_id || CASE WHEN model = '' THEN '' ELSE '/models/' || replace(replace(model, '~', '~0'), '/', '~1') END || '/samples/' || i AS parent_pk FROM boxes
+  WHERE (json_type(e) = 'ARRAY' AND json_array_length(e) = 4 AND {" AND ".join(_NUMBER.format(f"json_extract(e, '$[{k}]')") for k in range(4))})
+     OR (json_type(e) = 'OBJECT' AND {" AND ".join(_NUMBER.format(f"json_extract(e, '$.{k}')") for k in "xywh")}))
+SELECT k.report_id, parent_pk || '/boxes/' || c AS pk, parent_pk, k.model, json_extract_string(x, '$.image') AS image,
+  {", ".join(f"CAST(CASE json_type(e) WHEN 'ARRAY' THEN json_extract(e, '$[{n}]') ELSE json_extract(e, '$.{c}') END AS DOUBLE) AS {c}" for n, c in enumerate("xywh"))}
+FROM k JOIN samples ON samples.report_id = k.report_id AND samples.model = k.model AND samples.i = k.i""",
 }

@@ -11,6 +11,7 @@ import socket
 import uuid
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,6 +156,46 @@ def training_folder(routed: DataFrame, out: str) -> None:
     atomic_write(f"{out}/data.yaml", ("\n".join(lines) + "\n").encode())
 
 
+LINKED = "split STRING, image STRING, error STRING"
+
+
+def link_training(rows: DataFrame, out: str) -> DataFrame:
+    """Put each image's link at images/split/relative and its label at labels/split/key below `out`; a row each, with an error if it failed.
+
+    `rows`: split, relative, key, path, label. `out` is on a file system all executors mount. What is there is replaced as a
+    whole, so a run that broke off is done again without harm.
+    """
+    columns = [c.split()[0] for c in LINKED.split(", ")]
+
+    def replace(target: Path, make) -> None:
+        target.parent.mkdir(parents=True, exist_ok=True)
+        beside = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
+        make(beside)
+        os.replace(beside, target)
+
+    def run(batches):
+        for batch in batches:
+            told = []
+            for r in batch.itertuples():
+                try:
+                    replace(Path(out, "images", r.split, r.relative), lambda p: p.symlink_to(r.path))
+                    replace(Path(out, "labels", r.split, r.key), lambda p: p.write_text(r.label))
+                    told.append((r.split, r.relative, None))
+                except OSError as e:
+                    told.append((r.split, r.relative, str(e)[:1000]))
+            yield pd.DataFrame(told, columns=columns)
+
+    return rows.select("split", "relative", "key", "path", "label").mapInPandas(run, LINKED)
+
+
+def fetch_once(path: str, digest: str, fetch) -> bool:
+    """`images.fetch_verified` by one process at a time. Tells whether it was fetched."""
+    from patchloom.sources.images import fetch_verified
+
+    with exclusive(f"{path}.lock"):
+        return fetch_verified(path, digest, fetch, atomic_write)
+
+
 def save_predictions(found: DataFrame, images: DataFrame, out: str) -> None:
     """One JSON row an image with its boxes in order, images without any too. `found`: image, ord, label, confidence, box."""
     boxes = found.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("ord", "label", "confidence", "box"))).alias("boxes"))

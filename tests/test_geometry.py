@@ -71,8 +71,10 @@ def test_pairing_prefers_more_pairs(spark):
 
 
 def test_mask_boxes_and_histogram(spark):
-    cells = spark.createDataFrame([(1, 1, r, c) for r in range(6, 18) for c in range(3, 9)], "image INT, mask INT, r INT, c INT")
-    assert tuple(nms.mask_boxes(cells, 24, 24).collect()[0])[2:] == (0.25, 0.5, 0.25, 0.5)
+    masks = {0: [(2, 1), (2, 5), (7, 3)], 1: [(0, 0)], 2: [(r, c) for r in range(10) for c in range(16)]}
+    cells = spark.createDataFrame([(4, k, r, c) for k, m in masks.items() for r, c in m], "image INT, mask INT, r INT, c INT")
+    found = {r["mask"]: tuple(r)[2:] for r in nms.mask_boxes(cells, 10, 16).collect()}
+    assert found == {0: (3.5 / 16, 0.5, 5 / 16, 0.6000000000000001), 1: (0.5 / 16, 0.05, 1 / 16, 0.1), 2: (0.5, 0.5, 1.0, 1.0)}
     v = spark.createDataFrame([(x,) for x in (0.0, 0.005, 0.75, 1.000001, 2.0, None)], "v DOUBLE")
     assert [r["n"] for r in quality.histogram(v, F.col("v"), quality.AREA_EDGES).orderBy("bin").collect()] == [1, 1, 0, 0, 0, 0, 0, 2]
 

@@ -255,6 +255,15 @@ def test_fetch_only_what_is_not_there(tmp_path):
         images.fetch_verified(str(tmp_path / "g"), digest, lambda: b"other", files.atomic_write)
 
 
+def test_one_process_fetches(spark, tmp_path):
+    import hashlib
+
+    digest = hashlib.sha256(b"weights").hexdigest()
+    assert files.fetch_once(str(tmp_path / "w"), digest, lambda: b"weights") and not files.fetch_once(str(tmp_path / "w"), digest, lambda: b"")
+    with files.exclusive(tmp_path / "w.lock"), pytest.raises(RuntimeError, match="in use"):
+        files.fetch_once(str(tmp_path / "w"), digest, lambda: b"weights")
+
+
 def test_streams(spark, tmp_path):
     rows = [(f"k{i % 2}", f"2026-01-01 00:{i:02d}:00") for i in range(10)]
     df = spark.createDataFrame(rows, "key STRING, t STRING").select("key", F.col("t").cast("timestamp").alias("ts"))

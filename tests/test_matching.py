@@ -76,10 +76,10 @@ def test_scan_manifest_and_collisions(spark, tmp_path):
 
 
 def test_labels_round_trip_and_reject(spark):
-    boxes = [(0.25, 0.5, 0.25, 0.5), (1 / 3, 1 / 3, 1 / 7, 1 / 9)]
+    boxes = [(0.375, 0.5, 0.125, 0.75), (1 / 3, 1 / 3, 1 / 7, 1 / 9)]
     df = spark.createDataFrame([([{"x": b[0], "y": b[1], "w": b[2], "h": b[3]} for b in boxes],), ([],)], "bs ARRAY<STRUCT<x: DOUBLE, y: DOUBLE, w: DOUBLE, h: DOUBLE>>")
     out = df.select(receipts.encode_labels(F.col("bs")).alias("t")).select("t", receipts.decode_labels(F.col("t")).alias("b"), F.sha2(F.col("t").cast("binary"), 256).alias("s")).collect()
-    assert out[0]["t"].splitlines()[0] == "0 0.25000000 0.50000000 0.25000000 0.50000000" and len(out[0]["b"]) == 2
+    assert out[0]["t"].splitlines()[0] == "0 0.37500000 0.50000000 0.12500000 0.75000000" and len(out[0]["b"]) == 2
     assert out[0]["s"] == receipts.label_digest(boxes) and out[1]["b"] == []
     bad = ["1 .5 .5 .1 .1", "0 .5 .5 .1", "0 .5 .5 0 .1", "0 nan .5 .1 .1", "0 .5 .5 1.5 .1", "0 .01 .5 .5 .1", "0 .5 .5 .1 .1\n\n0 .5 .5 .1 .1", "x"]
     df = spark.createDataFrame([(b,) for b in bad], "t STRING")
@@ -173,3 +173,14 @@ def test_any_number_of_classes_compares_alike(spark):
     assert rows(fewshot.ranked(q, protos)) == rows(fewshot.ranked(q, protos, block=4))
     assert rows(fewshot.match(fewshot.ranked(q, protos))) == rows(fewshot.match(fewshot.ranked(q, protos, block=4, keep=2)))
     assert rows(fewshot.scores(q, protos)) == rows(fewshot.scores(q, protos, block=7))
+
+
+def test_time_left_of_a_training(spark):
+    rows = [(0.0, 0, 0, 4, 0, 10, False), (60.0, 0, 0, 4, 5, 10, False), (120.0, 0, 0, 4, 10, 10, True), (100.0, 2, 3, 4, 1, 0, True), (5.0, 4, 4, 4, 1, 1, True), (9.0, 0, 9, 4, 0, 10, True)]
+    df = spark.createDataFrame(rows, "elapsed DOUBLE, start_epoch INT, epoch INT, epochs INT, batch INT, batches INT, ended BOOLEAN")
+    assert [(r["share"], r["eta"]) for r in monitor.training_eta(df).collect()] == [(0.0, "?"), (0.125, "00:07:00"), (0.25, "00:06:00"), (1.0, "00:00:00"), (1.0, "00:00:00")]
+
+
+def test_splits_are_complete_or_not(spark):
+    df = spark.createDataFrame([("a/1.jpg",), ("a/2.jpg",), ("a/2.jpg",), ("b/1.jpg",)], "relative STRING")
+    assert {(r["split"], r["n"], r["complete"]) for r in catalog.split_complete(df, {"a": 2, "b": 2, "c": 1}).collect()} == {("a", 2, True), ("b", 1, False), ("c", 0, False)}

@@ -63,6 +63,13 @@ def test_generate_resumes_and_redoes_only_what_changed(spark, folder):
     routes = {"train2017": "train", "val2017": "val"}
     counts = pipelines.prepare_training(spark, str(folder / "in"), str(folder / "out"), SETTINGS, str(folder / "t"), routes)
     assert {r["split"]: r["images"] for r in counts.collect()} == {"train": 3, "val": 2}
+    assert (folder / "t/labels/train/train2017/1.txt").read_text() == label and (folder / "t/images/val/val2017/3.png").resolve() == (folder / "in/val2017/3.png").resolve()
+    assert all((folder / "t/images" / r["value"].split("/images/")[1]).exists() for r in spark.read.text(str(folder / "t/lists")).collect())
+    (folder / "in/val2017/torn.jpg").write_bytes(b"\xff\xd8 no end")
+    with pytest.raises(ValueError, match="no valid label"):
+        pipelines.prepare_training(spark, str(folder / "in"), str(folder / "out"), SETTINGS, str(folder / "t"), routes)
+    (folder / "in/val2017/torn.jpg").unlink()
+    assert [r["relative"] for r in pipelines.catalog.scan(spark, str(folder / "in/val2017/3.png")).collect()] == ["3.png"]
     (folder / "in/train2017/new.png").write_bytes(png(8, 8, (1, 2, 3)))
     with pytest.raises(ValueError, match="no valid label"):
         pipelines.prepare_training(spark, str(folder / "in"), str(folder / "out"), SETTINGS, str(folder / "t"), routes)
@@ -163,6 +170,22 @@ def test_command_line(tmp_path, capsys):
     assert cli.main(["doctor", "--config", str(tmp_path / "c.toml")]) == 1
 
 
+def detector(images):
+    return images.selectExpr("relative image", "0 ord", "1 class_id", "'dog' label", "0.9D confidence", "named_struct('x', 0.5D, 'y', 0.5D, 'w', 0.1D, 'h', 0.1D) box")
+
+
+def test_commands_of_seams(spark, folder, capsys):
+    (folder / "c.toml").write_text("[dino]\nresolution = 64\n[maskcut]\nmax_objects = 1\n")
+    common = ["--dataset", str(folder / "in"), "--output", str(folder / "w"), "--config", str(folder / "c.toml")]
+    here = __name__
+    assert cli.main(["generate", *common, "--model", f"{here}:Planted"]) == 0
+    assert cli.main(["train", *common, "--route", "train2017=train", "--route", "val2017=val"]) == 0
+    assert cli.main(["predict", *common, "--detector", f"{here}:detector", "--limit", "3"]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1]) == {"images": 3}
+    assert cli.main(["ablation", *common, "--model", f"{here}:Planted", "--variant", f"a={folder / 'c.toml'}"]) == 0
+    assert cli.main(["predict", *common, "--detector", "nowhere:x"]) == 1
+
+
 class Dual(Planted):
     def extract_both(self, batch):
         return {"keys": self.extract(batch), "tokens": np.ones((len(batch), 64, 3), np.float32)}
