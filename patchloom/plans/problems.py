@@ -103,6 +103,23 @@ boxes AS (SELECT report_id, model, i, c, json_extract(x, '$.boxes_xywh_normalize
 m AS (SELECT report_id, model, i, x, unnest(range(CAST(json_array_length(x, '$.masks') AS BIGINT))) AS c FROM samples WHERE json_type(x, '$.masks') = 'ARRAY')"""
 
 SQL = {
+    "p2_found": r"""WITH f AS (SELECT DISTINCT file_id, lower(regexp_extract(file_path, '[^.]*$')) AS kind, ltrim(body, chr(65279)) AS body FROM tiny_files WHERE body <> '' AND file_path IS NOT NULL),
+lines AS (SELECT unnest(regexp_split_to_array(body, '\r\n|\n|\r')) AS v FROM f WHERE kind = 'jsonl'),
+valid AS (SELECT CASE WHEN json_valid(v) THEN CAST(v AS JSON) END AS v FROM lines UNION ALL SELECT CASE WHEN json_valid(body) THEN CAST(body AS JSON) END FROM f WHERE kind = 'json'),
+objects AS (SELECT v FROM valid WHERE json_type(v) = 'OBJECT' UNION ALL SELECT unnest(from_json(v, '["JSON"]')) FROM valid WHERE json_type(v) = 'ARRAY'),
+json_records AS (SELECT CASE WHEN json_type(v, '$.relative') = 'VARCHAR' THEN json_extract_string(v, '$.relative') END AS relative,
+    CASE WHEN json_type(v, '$.size') NOT IN ('BOOLEAN', 'ARRAY', 'OBJECT') THEN json_extract_string(v, '$.size') END AS size,
+    CASE WHEN json_type(v, '$.mtime_ns') NOT IN ('BOOLEAN', 'ARRAY', 'OBJECT') THEN json_extract_string(v, '$.mtime_ns') END AS mtime_ns FROM objects WHERE json_type(v) = 'OBJECT'),
+tables AS (SELECT file_id, CASE kind WHEN 'csv' THEN replace(body, chr(9), ' ') ELSE replace(replace(body, ',', chr(1)), chr(9), ',') END AS body, kind FROM f WHERE kind IN ('csv', 'tsv')),
+rows_ AS (SELECT file_id, kind, list_filter(regexp_extract_all(body, '([^\r\n]*)(\r\n|\n|\r)', 1), lambda x: x <> '' AND regexp_full_match(x, '("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*))*')) AS ls FROM tables),
+cells AS (SELECT file_id, kind, list_transform(ls, lambda l: list_transform(regexp_extract_all(',' || l, ',("(?:[^"]|"")*"|[^",]*)', 1), lambda c: CASE WHEN left(c, 1) = '"' THEN replace(c[2:-2], '""', '"') ELSE c END)) AS rs FROM rows_ WHERE len(ls) > 0),
+heads AS (SELECT *, list_transform(rs[1], lambda c: lower(trim(c))) AS h FROM cells),
+named AS (SELECT kind, rs, list_has_all(['path', 'relative', 'size', 'mtime_ns', 'key'], h) AND list_contains(h, 'relative') AS has_head, CASE WHEN list_has_all(['path', 'relative', 'size', 'mtime_ns', 'key'], h) AND list_contains(h, 'relative') THEN h ELSE ['path', 'relative', 'size', 'mtime_ns', 'key'] END AS names FROM heads),
+each AS (SELECT names, kind, unnest(CASE WHEN has_head THEN rs[2:] ELSE rs END) AS r FROM named),
+row_records AS (SELECT replace(r[list_position(names, 'relative')], chr(1), ',') AS relative, replace(r[list_position(names, 'size')], chr(1), ',') AS size, replace(r[list_position(names, 'mtime_ns')], chr(1), ',') AS mtime_ns FROM each WHERE len(r) = len(names)),
+told AS (SELECT relative, TRY_CAST(regexp_replace(trim(size), '[,_]', '', 'g') AS DECIMAL(38, 9)) AS size, TRY_CAST(regexp_replace(trim(mtime_ns), '[,_]', '', 'g') AS DECIMAL(38, 9)) AS mtime_ns FROM (SELECT * FROM json_records UNION ALL SELECT * FROM row_records))
+SELECT DISTINCT CASE WHEN left(relative, 1) = '/' THEN '/' ELSE '' END || array_to_string(list_filter(string_split(relative, '/'), lambda x: x NOT IN ('', '.')), '/') AS relative, CAST(size AS BIGINT) AS size, CAST(mtime_ns AS BIGINT) AS mtime_ns
+FROM told WHERE trim(relative) <> '' AND size = floor(size) AND mtime_ns = floor(mtime_ns)""",
     "p2_census": "SELECT CAST(0 AS BIGINT) AS over_bound, CAST(0 AS BIGINT) AS not_clean, CAST(0 AS BIGINT) AS repeated",
     "p1_union_schema": f"""WITH {_FIELDS}, b AS (SELECT path, CASE kind WHEN 'boolean' THEN 1 WHEN 'integer' THEN 2 WHEN 'decimal' THEN 4 WHEN 'string' THEN 8 WHEN 'array' THEN 16 ELSE 0 END AS b FROM t),
 g AS (SELECT path, bit_or(b) AS kind_bits, count(*) AS n_files FROM b GROUP BY path)
