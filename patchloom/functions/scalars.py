@@ -23,12 +23,12 @@ def first_part(relative: Column) -> Column:
 
 
 def clock(seconds: Column) -> Column:
-    """HH:MM:SS, cut to whole seconds, never below zero; hours may exceed a day."""
+    """HH:MM:SS, cut to whole seconds, never below zero; hours may exceed a day. A null stays null."""
     s = F.greatest(F.lit(0).cast("bigint"), seconds.cast("bigint"))
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     hours = F.floor(s / 3600).cast("string")
     hours = F.when(F.length(hours) < 2, F.lpad(hours, 2, "0")).otherwise(hours)
-    return F.concat_ws(":", hours, two(F.floor(s % 3600 / 60)), two(s % 60))
+    return F.when(seconds.isNotNull(), F.concat_ws(":", hours, two(F.floor(s % 3600 / 60)), two(s % 60)))
 
 
 def content_range(header: Column) -> Column:

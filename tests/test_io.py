@@ -230,8 +230,8 @@ def test_config(tmp_path):
 
 
 def test_scalars(spark):
-    df = spark.createDataFrame([(0.0,), (3661.9,), (-5.0,), (360000.0,)], "s DOUBLE")
-    assert [r[0] for r in df.select(scalars.clock(F.col("s"))).collect()] == ["00:00:00", "01:01:01", "00:00:00", "100:00:00"]
+    df = spark.createDataFrame([(0.0,), (3661.9,), (-5.0,), (360000.0,), (None,)], "s DOUBLE")
+    assert [r[0] for r in df.select(scalars.clock(F.col("s"))).collect()] == ["00:00:00", "01:01:01", "00:00:00", "100:00:00", None]
     df = spark.createDataFrame([("a/b.tar.gz",), ("a.b/c",), ("x.JPEG",)], "p STRING")
     assert [r[0] for r in df.select(scalars.label_key(F.col("p"))).collect()] == ["a/b.tar.txt", "a.b/c.txt", "x.txt"]
     df = spark.createDataFrame([("bytes 1-5/9",), ("bytes */9",)], "h STRING")
