@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -168,12 +170,13 @@ def unified(heads: DataFrame) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                columns: dict[int, list] = {}
-                for row, fields in enumerate(part.column(3).to_pylist()):
-                    for f in fields or ():
-                        columns.setdefault(place[f["path"]], [None] * part.num_rows)[row] = f["value"]
-                empty = pa.nulls(part.num_rows, pa.string())
-                told = [pa.array(columns[i], pa.string()) if i in columns else empty for i in range(len(place))]
+                fields = part.column(3).flatten()
+                paths, values = fields.field("path").dictionary_encode(), fields.field("value")
+                at = np.full((len(paths.dictionary), part.num_rows), -1)  # where the value of a field and row stands
+                at[paths.indices.to_numpy(), pc.list_parent_indices(part.column(3)).to_numpy()] = np.arange(len(fields))
+                told = [pa.nulls(part.num_rows, pa.string())] * len(place)
+                for where, path in zip(at, paths.dictionary.to_pylist()):
+                    told[place[path]] = values.take(pa.array(where, mask=where < 0)).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *told], schema=arrow)
 
     def cast(path: str, to: str) -> Column:
