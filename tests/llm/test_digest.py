@@ -75,6 +75,20 @@ def test_levels_are_certified_in_one_pass_as_each_alone(spark):
     assert together[1].count() == 3 * len(PS)
 
 
+def test_a_coarse_clock_keeps_the_stated_bound(spark):
+    """Beside values that a tenth of the rows share, a value just next to them has a rank far off."""
+    rng = np.random.default_rng(8)
+    exact = rng.normal(230, 60, 300_000).clip(40)
+    values = np.where(rng.random(300_000) < 0.85, np.maximum(15.625, (exact / 15.625).round() * 15.625), (exact / 7.8125).round() * 7.8125 + 0.2)
+    rows = [(int(g), int(h), float(v)) for g, h, v in zip(rng.integers(0, 5, 300_000), rng.integers(0, 25, 300_000), values)]
+    df = spark.createDataFrame(rows, "g INT, day INT, value DOUBLE").repartition(7).cache()
+    days = digest.build(df, ["g", "day"], "value").cache()
+    levels = [(["g", "day"], digest.estimate(days, ["g", "day"], queries.PERCENTILES)), (["g"], digest.estimate(digest.merge(days, ["g"]), ["g"], queries.PERCENTILES))]
+    for out, groups in zip(digest.certify(df, levels, "value", queries.PERCENTILES), (125, 5)):
+        found = out.collect()
+        assert len(found) == groups * 7 and not [r for r in found if not r["within_bound"]]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "g STRING, value DOUBLE")
     d = digest.build(df, ["g"], "value")
